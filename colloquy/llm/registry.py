@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .minhash import near_duplicates
 from .packing import pack
+from .secrets import digest, secret_spans
 from .suffix_dedup import repeated_spans
 
 
@@ -25,6 +26,11 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).drop("rid", "node")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of each document."""
+    return digest(secret_spans(_table(spark, sf_dir, "documents")))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 2048 tokens."""
     return pack(_table(spark, sf_dir, "documents"))
@@ -34,6 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
         "op5_minhash_dedup": op5_minhash_dedup,
+        "op7_secret_scan": op7_secret_scan,
         "op8_packing": op8_packing,
     }
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .minhash import near_duplicates
+from .mixing import mix
+from .mixing_sql import OP10
 from .packing import pack
 from .secrets import digest, secret_spans
 from .suffix_dedup import repeated_spans
@@ -36,14 +39,25 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+#: Levels and weights of the mix: sixteen domains of sources, languages, sources.
+MIX_LEVELS = {"domain": lambda: F.substring(F.md5(F.coalesce(F.col("source"), F.lit("unknown"))), 1, 1), "lang": lambda: F.col("lang"), "source": lambda: F.col("source")}
+MIX_WEIGHTS = {"lang": {"en": 4, "de": 2, "fr": 2}, "source": {"src0": 0.5}}
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents taken into a mix of half the tokens, by epoch."""
+    return mix(_table(spark, sf_dir, "documents"), {k: f() for k, f in MIX_LEVELS.items()}, MIX_WEIGHTS, fraction=0.5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
         "op5_minhash_dedup": op5_minhash_dedup,
         "op7_secret_scan": op7_secret_scan,
         "op8_packing": op8_packing,
+        "op10_mixing": op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_mixing": OP10}

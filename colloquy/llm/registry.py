@@ -11,6 +11,7 @@ from .minhash import near_duplicates
 from .mixing import mix
 from .mixing_sql import OP10
 from .packing import pack
+from .quality import score_quality
 from .secrets import digest, secret_spans
 from .suffix_dedup import repeated_spans
 
@@ -24,6 +25,11 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of each document."""
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate group of each document."""
     return near_duplicates(_table(spark, sf_dir, "documents")).drop("rid", "node")
@@ -52,6 +58,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
+        "op4_quality": op4_quality,
         "op5_minhash_dedup": op5_minhash_dedup,
         "op7_secret_scan": op7_secret_scan,
         "op8_packing": op8_packing,

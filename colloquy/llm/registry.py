@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .langid import identify
 from .minhash import near_duplicates
 from .mixing import mix
 from .mixing_sql import OP10
@@ -35,6 +36,11 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).drop("rid", "node")
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document."""
+    return identify(_table(spark, sf_dir, "documents"), with_spans=False)
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of each document."""
     return digest(secret_spans(_table(spark, sf_dir, "documents")))
@@ -60,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_suffix_dedup": op1_suffix_dedup,
         "op4_quality": op4_quality,
         "op5_minhash_dedup": op5_minhash_dedup,
+        "op6_language": op6_language,
         "op7_secret_scan": op7_secret_scan,
         "op8_packing": op8_packing,
         "op10_mixing": op10_mixing,

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .langid import identify
+from .lm_score import score_texts
 from .minhash import near_duplicates
 from .mixing import mix
 from .mixing_sql import OP10
@@ -51,6 +52,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of each document."""
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
 #: Levels and weights of the mix: sixteen domains of sources, languages, sources.
 MIX_LEVELS = {"domain": lambda: F.substring(F.md5(F.coalesce(F.col("source"), F.lit("unknown"))), 1, 1), "lang": lambda: F.col("lang"), "source": lambda: F.col("source")}
 MIX_WEIGHTS = {"lang": {"en": 4, "de": 2, "fr": 2}, "source": {"src0": 0.5}}
@@ -69,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_language": op6_language,
         "op7_secret_scan": op7_secret_scan,
         "op8_packing": op8_packing,
+        "op9_lm_score": op9_lm_score,
         "op10_mixing": op10_mixing,
     }
 

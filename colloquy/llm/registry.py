@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .langid import identify
 from .lm_score import score_texts
 from .minhash import near_duplicates
@@ -27,6 +28,11 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest vectors of every fiftieth."""
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of each document."""
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -70,6 +76,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
+        "op3_nearest": op3_nearest,
         "op4_quality": op4_quality,
         "op5_minhash_dedup": op5_minhash_dedup,
         "op6_language": op6_language,

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import nearest
+from .fingerprints import fingerprint_neighbours
 from .langid import identify
 from .lm_score import score_texts
 from .minhash import near_duplicates
@@ -28,6 +29,11 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of each document, as it is and with its second half exchanged."""
+    return fingerprint_neighbours(_table(spark, sf_dir, "documents"))
+
+
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five nearest vectors of every fiftieth."""
     return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
@@ -76,6 +82,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
+        "op2_fingerprints": op2_fingerprints,
         "op3_nearest": op3_nearest,
         "op4_quality": op4_quality,
         "op5_minhash_dedup": op5_minhash_dedup,

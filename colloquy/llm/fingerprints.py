@@ -44,22 +44,28 @@ _RANGES = 4  # id ranges for each shuffle partition
 _FREE = np.array([[min({0, 1, 2} - {a, b}) for b in range(7)] for a in range(7)], np.uint8)
 
 
+#: Place of the lowest set bit of a byte.
+_LOW = np.array([7 if b == 0 else (b & -b).bit_length() - 1 for b in range(256)], np.uint8)
+
+
 def _toss(x: np.ndarray, fresh: np.ndarray) -> np.ndarray:
     """Twice the lowest differing bit's place, plus that bit, against the left neighbour."""
-    before = np.empty_like(x)
-    before[1:] = x[:-1]
-    before[:1] = 0
-    before[fresh] = ~x[fresh]  # the first of a text differs in every bit
-    apart = x ^ before
-    place = np.bitwise_count((apart & (~apart + apart.dtype.type(1))) - apart.dtype.type(1)).astype(np.uint8)
-    place = np.minimum(place, 8 * x.dtype.itemsize - 1).astype(np.uint8)
-    return (place << np.uint8(1)) | ((x >> place.astype(x.dtype)).astype(np.uint8) & np.uint8(1))
+    apart = np.empty_like(x)
+    np.bitwise_xor(x[1:], x[:-1], out=apart[1:])
+    apart[fresh] = ~x.dtype.type(0)  # the first of a text differs in every bit
+    if x.dtype == np.uint8:
+        place = _LOW[apart]
+        bit = (x >> place) & np.uint8(1)
+    else:
+        place = np.minimum(np.bitwise_count(~apart & (apart - x.dtype.type(1))), np.uint8(8 * x.dtype.itemsize - 1))
+        bit = ((x >> place) & x.dtype.type(1)).astype(np.uint8)
+    return (place << np.uint8(1)) | bit
 
 
 def phrase_starts(names: np.ndarray, fresh: np.ndarray) -> np.ndarray:
     """Which symbols begin a phrase; neighbours within a text differ, ``fresh`` are first in one."""
     label = _toss(names, fresh)
-    for _ in range(3):
+    for _ in range(2 if names.dtype == np.uint8 else 3):
         label = _toss(label, fresh)
     first = np.zeros(len(label) + 1, bool)
     first[fresh] = True
@@ -91,12 +97,14 @@ def phrase_names(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
             # runs first, so that neighbours differ
             new = fresh.copy()
             new[1:] |= name[1:] != name[:-1]
-            head = np.flatnonzero(new)
-            length = np.diff(head, append=len(name)).astype(np.uint64)
-            name, row, fresh = name[head], row[head], fresh[head]
-            many = length > 1
-            name[many] = mix64(name[many] + length[many] * _STEP)
-            start = np.flatnonzero(phrase_starts(name, np.flatnonzero(fresh)))
+            symbol = data if level == 0 else (name >> np.uint64(32)).astype(np.uint32)
+            if not new.all():
+                head = np.flatnonzero(new)
+                length = np.diff(head, append=len(name)).astype(np.uint64)
+                name, row, fresh, symbol = name[head], row[head], fresh[head], symbol[head]
+                many = np.flatnonzero(length > 1)
+                name[many] = mix64(name[many] + length[many] * _STEP)
+            start = np.flatnonzero(phrase_starts(symbol, np.flatnonzero(fresh)))
             inside = np.arange(len(name)) - np.repeat(start, np.diff(start, append=len(name)))
             power = np.cumprod(np.full(int(inside.max()) + 1, _STEP, np.uint64))
             name = mix64(np.add.reduceat(name * power[inside], start) + np.uint64(level + 1))

@@ -79,7 +79,7 @@ def _key(seed: int, epoch: Column) -> Column:
 
 
 def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Mapping[str, float]], fraction: float, seed: int = SEED, max_epochs: int = MAX_EPOCHS, tokens: Column | None = None, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """``docs`` as often as they are taken: ``keep`` columns, the levels, epoch, n_tokens, taken_tokens.
+    """``docs`` as often as they are taken: ``keep`` columns, other levels, epoch, n_tokens, taken_tokens.
 
     ``levels`` maps names to expressions over ``docs``, from the root down;
     ``weights`` holds, for each level, the weights of values (1 otherwise);
@@ -107,4 +107,4 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Map
     taken = rows.join(plan, paths).withColumn("_end", _key(seed, F.col("epochs")) <= F.col("_last"))
     taken = taken.withColumn("epoch", F.explode(F.filter(F.sequence(F.lit(0), F.col("epochs")), lambda e: (e < F.col("epochs")) | F.coalesce(F.col("_end"), F.lit(False)))))
     part = F.when((F.col("epoch") == F.col("epochs")) & (_key(seed, F.col("epochs")) == F.col("_last")), F.greatest("_part", F.lit(0))).otherwise(F.col("n_tokens"))
-    return taken.select(*[F.col(f"keep_{c}").alias(c) for c in keep], *[F.col(p).alias(x) for p, x in zip(paths, levels)], "epoch", "n_tokens", part.alias("taken_tokens"))
+    return taken.select(*[F.col(f"keep_{c}").alias(c) for c in keep], *[F.col(p).alias(x) for p, x in zip(paths, levels) if x not in keep], "epoch", "n_tokens", part.alias("taken_tokens"))

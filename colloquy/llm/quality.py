@@ -155,13 +155,12 @@ def _vote(model, neighbours: int):
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, neighbours: int = NEIGHBOURS, sample_a_class: int = SAMPLE_A_CLASS, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted; and ``keep`` columns."""
+    """One row per document: doc_id, held_out, score, predicted; ``keep`` columns in a struct ``kept``."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(fit(docs, labels, sample_a_class, id_col, text_col))
-    rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).alias(f"keep_{c}") for c in keep])
+    kept = [F.struct(*keep).alias("kept")] if keep else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *kept)
     kinds = dict(rows.dtypes)
-    extra = "".join(f", keep_{c} {kinds[f'keep_{c}']}" for c in keep)
-    # rows.text passes as it is; kept columns follow in place
-    schema = f"doc_id {kinds['doc_id']}, held_out boolean, score double{extra}"
-    scored = rows.select("doc_id", "held_out", "text", *[f"keep_{c}" for c in keep]).mapInArrow(_vote(model, neighbours), schema)
-    return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), *[F.col(f"keep_{c}").alias(c) for c in keep])
+    schema = f"doc_id {kinds['doc_id']}, held_out boolean, score double" + (f", kept {kinds['kept']}" if keep else "")
+    scored = rows.mapInArrow(_vote(model, neighbours), schema)
+    return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), *(["kept"] if keep else []))

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._tables import row_key, written
+from ._tables import row_key, split_by_keys, written
 
 # fixed values: the base patterns; hex and access lengths are part of the pattern,
 # as a maximal run matches where it is long enough, and nowhere else
@@ -160,6 +160,7 @@ def digest(spans: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "<SECRET>", fdr: float = FDR, reject: float = REJECT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every secret span replaced by ``mark``; overlapping spans become one."""
     spans = secret_spans(docs, fdr, reject, id_col, text_col).where(F.size("spans") > 0).select("rid", "spans").dropDuplicates(["rid"])
+    spans = written(spans, "op7-spans")
     kind = "array<struct<start:int,end:int>>"
 
     def merge(acc: Column, x: Column) -> Column:
@@ -172,4 +173,7 @@ def redact(docs: DataFrame, mark: str = "<SECRET>", fdr: float = FDR, reject: fl
     begins = F.concat(F.array(F.lit(0)), F.transform("merged", lambda x: x["end"]))
     ends = F.concat(F.transform("merged", lambda x: x["start"]), F.array(F.length(text)))
     kept = F.array_join(F.zip_with(begins, ends, lambda b, e: text.substr(b + 1, e - b)), mark)
-    return docs.withColumn("rid", row_key(id_col, text_col)).join(spans, "rid", "left").withColumn("merged", merged).withColumn(text_col, F.when(F.col("spans").isNotNull(), kept).otherwise(text)).select(*docs.columns)
+    # texts without a span stay where they are
+    near, rest = split_by_keys(docs.withColumn("rid", row_key(id_col, text_col)), spans, "rid")
+    near = near.join(spans, "rid", "left").withColumn("merged", merged).withColumn(text_col, F.when(F.col("spans").isNotNull(), kept).otherwise(text))
+    return rest.select(*docs.columns).union(near.select(*docs.columns))

@@ -12,9 +12,11 @@ have an empty set and no links. Sets link at a Jaccard similarity of
 3. In each band bucket every node is paired with the smallest one only. Pairs
    pass by signature, then by the full sets; components of what passed follow.
 4. Buckets that still hold several components are compared inside their task, by
-   signature, between components; what passes is confirmed on full sets too. So
-   every pair of a bucket is either connected already or compared, and pairs
-   within a group are never emitted.
+   signature, between components; what passes is confirmed on full sets too.
+   Large buckets first give the pairs of their most central nodes, twice, so
+   that a group joins over a few nodes; a last round gives all pairs of
+   different components. So every pair of a bucket is either connected already
+   or compared, and the pairs within a group are not emitted.
 5. Components of all confirmed links by alternating large-star and small-star.
 
 Large buckets are compared in pairs of blocks of ``BLOCK`` nodes, and the
@@ -134,19 +136,58 @@ def _by_signature(least: float):
     return run
 
 
-def _within_buckets(least: float):
-    """Pairs of different components in each run of equal keys, by signature."""
+def _likeness(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Share of equal signature bytes for every row of x and of y."""
+    return np.stack([(y == row).mean(axis=1, dtype=np.float32) for row in x])
+
+
+def _central(likeness: np.ndarray) -> np.ndarray:
+    """A few pairs that should join what can be joined, from a symmetric matrix with 0 for no candidate.
+
+    The node with the largest sum goes with all its candidates, then the next
+    one among those that are not close to a chosen node; each node also goes
+    with its nearest.
+    """
+    n = len(likeness)
+    picked = np.zeros_like(likeness, dtype=bool)
+    picked[np.arange(n), likeness.argmax(axis=1)] = True
+    left = np.ones(n, bool)
+    for _ in range(8):
+        centre = int((likeness[:, left].sum(axis=1)).argmax())
+        picked[centre] |= left
+        left &= likeness[centre] < 0.7
+        left[centre] = False
+        if not left.any():
+            break
+    return picked & (likeness > 0)
+
+
+def _within_buckets(least: float, every: bool):
+    """Candidate pairs of different components in each run of equal keys, by signature.
+
+    All of them with ``every``, else those of :func:`_central` in large buckets.
+    """
 
     def pairs(bucket):
-        left, right = bucket["i"] <= bucket["j"], bucket["i"] >= bucket["j"]
-        for x0 in range(0, left.sum(), 256):
-            x = np.flatnonzero(left)[x0 : x0 + 256]
-            y = np.flatnonzero(right)
-            near = (bucket["sig"][x][:, None, :] == bucket["sig"][y][None, :, :]).mean(axis=2) >= least if len(x) * len(y) < 1 << 18 else np.stack([(bucket["sig"][k] == bucket["sig"][y]).mean(axis=1) >= least for k in x])
-            near &= bucket["root"][x][:, None] != bucket["root"][y][None, :]
-            p, q = np.nonzero(near)
-            a, b = bucket["node"][x[p]], bucket["node"][y[q]]
-            yield np.maximum(a, b), np.minimum(a, b)
+        left, right = np.flatnonzero(bucket["i"] <= bucket["j"]), np.flatnonzero(bucket["i"] >= bucket["j"])
+        if not every and max(len(left), len(right)) > 16:
+            both = np.union1d(left, right)
+            like = np.zeros((len(both), len(both)), np.float32)
+            x, y = np.searchsorted(both, left), np.searchsorted(both, right)
+            like[np.ix_(x, y)] = _likeness(bucket["sig"][left], bucket["sig"][right])
+            like = np.maximum(like, like.T)
+            root = bucket["root"][both]
+            like[(root[:, None] == root[None, :]) | (like < least)] = 0
+            p, q = np.nonzero(_central(like))
+            found = [(bucket["node"][both[p]], bucket["node"][both[q]])]
+        else:
+            found = []
+            for lo in range(0, len(left), 256):
+                x = left[lo : lo + 256]
+                near = (_likeness(bucket["sig"][x], bucket["sig"][right]) >= least) & (bucket["root"][x][:, None] != bucket["root"][right][None, :])
+                p, q = np.nonzero(near)
+                found.append((bucket["node"][x[p]], bucket["node"][right[q]]))
+        return [(np.maximum(a, b), np.minimum(a, b)) for a, b in found]
 
     def run(batches):
         held: dict = {}
@@ -209,10 +250,11 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, n_words: int, threshold: int)
 
 
 def near_duplicates(docs: DataFrame, n_words: int = N_WORDS, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, rid, node.
+    """One row per document: doc_id, n_shingles, component_id, kept, rid, node, root.
 
     ``component_id`` is the smallest id of the document's group, ``kept`` whether
-    it is the document's own. ``rid`` is the row's key by id and text.
+    it is the document's own. ``rid`` is the row's key by id and text, ``root`` the
+    group's key (null for empty sets).
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), row_key(id_col, text_col).alias("rid"))
     id_type = dict(docs.dtypes)["doc_id"]
@@ -237,27 +279,45 @@ def near_duplicates(docs: DataFrame, n_words: int = N_WORDS, threshold: int = TH
         return written(near.join(wanted, "rid").select("node", "text").dropDuplicates(["node"]), "op5-texts")
 
     links = written(_confirmed(star, texts_of(star), n_words, threshold), "op5-links")
-    roots = connected_components(links, "op5-first")
-    labelled = buckets.where("n > 2").join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
-    several = labelled.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("bucket")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    mixed = (
-        labelled.join(several, "bucket").withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("node", "root", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"),
-                F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), -1).otherwise(1).alias("side"))
-        .join(sig, "node").select("bucket", F.when(F.col("side") < 1, 0).otherwise(1).alias("i"), F.when(F.col("side") > -1, 0).otherwise(1).alias("j"), "node", "root", "sig")
-    )
-    more = mixed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_within_buckets(least), "a long, b long")
-    more = written(more.where("a != b").distinct().join(star, ["a", "b"], "left_anti").join(star.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "op5-more")
-    if not more.isEmpty():
+    tested, blocks = star, F.ceil(F.col("n") / BLOCK).cast("int")
+    for every in (False, False, True):
+        roots = connected_components(links, "op5-roots")
+        labelled = buckets.where("n > 2").join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
+        several = labelled.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("bucket")
+        dealt = labelled.join(several, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        mixed = dealt.select(
+            "node", "root", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"),
+            F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("i"), F.when(F.col("own") < F.col("other"), 1).otherwise(0).alias("j"),
+        ).join(sig, "node").select("bucket", "i", "j", "node", "root", "sig")
+        found = mixed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_within_buckets(least, every), "a long, b long").distinct()
+        # links say nothing of order: tested pairs are kept as (larger, smaller) too
+        more = written(found.join(tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "op5-more")
+        if more.isEmpty():
+            if every:
+                break
+            continue
         links = links.union(written(_confirmed(more, texts_of(more), n_words, threshold), "op5-links"))
-        roots = connected_components(links, "op5-all")
+        tested = tested.union(more)
+    roots = connected_components(links, "op5-roots")
 
     labelled = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_node = labelled.join(smallest, "root").select("node", "component_id", F.lit(True).alias("known"))
+    of_node = labelled.join(smallest, "root").select("node", "component_id", "root")
     out = profile.select("doc_id", "n_shingles", "rid", "node").join(of_node, "node", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "rid", "node")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "rid", "node", "root")
+
+
+def drop_near_duplicates(docs: DataFrame, n_words: int = N_WORDS, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group: the smallest id, of equal ones any one.
+
+    Texts move only for rows that go, or that repeat, and their hash neighbours.
+    """
+    groups = near_duplicates(docs, n_words, threshold, id_col=id_col, text_col=text_col)
+    rows = groups.groupBy("rid").agg(F.count("*").alias("n"), F.first("kept").alias("kept"), F.coalesce(F.first("root"), F.col("rid")).alias("group"))
+    chosen = rows.where("kept").groupBy("group").agg(F.min("rid").alias("best"))
+    verdict = rows.join(chosen, "group").select("rid", (F.col("rid") == F.col("best")).alias("stays"), "n")
+    special = written(verdict.where("not stays or n > 1").select("rid", "stays"), "op5-special")
+    near, rest = split_by_keys(docs.withColumn("rid", row_key(id_col, text_col)), special, "rid")
+    near = near.join(special.where("not stays").select("rid"), "rid", "left_anti").dropDuplicates(["rid"])
+    return rest.select(*docs.columns).union(near.select(*docs.columns))

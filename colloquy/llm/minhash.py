@@ -318,6 +318,8 @@ def drop_near_duplicates(docs: DataFrame, n_words: int = N_WORDS, threshold: int
     chosen = rows.where("kept").groupBy("group").agg(F.min("rid").alias("best"))
     verdict = rows.join(chosen, "group").select("rid", (F.col("rid") == F.col("best")).alias("stays"), "n")
     special = written(verdict.where("not stays or n > 1").select("rid", "stays"), "op5-special")
-    near, rest = split_by_keys(docs.withColumn("rid", row_key(id_col, text_col)), special, "rid")
+    # the rows are structs, so that no name clashes
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), row_key(id_col, text_col).alias("rid"))
+    near, rest = split_by_keys(keyed, special, "rid")
     near = near.join(special.where("not stays").select("rid"), "rid", "left_anti").dropDuplicates(["rid"])
-    return rest.select(*docs.columns).union(near.select(*docs.columns))
+    return rest.select("row.*").union(near.select("row.*"))

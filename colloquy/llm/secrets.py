@@ -169,11 +169,13 @@ def redact(docs: DataFrame, mark: str = "<SECRET>", fdr: float = FDR, reject: fl
         return F.when((F.size(acc) > 0) & (x["start"] < last["end"]), joined).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end")))))
 
     merged = F.aggregate("spans", F.array().cast(kind), merge)
-    text = F.col(text_col)
+    text = F.col("row")[text_col]
     begins = F.concat(F.array(F.lit(0)), F.transform("merged", lambda x: x["end"]))
     ends = F.concat(F.transform("merged", lambda x: x["start"]), F.array(F.length(text)))
     kept = F.array_join(F.zip_with(begins, ends, lambda b, e: text.substr(b + 1, e - b)), mark)
-    # texts without a span stay where they are
-    near, rest = split_by_keys(docs.withColumn("rid", row_key(id_col, text_col)), spans, "rid")
-    near = near.join(spans, "rid", "left").withColumn("merged", merged).withColumn(text_col, F.when(F.col("spans").isNotNull(), kept).otherwise(text))
-    return rest.select(*docs.columns).union(near.select(*docs.columns))
+    # texts without a span stay where they are; the rows are structs, so that no name clashes
+    rows = docs.select(F.struct(*docs.columns).alias("row"), row_key(id_col, text_col).alias("rid"))
+    near, rest = split_by_keys(rows, spans, "rid")
+    near = near.join(spans, "rid", "left").withColumn("merged", merged)
+    clean = F.col("row").withField(text_col, F.when(F.col("spans").isNotNull(), kept).otherwise(text)).alias("row")
+    return rest.select("row.*").union(near.select(clean).select("row.*"))

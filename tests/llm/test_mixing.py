@@ -36,7 +36,7 @@ def test_weights_and_epochs(spark):
 
 
 def test_against_sql(spark, tmp_path):
-    documents = frame(spark).select("doc_id", "text", "lang", "source").toPandas()  # noqa: F841
+    documents = frame(spark).select("doc_id", "text", "lang", "source").toArrow()  # pandas would make ids floats
     con = duckdb.connect()
     con.register("documents", documents)
     columns = ["doc_id", "domain", "lang", "source", "epoch", "n_tokens", "taken_tokens"]

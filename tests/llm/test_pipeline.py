@@ -1,7 +1,6 @@
 from __future__ import annotations
 
 import re
-import zlib
 
 import corpus_pipeline
 from colloquy.llm.quality import score_quality
@@ -38,8 +37,7 @@ def test_stages_on_a_small_corpus(spark, tmp_path):
     clean = {r.doc_id: r for r in seen["secrets"]}
     assert set(clean) == want and clean[600].text.endswith("<SECRET> end") and clean[600].n_chars == len(clean[600].text)
     mixed = {r.doc_id for r in seen["mixing"]}
-    tokens = lambda rows: sum(len(re.findall(r"\S+", r.text)) for r in rows)
+    tokens = lambda rows: sum(len(re.findall(r"\S+", r.text or "")) for r in rows)
     assert mixed <= want and tokens(seen["mixing"]) >= 0.8 * tokens(seen["secrets"])
     assert {r.doc_id for r in seen["packing"]} == mixed
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == mixed
-    assert zlib.crc32(b"1") >= 0

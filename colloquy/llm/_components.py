@@ -12,7 +12,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Link each larger neighbour of a node to the node's smallest neighbour or itself."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -23,8 +23,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).where("a != b").distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each node is either linked down, once, or a root."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("down")), F.struct(F.col("b").alias("node"), F.lit(0).alias("down")))).alias("x")).select("x.*")
+    counts = ends.groupBy("node").agg(F.sum("down").alias("links"), F.min("down").alias("least"))
+    return counts.where("links > 1 or (links = 1 and least = 0)").isEmpty()
 
 
 def connected_components(edges: DataFrame, name: str = "components", max_rounds: int = 50) -> DataFrame:
@@ -33,13 +36,11 @@ def connected_components(edges: DataFrame, name: str = "components", max_rounds:
     Nodes without an edge are not listed. Each round is written to the shared
     folder; rounds go with the logarithm of the longest path.
     """
-    edges = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    state = _state(edges)
+    edges = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     for _ in range(max_rounds):
         edges = written(_small_star(_large_star(edges)), name)
-        if (now := _state(edges)) == state:
+        if _are_stars(edges):
             break
-        state = now
     else:
         raise RuntimeError(f"no convergence in {max_rounds} rounds")
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

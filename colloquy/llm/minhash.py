@@ -9,18 +9,20 @@ have an empty set and no links. Sets link at a Jaccard similarity of
 2. ``bands * rows`` universal hash minima give each node its band keys and a
    signature of one byte per minimum. With 32 bands of 4 rows a pair at 0.75
    shares no band with probability 5e-6.
-3. In each band bucket every node is paired with the smallest one only. Pairs
-   pass by signature, then by the full sets; components of what passed follow.
-4. Buckets that still hold several components are compared inside their task, by
-   signature, between components; what passes is confirmed on full sets too.
-   Large buckets first give the pairs of their most central nodes, twice, so
-   that a group joins over a few nodes; a last round gives all pairs of
-   different components. So every pair of a bucket is either connected already
-   or compared, and the pairs within a group are not emitted.
+3. Every node is paired with one other, the smallest node of most of its band
+   buckets. Pairs pass by signature, then by the full sets; components of what
+   passed follow.
+4. Buckets that still hold several components are searched inside their task, by
+   signature, for pairs of different components. Not the pairs come out, but their
+   nodes, under the pair of *blocks* that they belong to; a block is a bounded part
+   of the nodes with one smallest node. Each pair of blocks then gets the full sets
+   of its nodes once, whatever the number of pairs, and links those that reach
+   the threshold and aren't connected yet. So every pair of a bucket is either
+   connected or compared, and no more links come out of a task than join components.
 5. Components of all confirmed links by alternating large-star and small-star.
 
-Large buckets are compared in pairs of blocks of ``BLOCK`` nodes, and the
-partners of a frequent centre are dealt out over salted groups.
+Large buckets are searched in pairs of parts of ``BLOCK`` nodes, and the partners
+of a frequent centre are dealt out over salted groups.
 
 Edge cases: null and empty texts and texts of separators only have n_shingles 0
 and stand alone; repeated rows share a group; a null id never is a group's
@@ -44,6 +46,7 @@ N_WORDS = 5
 THRESHOLD = 75
 BANDS, ROWS = 32, 4
 BLOCK = 2000
+BLOCK_SHINGLES = 500_000
 _CENTRE = 500  # partners of a centre in one salted group
 _MIX = np.uint64(0x9DDFEA08EB382D69)
 
@@ -136,78 +139,108 @@ def _by_signature(least: float):
     return run
 
 
-def _likeness(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Share of equal signature bytes for every row of x and of y."""
-    return np.stack([(y == row).mean(axis=1, dtype=np.float32) for row in x])
+def _by_key(batches, name: str):
+    """A table for each run of equal values of a sorted column."""
+    held, last = [], None
+    for batch in batches:
+        key = batch.column(name).to_numpy(zero_copy_only=False)
+        edge = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)] if len(key) else []
+        for lo, hi in zip(edge, edge[1:]):
+            if held and key[lo] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            last = key[lo]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _ints(table: pa.Table, *names: str) -> list[np.ndarray]:
+    return [table.column(c).to_numpy() for c in names]
+
+
+def _search_buckets(least: float):
+    """(pair of blocks, node) of all pairs of different components in a bucket that pass by signature."""
+
+    def found(table: pa.Table):
+        i, j, node, root, block = _ints(table, "i", "j", "node", "root", "block")
+        sig = _matrix(table.column("sig").combine_chunks())
+        left, right = np.flatnonzero(i <= j), np.flatnonzero(i >= j)
+        one = len(left) == len(right) == len(node)
+        for x in left:
+            y = right[x + 1 :] if one else right
+            y = y[root[y] != root[x]]
+            y = y[(sig[y] == sig[x]).mean(axis=1, dtype=np.float32) >= least] if len(y) else y
+            if len(y):
+                low, high = np.minimum(block[x], block[y]).view(np.uint64), np.maximum(block[x], block[y]).view(np.uint64)
+                with np.errstate(over="ignore"):
+                    pair = mix64(low * _MIX + mix64(high)).view(np.int64)
+                yield from zip(pair.tolist(), node[y].tolist())
+                yield from zip(np.unique(pair).tolist(), [int(node[x])] * len(y))
 
+    def run(batches):
+        held: set[tuple[int, int]] = set()
+        for table in _by_key(batches, "bucket"):
+            held.update(found(table))
+            if len(held) > 100_000:
+                yield out(held)
+                held = set()
+        if held:
+            yield out(held)
 
-def _central(likeness: np.ndarray) -> np.ndarray:
-    """A few pairs that should join what can be joined, from a symmetric matrix with 0 for no candidate.
+    def out(held):
+        return pa.RecordBatch.from_arrays([pa.array([x[c] for x in held], pa.int64()) for c in (0, 1)], names=["pair", "node"])
 
-    The node with the largest sum goes with all its candidates, then the next
-    one among those that are not close to a chosen node; each node also goes
-    with its nearest.
-    """
-    n = len(likeness)
-    picked = np.zeros_like(likeness, dtype=bool)
-    picked[np.arange(n), likeness.argmax(axis=1)] = True
-    left = np.ones(n, bool)
-    for _ in range(8):
-        centre = int((likeness[:, left].sum(axis=1)).argmax())
-        picked[centre] |= left
-        left &= likeness[centre] < 0.7
-        left[centre] = False
-        if not left.any():
-            break
-    return picked & (likeness > 0)
-
-
-def _within_buckets(least: float, every: bool):
-    """Candidate pairs of different components in each run of equal keys, by signature.
-
-    All of them with ``every``, else those of :func:`_central` in large buckets.
-    """
+    return run
 
-    def pairs(bucket):
-        left, right = np.flatnonzero(bucket["i"] <= bucket["j"]), np.flatnonzero(bucket["i"] >= bucket["j"])
-        if not every and max(len(left), len(right)) > 16:
-            both = np.union1d(left, right)
-            like = np.zeros((len(both), len(both)), np.float32)
-            x, y = np.searchsorted(both, left), np.searchsorted(both, right)
-            like[np.ix_(x, y)] = _likeness(bucket["sig"][left], bucket["sig"][right])
-            like = np.maximum(like, like.T)
-            root = bucket["root"][both]
-            like[(root[:, None] == root[None, :]) | (like < least)] = 0
-            p, q = np.nonzero(_central(like))
-            found = [(bucket["node"][both[p]], bucket["node"][both[q]])]
-        else:
-            found = []
-            for lo in range(0, len(left), 256):
-                x = left[lo : lo + 256]
-                near = (_likeness(bucket["sig"][x], bucket["sig"][right]) >= least) & (bucket["root"][x][:, None] != bucket["root"][right][None, :])
-                p, q = np.nonzero(near)
-                found.append((bucket["node"][x[p]], bucket["node"][right[q]]))
-        return [(np.maximum(a, b), np.minimum(a, b)) for a, b in found]
+
+def _link_blocks(least: float, threshold: int):
+    """Links between components of a pair of blocks: signatures, then full sets; a linked pair becomes one component."""
+
+    def links(table: pa.Table):
+        node, root, block = _ints(table, "node", "root", "block")
+        raw, off = utf8_buffers(table.column("shingles"))
+        sets, bound = raw[off[0] : off[-1]].copy().view(np.uint64), (off - off[0]) // 8
+        size, sig = np.diff(bound), _matrix(table.column("sig").combine_chunks())
+        comp = np.unique(root, return_inverse=True)[1]
+        one = block.min() == block.max()
+        left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+        for x in left:
+            y = right[comp[right] != comp[x]]
+            y = y[y > x] if one else y
+            y = y[(100 * np.minimum(size[y], size[x]) >= threshold * np.maximum(size[y], size[x]))]
+            if not len(y):
+                continue
+            like = (sig[y] == sig[x]).mean(axis=1, dtype=np.float32)
+            y = y[np.argsort(-like, kind="stable")[: int((like >= least).sum())]]
+            own, step = sets[bound[x] : bound[x + 1]], 16
+            while len(y):
+                now, y, step = y[:step], y[step:], min(2 * step, 256)
+                flat = np.concatenate([sets[bound[k] : bound[k + 1]] for k in now])
+                same = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+                both = np.add.reduceat(same.astype(np.int64), np.cumsum(size[now]) - size[now])
+                for k in now[100 * both >= threshold * (len(own) + size[now] - both)]:
+                    if comp[k] != comp[x]:
+                        comp[comp == comp[k]] = comp[x]
+                        yield int(node[x]), int(node[k])
+                y = y[comp[y] != comp[x]]
 
     def run(batches):
-        held: dict = {}
-        for batch in batches:
-            got = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "i", "j", "node", "root")} | {"sig": _matrix(batch.column("sig"))}
-            held = {c: np.concatenate([held[c], got[c]]) for c in got} if held else got
-            edge = np.flatnonzero(np.diff(held["bucket"])) + 1
-            cut = int(edge[-1]) if len(edge) else 0
-            ready, held = {c: v[:cut] for c, v in held.items()}, {c: v[cut:] for c, v in held.items()}
-            yield from emit(ready, edge[:-1])
-        if held:
-            yield from emit(held, np.flatnonzero(np.diff(held["bucket"])) + 1)
+        for table in _by_key(batches, "pair"):
+            if got := list(links(table)):
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in got], pa.int64()) for c in (0, 1)], names=["a", "b"])
+
+    return run
 
-    def emit(part, edge):
-        if not len(part["bucket"]):
-            return
-        bound = [0, *edge.tolist(), len(part["bucket"])]
-        got = [p for lo, hi in zip(bound, bound[1:]) for p in pairs({c: v[lo:hi] for c, v in part.items()})]
-        a, b = (np.concatenate(x) for x in zip(*got))
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+def _sets(n_words: int):
+    def run(batches):
+        for batch in batches:
+            raw, off = utf8_buffers(batch.column("text"))
+            for i, j in slices(off):
+                sets, bound = shingle_sets(raw[off[i] : off[j]], off[i : j + 1] - off[i], n_words)
+                view = memoryview(sets.view(np.uint8))
+                yield pa.RecordBatch.from_arrays([batch.column("node")[i:j], pa.array([bytes(view[8 * s : 8 * e]) for s, e in zip(bound[:-1].tolist(), bound[1:].tolist())], pa.binary())], names=["node", "shingles"])
 
     return run
 
@@ -259,47 +292,53 @@ def near_duplicates(docs: DataFrame, n_words: int = N_WORDS, threshold: int = TH
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), row_key(id_col, text_col).alias("rid"))
     id_type = dict(docs.dtypes)["doc_id"]
     profile = written(docs.mapInArrow(_profile(n_words, bands, rows), f"doc_id {id_type}, rid long, n_shingles long, node long, bands array<long>, sig binary"), "op5-profile")
-    nodes = profile.where("n_shingles > 0").groupBy("node").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least"))
+    nodes = profile.where("n_shingles > 0").groupBy("node").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"))
     nodes = written(nodes.join(profile.select("node", "rid", "bands", "sig").dropDuplicates(["node", "rid"]), ["node", "rid"]), "op5-nodes")
     sig = nodes.select("node", "sig")
     keys = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = keys.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1")
     buckets = written(keys.join(shared, "bucket"), "op5-buckets")
+    # of equally frequent centres the smallest; a centre is smaller than its node
+    chosen = written(buckets.where("node != centre").groupBy("node").agg(F.mode("centre", deterministic=True).alias("centre")), "op5-centres")
 
     # a true pair falls this far below its expected agreement once in 1e7
     least = threshold / 100 - 5.2 * (0.25 * 0.75 / (bands * rows)) ** 0.5
-    star = buckets.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    star = chosen.select(F.col("centre").alias("a"), F.col("node").alias("b"))
     star = star.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
     star = written(star.mapInArrow(_by_signature(least), "a long, b long"), "op5-star")
 
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted = ends.join(nodes.select("node", "rid"), "node")
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        wanted = wanted.join(nodes.select("node", "rid"), "node")
         near, _ = split_by_keys(docs.select("rid", "text"), wanted.select("rid"), "rid")
-        return written(near.join(wanted, "rid").select("node", "text").dropDuplicates(["node"]), "op5-texts")
-
-    links = written(_confirmed(star, texts_of(star), n_words, threshold), "op5-links")
-    tested, blocks = star, F.ceil(F.col("n") / BLOCK).cast("int")
-    for every in (False, False, True):
-        roots = connected_components(links, "op5-roots")
-        labelled = buckets.where("n > 2").join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
-        several = labelled.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("bucket")
-        dealt = labelled.join(several, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        mixed = dealt.select(
-            "node", "root", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"),
-            F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("i"), F.when(F.col("own") < F.col("other"), 1).otherwise(0).alias("j"),
-        ).join(sig, "node").select("bucket", "i", "j", "node", "root", "sig")
-        found = mixed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_within_buckets(least, every), "a long, b long").distinct()
-        # links say nothing of order: tested pairs are kept as (larger, smaller) too
-        more = written(found.join(tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "op5-more")
-        if more.isEmpty():
-            if every:
-                break
-            continue
-        links = links.union(written(_confirmed(more, texts_of(more), n_words, threshold), "op5-links"))
-        tested = tested.union(more)
+        return near.join(wanted, "rid").select("node", "text").dropDuplicates(["node"])
+
+    ends = star.select(F.col("a").alias("node")).union(star.select(F.col("b").alias("node"))).distinct()
+    links = written(_confirmed(star, written(texts_of(ends), "op5-texts"), n_words, threshold), "op5-links")
     roots = connected_components(links, "op5-roots")
 
+    # blocks: the nodes below one centre's centre, in parts of bounded count and size
+    above = chosen.select(F.col("node").alias("centre"), F.col("centre").alias("upper"))
+    placed = nodes.join(chosen, "node", "left").join(above, "centre", "left").join(roots, "node", "left")
+    placed = placed.select("node", "sig", "n_shingles", F.coalesce("root", "node").alias("root"), F.coalesce("upper", "centre", "node").alias("cluster"))
+    sizes = placed.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    placed = written(placed.join(sizes, "cluster").select("node", "sig", "root", F.xxhash64("cluster", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).alias("block")), "op5-placed")
+
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    labelled = written(buckets.join(placed.select("node", "root"), "node").select("bucket", "node", "n", "root"), "op5-labelled")
+    several = labelled.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("bucket")
+    dealt = labelled.join(several, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    mixed = dealt.select(
+        "node", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"),
+        F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("i"), F.when(F.col("own") < F.col("other"), 1).otherwise(0).alias("j"),
+    ).join(placed, "node")
+    found = mixed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_search_buckets(least), "pair long, node long")
+    found = written(found.distinct(), "op5-found")
+    sets = written(texts_of(found.select("node").distinct()).mapInArrow(_sets(n_words), "node long, shingles binary"), "op5-sets")
+    searched = found.join(placed, "node").join(sets, "node").repartition("pair").sortWithinPartitions("pair")
+    more = written(searched.mapInArrow(_link_blocks(least, threshold), "a long, b long"), "op5-more")
+    if not more.isEmpty():
+        roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "op5-roots")
+
     labelled = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     of_node = labelled.join(smallest, "root").select("node", "component_id", "root")

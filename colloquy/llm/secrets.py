@@ -98,28 +98,32 @@ def token_tests(tokens: DataFrame, col: str = "value") -> DataFrame:
     high = F.transform("_x", lambda x: x >= F.col("_k") / 2)
     out = out.withColumn("_up", F.size(F.filter(high, lambda h: h)).cast("double")).withColumn("_low", F.col("_n") - F.col("_up"))
     changes = F.size(F.filter(F.arrays_zip(F.slice(high, 1, F.size("_x") - 1).alias("p"), F.slice(high, 2, F.size("_x") - 1).alias("q")), lambda y: y["p"] != y["q"]))
-    expected = 2 * F.col("_up") * F.col("_low") / F.col("_n") + 1
-    spread = (expected - 1) * (expected - 2) / (F.col("_n") - 1)
+    expected, spread = F.col("_expected"), F.col("_spread")
     mean = F.aggregate("_x", F.lit(0.0), lambda a, x: a + x) / F.col("_n")
-    out = out.withColumn("_runs", changes + 1.0).withColumn("_mean", mean)
+    out = out.withColumns({"_runs": changes + 1.0, "_mean": mean, "_expected": 2 * F.col("_up") * F.col("_low") / F.col("_n") + 1})
+    out = out.withColumn("_spread", (expected - 1) * (expected - 2) / (F.col("_n") - 1))
     around = F.transform("_x", lambda x: x - F.col("_mean"))
-    power = F.aggregate(around, F.lit(0.0), lambda a, x: a + x * x)
-    lagged = F.aggregate(F.zip_with(F.slice(around, 1, F.size("_x") - 1), F.slice(around, 2, F.size("_x") - 1), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    free = F.col("_k") - 1
-    ordinary = F.greatest(F.col("_n") * (F.col("_k") * ORDINARY_REPEAT - 1), F.lit(0.0)) + free
+    out = out.withColumn("_around", around)
+    lagged = F.aggregate(F.zip_with(F.slice("_around", 1, F.size("_x") - 1), F.slice("_around", 2, F.size("_x") - 1), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    out = out.withColumns({"_power": F.aggregate("_around", F.lit(0.0), lambda a, x: a + x * x), "_lagged": lagged})
+    # columns of their own, as the approximations below name them often
+    out = out.withColumn("_ordinary", F.greatest(F.col("_n") * (F.col("_k") * ORDINARY_REPEAT - 1), F.lit(0.0)) + F.col("_k") - 1)
+    out = out.withColumn("_ordinary_z", _chi_z(F.col("_chi"), F.col("_ordinary")))
     return (
-        out.withColumn("chi_z", _chi_z(F.col("_chi"), free))
-        .withColumn("runs_z", F.when(spread > 0, (F.col("_runs") - expected) / F.sqrt(spread)).otherwise(F.lit(9.0)))
-        .withColumn("serial_z", F.when(power > 0, (lagged / power + 1 / F.col("_n")) * F.sqrt("_n")).otherwise(F.lit(9.0)))
-        .withColumn("ordinary_p", F.when(F.col("_k") * ORDINARY_REPEAT > 1, 1 - _upper_tail(_chi_z(F.col("_chi"), ordinary))).otherwise(F.lit(1.0)))
-        .drop("_symbols", "_k", "_n", "_x", "_chi", "_up", "_low", "_runs", "_mean")
+        out.withColumns({
+            "chi_z": _chi_z(F.col("_chi"), F.col("_k") - 1),
+            "runs_z": F.when(spread > 0, (F.col("_runs") - expected) / F.sqrt(spread)).otherwise(F.lit(9.0)),
+            "serial_z": F.when(F.col("_power") > 0, (F.col("_lagged") / F.col("_power") + 1 / F.col("_n")) * F.sqrt("_n")).otherwise(F.lit(9.0)),
+            "ordinary_p": F.when(F.col("_k") * ORDINARY_REPEAT > 1, 1 - _upper_tail(F.col("_ordinary_z"))).otherwise(F.lit(1.0)),
+        })
+        .drop("_symbols", "_k", "_n", "_x", "_chi", "_up", "_low", "_runs", "_mean", "_expected", "_spread", "_around", "_power", "_lagged", "_ordinary", "_ordinary_z")
     )
 
 
 def _discoveries(tests: DataFrame, fdr: float, reject: float) -> DataFrame:
     """Tokens that pass the battery and the discovery control of their length class."""
     p = F.greatest("ordinary_p", F.lit(1e-60))
-    tests = tests.withColumn("_class", F.least(F.floor(F.log2(F.length("value") / 5.0)), F.lit(12))).withColumn("_bin", F.least(F.floor(-F.log10(p) * _BINS_A_DECADE), F.lit(_LAST_BIN)))
+    tests = tests.withColumn("_class", F.least(F.floor(F.log2(F.col("size") / 5.0)), F.lit(12))).withColumn("_bin", F.least(F.floor(-F.log10(p) * _BINS_A_DECADE), F.lit(_LAST_BIN)))
     counts = tests.groupBy("_class", "_bin").count()
     group = Window.partitionBy("_class")
     steps = counts.withColumn("_rank", F.sum("count").over(group.orderBy(F.desc("_bin")))).withColumn("_m", F.sum("count").over(group))
@@ -144,6 +148,7 @@ def secret_spans(docs: DataFrame, fdr: float = FDR, reject: float = REJECT, id_c
     base = F.concat(*[named(n, k) for n, k in enumerate(KINDS)])
     found = written(found.withColumn("base", base).select("doc_id", "rid", "base", F.filter("token", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))).alias("token")), "op7-found")
     tests = token_tests(found.where(F.size("token") > 0).select("rid", F.explode("token").alias("t")).select("rid", "t.start", "t.end", "t.value"))
+    tests = written(tests.withColumn("size", F.length("value")).drop("value", "encoding"), "op7-tests")
     more = _discoveries(tests, fdr, reject).groupBy("rid").agg(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("n"), "end", F.lit("random").alias("kind"))).alias("more"))
     both = found.join(more, "rid", "left").withColumn("all", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<start:int,n:int,end:int,kind:string>>")))))
     return both.select("doc_id", "rid", F.transform("all", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("spans"))

@@ -120,11 +120,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample_a_class: int = SAMPLE_A_CLASS
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = [usable.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_a_class) for q in (0, 1)]
     sample = docs.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")  # at most 2 * sample_a_class rows
-    rows = sample.select("quality", "text").mapInArrow(_counts, "quality int, x binary").orderBy(F.crc32("x"), "x").limit(4 * sample_a_class).collect()
-    if not rows:
+    rows = sample.select("quality", "text").mapInArrow(_counts, "quality int, x binary").orderBy(F.crc32("x"), "x").limit(4 * sample_a_class).toArrow()
+    if not rows.num_rows:
         return {"idf": idf, "axes": None, "vectors": None, "labels": None, "prior": 0.5}
-    y = np.array([r.quality for r in rows], np.float32)
-    x = _weighted(np.stack([np.frombuffer(r.x, np.float32) for r in rows]), idf).astype(np.float32)
+    y = rows.column("quality").to_numpy().astype(np.float32)
+    raw, off = utf8_buffers(rows.column("x"))
+    x = _weighted(raw[off[0] : off[-1]].copy().view(np.float32).reshape(-1, TERMS), idf).astype(np.float32)
     axes = _latent_axes(x, DIMENSIONS)
     v = x @ axes
     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)

@@ -25,7 +25,6 @@ import functools
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,17 +88,17 @@ def _pieces(path: str | None, capacity: int, small: int):
 def _decreasing(capacity: int):
     """First fit by decreasing length over the bounded rest."""
 
-    def run(left: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values(["length", "rid", "start"], ascending=[False, True, True]).reset_index(drop=True)
+    def run(left: pa.Table) -> pa.Table:
+        left = left.sort_by([("length", "descending"), ("rid", "ascending"), ("start", "ascending")])
         free = np.zeros(0, np.int64)
         place = []
-        for n in left["length"]:
+        for n in left.column("length").to_pylist():
             fits = np.flatnonzero(free >= n)
             if not len(fits):
                 free, fits = np.append(free, capacity), [len(free)]
             free[fits[0]] -= n
             place.append(int(fits[0]))
-        return left.assign(bin=place)
+        return left.set_column(left.schema.get_field_index("bin"), "bin", pa.array(place, pa.int64()))
 
     return run
 
@@ -127,7 +126,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, small: int = SMALL, workers:
     pool = written(pool, "op8-pool")
     across, rest = numbered(pool.withColumn("worker", F.lit(workers)), "class")
     last = rest.withColumn("worker", F.lit(workers + 1)).withColumn("class", F.lit(0)).withColumn("bin", F.lit(0).cast("long"))
-    last = last.groupBy("worker").applyInPandas(_decreasing(capacity), last.schema)
+    last = last.groupBy("worker").applyInArrow(_decreasing(capacity), last.schema)
     placed = own.unionByName(across).unionByName(last)
     sequence = F.shiftleft(F.col("worker").cast("long"), 40) + F.shiftleft(F.col("class").cast("long"), 32) + F.col("bin")
     before = Window.partitionBy("sequence_id").orderBy("rid", "start").rowsBetween(Window.unboundedPreceding, -1)

@@ -119,6 +119,22 @@ def _score(model):
     return run
 
 
+def _most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """(h, n) of the words above a count, which is as low as ``most`` rows allow.
+
+    The count comes from a table of sixteenths of powers of two, so that no task or
+    the driver sees more rows than are taken.
+    """
+    level = F.floor(F.log2(F.col("n")) * 16)
+    total, least = 0, None
+    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # at most 1024 rows
+        total += r["count"]
+        if total > most:
+            break
+        least = r["level"]
+    return counts.where(F.lit(False) if least is None else level >= least).select("h", "n")
+
+
 def score_texts(docs: DataFrame, vocabulary_path: str | None = None, rounds: int = ROUNDS, frequent: int = FREQUENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
@@ -138,13 +154,13 @@ def score_texts(docs: DataFrame, vocabulary_path: str | None = None, rounds: int
             got[piece] = n
         log_p = np.log((got + SMOOTH) / (got + SMOOTH).sum())
 
-    top = counts.orderBy(F.desc("n"), "h").limit(frequent).select("h", "n").toPandas()  # at most ``frequent`` rows
-    key = top["h"].to_numpy(np.int64).view(np.uint64)
+    top = _most_frequent(counts, frequent).toArrow()
+    key = top["h"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(key)
     log_all = np.log10(n_all + n_distinct + 1)
     stop = (ends + 1) / (n_all + 2)
     model = sc.broadcast({
-        "path": vocabulary_path, "log_p": log_p, "key": key[order], "times": top["n"].to_numpy(float)[order], "log_all": log_all, "more": distinct > len(key),
+        "path": vocabulary_path, "log_p": log_p, "key": key[order], "times": top["n"].to_numpy().astype(float)[order], "log_all": log_all, "more": distinct > len(key),
         "go_on": np.log10(1 - stop), "stop": np.log10(stop), "end_base": np.log10(ends + 1) - log_all, "end_known": int(ends > 0),
     })
     schema = f"rid long, doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>, rare_n array<int>"

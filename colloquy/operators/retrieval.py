@@ -4,35 +4,109 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
 
-MAX_QUERIES = 100_000
-
-
-def cosine_distance(a: Column, b: Column) -> Column:
-    """1 - cosine, in double precision; null for zero vectors."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return 1 - F.when(norm > 0, dot(a, b) / norm)
+#: A block of queries, broadcast at once: so many rows and bytes of vectors at most.
+MAX_QUERIES, BLOCK_BYTES = 100_000, 32 << 20
+_CHUNK = 256
+
+
+def usable(vector: Column) -> Column:
+    """Whether a vector has a distance: not null, not zero, all components finite."""
+    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return F.coalesce(fine & F.exists(vector, lambda x: x != 0), F.lit(False))
+
+
+def _by_length(ids: pa.Array, vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors, as a matrix, of each vector length."""
+    ids, sizes, flat = ids.to_numpy(zero_copy_only=False), pc.list_value_length(vectors).to_numpy(zero_copy_only=False), vectors.flatten().to_numpy(zero_copy_only=False)
+    of = np.repeat(sizes, sizes)
+    return {int(d): (ids[sizes == d], flat[of == d].reshape(-1, d)) for d in np.unique(sizes)}
+
+
+def _fold(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products of rows, summed in the order of the components: equal vectors get equal sums."""
+    out = np.zeros(len(a))
+    for i in range(a.shape[1]):
+        out += a[:, i] * b[:, i]
+    return out
+
+
+def _best(query: np.ndarray, ids: np.ndarray, distance: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k nearest of each query, the smaller id first if equal."""
+    order = np.lexsort((ids, distance, query))
+    first = np.flatnonzero(np.diff(query[order], prepend=-1))
+    rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+    return order[rank < k]
+
+
+def _block_topk(block, k: int):
+    """The k nearest rows of a task for each query of a broadcast block."""
+
+    def run(batches):
+        asked = {d: (ids, q, np.sqrt(_fold(q, q))) for d, (ids, q) in block.value.items()}
+        best: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for d, (ids, x) in _by_length(batch.column("id"), batch.column("vector")).items():
+                if d not in asked:
+                    continue
+                q_ids, qs, q_norms = asked[d]
+                norms = np.sqrt(_fold(x, x))
+                for lo in range(0, len(qs), _CHUNK):
+                    q, q_norm, q_id = qs[lo : lo + _CHUNK], q_norms[lo : lo + _CHUNK], q_ids[lo : lo + _CHUNK]
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        near = (q @ x.T) / (q_norm[:, None] * norms)
+                    near[~np.isfinite(near) | (q_id[:, None] == ids)] = -np.inf
+                    kept = best.get((d, lo), (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)))
+                    # products of matrices differ in the last digits: all that may be among the k go on to the exact sums
+                    least = np.partition(near, len(x) - k, axis=1)[:, len(x) - k] if len(x) > k else np.full(len(q), -np.inf)
+                    full = np.bincount(kept[0], minlength=len(q)) >= k
+                    worst = np.full(len(q), -np.inf)
+                    np.maximum.at(worst, kept[0], kept[2])
+                    least = np.maximum(least, np.where(full, 1 - worst, -np.inf)) - 1e-9
+                    a, b = np.nonzero((near >= least[:, None]) & (near > -np.inf))
+                    for s in range(0, len(a), 50_000):
+                        u, v = a[s : s + 50_000], b[s : s + 50_000]
+                        found = (u, ids[v], 1 - _fold(q[u], x[v]) / (q_norm[u] * norms[v]))
+                        kept = tuple(np.concatenate(y) for y in zip(kept, found))
+                        top = _best(*kept, k)
+                        kept = tuple(y[top] for y in kept)
+                    best[d, lo] = kept
+        for (d, lo), (u, ids, distance) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array(asked[d][0][lo + u]), pa.array(ids), pa.array(distance)], names=["query_id", "id", "distance"])
+
+    return run
 
 
 def vector_topk(rows: DataFrame, queries: DataFrame, k: int, where: Column | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The k nearest rows of each query(query_id, query_vector): query_id, id, rank, distance.
-
-    The predicate applies before the distance. The query set must be bounded, and
-    is checked to be: it is broadcast, so rows never move before the ranking,
-    and ranking keeps k rows a query and task before the shuffle.
+    """The k nearest rows by cosine of each query(query_id, query_vector): query_id, id, rank, distance.
+
+    Distances are exact, 1 - cosine in double precision, and the predicate applies
+    before them. The query set may grow with the table: it is broadcast in blocks,
+    one pass over the rows each, so rows never move before the ranking, and a task
+    keeps k rows a query before the shuffle. Ids are whole numbers; rows with the
+    query's id are no hits of it. Rows and queries without an id or with a vector
+    that is not ``usable`` take no part, nor do pairs of different lengths.
     """
-    if len(queries.select("query_id").limit(MAX_QUERIES + 1).take(MAX_QUERIES + 1)) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries: use an index")
-    rows = rows.where(where) if where is not None else rows
-    pairs = rows.select(F.col(id_col), F.col(vector_col).alias("_v")).join(F.broadcast(queries), F.col(id_col) != F.col("query_id"))
-    scored = pairs.select("query_id", id_col, cosine_distance(F.col("_v"), F.col("query_vector")).alias("distance"))
+    fine = rows.where(where) if where is not None else rows
+    fine = fine.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    asked = queries.where(F.col("query_id").isNotNull() & usable(F.col("query_vector"))).select(F.col("query_id").cast("long").alias("id"), F.col("query_vector").cast("array<double>").alias("vector"))
+    n, size = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("vector").cast("long") * 8), F.lit(0))).first()
+    blocks = max(1, -(-n // MAX_QUERIES), -(-size // BLOCK_BYTES))
+    scored = None
+    for i in range(blocks):
+        block = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).toArrow()
+        held = rows.sparkSession.sparkContext.broadcast(_by_length(block.column("id").combine_chunks(), block.column("vector").combine_chunks()))
+        one = fine.mapInArrow(_block_topk(held, k), "query_id long, id long, distance double")
+        scored = one if scored is None else scored.union(one)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", id_col))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return scored.withColumnRenamed("id", id_col).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def merge_variants(hits: DataFrame, id_col: str = "vec_id") -> DataFrame:

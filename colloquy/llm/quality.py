@@ -6,14 +6,16 @@ document frequency over all documents. A truncated singular value decomposition
 of the labelled sample gives ``DIMENSIONS`` latent axes. The labelled vectors are
 broadcast (at most ``2 * SAMPLE_A_CLASS`` of them, a fixed bound), every document
 gets the exact cosines to all of them in blocks, and its ``NEIGHBOURS`` nearest
-vote with their similarity.
+vote with their similarity, times the documents of their class for each sampled one.
 
 The sample takes the labelled rows with the smallest hashes of their ids,
 ``SAMPLE_A_CLASS`` at most of each label; rows of the held-out fold are never
-in it. Everything but the labels covers all documents.
+in it. Everything but the sample covers all documents; class shares are counted
+over all labelled ones outside that fold, so scores don't lean to the rarer class
+where the sample is bounded.
 
-Edge cases: null and empty texts have no terms and get the share of label 1 in
-the sample, 0.5 without labels; repeated rows get equal scores; labels other
+Edge cases: null and empty texts have no terms and get the share of label 1 among
+the labelled documents, 0.5 without labels; repeated rows get equal scores; labels other
 than 0 and 1 are ignored, of several labels of an id the smallest counts; a null
 id is never held out and has no label; other columns are ignored; an empty table
 gives an empty result. Long texts are read whole.
@@ -119,17 +121,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample_a_class: int = SAMPLE_A_CLASS
     idf[37:40] = 3  # the share marks are scaled already
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = [usable.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_a_class) for q in (0, 1)]
+    total = dict(docs.select("doc_id").join(usable, "doc_id").groupBy("quality").count().collect())  # two rows at most
     sample = docs.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")  # at most 2 * sample_a_class rows
     rows = sample.select("quality", "text").mapInArrow(_counts, "quality int, x binary").orderBy(F.crc32("x"), "x").limit(4 * sample_a_class).toArrow()
     if not rows.num_rows:
-        return {"idf": idf, "axes": None, "vectors": None, "labels": None, "prior": 0.5}
+        return {"idf": idf, "axes": None, "vectors": None, "labels": None, "weights": None, "prior": 0.5}
     y = rows.column("quality").to_numpy().astype(np.float32)
     raw, off = utf8_buffers(rows.column("x"))
     x = _weighted(raw[off[0] : off[-1]].copy().view(np.float32).reshape(-1, TERMS), idf).astype(np.float32)
     axes = _latent_axes(x, DIMENSIONS)
     v = x @ axes
     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-    return {"idf": idf, "axes": axes, "vectors": v, "labels": y, "prior": float(y.mean())}
+    # documents that a sampled one of its class stands for
+    weights = np.array([total.get(q, 0) / max((y == q).sum(), 1) for q in (0, 1)])[y.astype(int)]
+    return {"idf": idf, "axes": axes, "vectors": v, "labels": y, "weights": weights, "prior": float((weights * y).sum() / weights.sum())}
 
 
 def _vote(model, neighbours: int):
@@ -148,7 +153,7 @@ def _vote(model, neighbours: int):
                     cos = (v[at] / norm[at, None]) @ m["vectors"].T
                     k = min(neighbours, cos.shape[1])
                     near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-                    weight = np.maximum(np.take_along_axis(cos, near, axis=1), 1e-6).astype(float) ** 4
+                    weight = np.maximum(np.take_along_axis(cos, near, axis=1), 1e-6).astype(float) ** 4 * m["weights"][near]
                     score[i + at] = (weight * m["labels"][near]).sum(axis=1) / weight.sum(axis=1)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(np.clip(score, 0, 1)), *(batch.column(c) for c in batch.schema.names[3:])], names=["doc_id", "held_out", "score", *batch.schema.names[3:]])
 

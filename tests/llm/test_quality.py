@@ -42,3 +42,21 @@ def test_odd_rows(spark):
     assert len(got) == len(rows()) and all(0 <= r.score <= 1 for r in got) and got[0].kept.rid in ("r", None)
     assert {r.score for r in score_quality(frame(spark), labels.limit(0)).collect()} == {0.5}
     assert score_quality(spark.createDataFrame([], SCHEMA), labels).collect() == []
+
+
+def test_scores_keep_the_class_shares_of_a_bounded_sample(spark):
+    docs, labels = labelled()
+    docs += [(1000, ""), (1001, None)]
+    usable = [q for i, q in labels if zlib.crc32(str(i).encode()) % 4 != 2]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    for bound in (20, 2000):
+        got = {r.doc_id: r.score for r in score_quality(*frames, sample_a_class=bound).collect()}
+        assert abs(got[1000] - sum(usable) / len(usable)) < 1e-9 and got[1001] == got[1000]
+
+
+def test_votes_count_for_the_class_they_stand_for(spark):
+    rng = random.Random(9)
+    docs = [(i, words(rng, 60)) for i in range(400)]  # labels without relation to the text: scores are shares
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 10 != 0)) for i, _ in docs], "doc_id long, quality int")
+    got = [r.score for r in score_quality(*frames, sample_a_class=20).where("held_out").collect()]
+    assert sum(got) / len(got) > 0.75

@@ -10,9 +10,14 @@ battery looks at every other run of ``TOKEN`` symbols: the smallest of the
 
 A token is *random* if none of the three rejects a uniform independent source
 (at ``reject`` each, two-sided). It is a *discovery* if ordinary writing would
-hardly look as uniform: the chi-squared statistic is held against its
-distribution for text with the letter repetition ``ORDINARY_REPEAT``, and
-Benjamini-Hochberg controls the false discovery rate at ``fdr`` within each
+hardly look as uniform. For encodings of 32 symbols and more, the chi-squared
+statistic is held against its distribution for text with the letter repetition
+``ORDINARY_REPEAT``. Repetition says little about fewer symbols, so there the
+likelihood of the token is compared: uniform symbols against the ``LETTERS`` of the
+language that fits best, in hex against words of the first six letters and numbers,
+with a change between letter and digit at ``ORDINARY_CHANGE`` of the places (a run
+of digits alone is a number). The inverse ratio bounds the p-value, as the ratio
+has mean 1 at most in ordinary writing. Benjamini-Hochberg controls the false discovery rate at ``fdr`` within each
 length class, over all tokens of the corpus. The p-values are counted in bins
 first, so the step sees a bounded table; a bin counts with its upper end.
 
@@ -24,6 +29,8 @@ null id is kept; other columns are ignored.
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +59,15 @@ ENCODINGS = (
 )
 #: Chance that two letters of ordinary writing are equal.
 ORDINARY_REPEAT = 0.07
+#: Occurrences of a to z in ten thousand letters of English, German, French and Spanish; rare ones count as ten.
+LETTERS = (
+    (820, 150, 280, 430, 1270, 220, 200, 610, 700, 15, 77, 400, 240, 670, 750, 190, 10, 600, 630, 910, 280, 98, 240, 15, 200, 10),
+    (650, 190, 270, 510, 1740, 170, 300, 480, 760, 27, 120, 340, 250, 980, 250, 80, 10, 700, 730, 620, 440, 85, 190, 10, 10, 110),
+    (760, 90, 330, 370, 1470, 110, 90, 70, 750, 60, 10, 550, 300, 710, 580, 300, 140, 670, 790, 720, 630, 180, 10, 40, 30, 14),
+    (1250, 220, 400, 590, 1370, 70, 180, 70, 620, 40, 10, 500, 320, 670, 870, 250, 90, 690, 800, 460, 390, 90, 10, 22, 90, 52),
+)
+#: Chance that a word ends at a digit or a number at a letter.
+ORDINARY_CHANGE = 0.15
 FDR, REJECT = 0.01, 0.001
 _BINS_A_DECADE, _LAST_BIN = 20, 1200
 
@@ -106,6 +122,14 @@ def token_tests(tokens: DataFrame, col: str = "value") -> DataFrame:
     out = out.withColumn("_around", around)
     lagged = F.aggregate(F.zip_with(F.slice("_around", 1, F.size("_x") - 1), F.slice("_around", 2, F.size("_x") - 1), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
     out = out.withColumns({"_power": F.aggregate("_around", F.lit(0.0), lambda a, x: a + x * x), "_lagged": lagged})
+    # log likelihood ratios of uniform symbols to ordinary writing, by symbol
+    gains = {26: [[log(sum(row) / (26 * x)) for x in row] for row in LETTERS], 16: [[log(10 / 16)] * 10 + [log(sum(row[:6]) / (16 * x)) for x in row[:6]] for row in LETTERS]}
+    sum_of = lambda row: F.aggregate("_x", F.lit(0.0), lambda a, x: a + F.get(F.array(*map(F.lit, row)), x.cast("int")))
+    gain = lambda k: F.least(*map(sum_of, gains[k]))
+    turns = F.size(F.filter(F.arrays_zip(F.slice("_x", 1, F.size("_x") - 1).alias("p"), F.slice("_x", 2, F.size("_x") - 1).alias("q")), lambda y: (y["p"] >= 10) != (y["q"] >= 10)))
+    stays = F.col("_n") - 1 - F.col("_turns")
+    out = out.withColumn("_turns", F.when(F.col("_k") == 16, turns))
+    out = out.withColumn("_ratio", F.when(F.col("_k") == 16, gain(16) + log(2) - log(ORDINARY_CHANGE) * F.col("_turns") - log(1 - ORDINARY_CHANGE) * stays).when(F.col("_k") == 26, gain(26)))
     # columns of their own, as the approximations below name them often
     out = out.withColumn("_ordinary", F.greatest(F.col("_n") * (F.col("_k") * ORDINARY_REPEAT - 1), F.lit(0.0)) + F.col("_k") - 1)
     out = out.withColumn("_ordinary_z", _chi_z(F.col("_chi"), F.col("_ordinary")))
@@ -114,9 +138,9 @@ def token_tests(tokens: DataFrame, col: str = "value") -> DataFrame:
             "chi_z": _chi_z(F.col("_chi"), F.col("_k") - 1),
             "runs_z": F.when(spread > 0, (F.col("_runs") - expected) / F.sqrt(spread)).otherwise(F.lit(9.0)),
             "serial_z": F.when(F.col("_power") > 0, (F.col("_lagged") / F.col("_power") + 1 / F.col("_n")) * F.sqrt("_n")).otherwise(F.lit(9.0)),
-            "ordinary_p": F.when(F.col("_k") * ORDINARY_REPEAT > 1, 1 - _upper_tail(F.col("_ordinary_z"))).otherwise(F.lit(1.0)),
+            "ordinary_p": F.when(F.col("_ratio").isNotNull(), F.exp(-F.greatest("_ratio", F.lit(0.0)))).when(F.col("_k") * ORDINARY_REPEAT > 1, 1 - _upper_tail(F.col("_ordinary_z"))).otherwise(F.lit(1.0)),
         })
-        .drop("_symbols", "_k", "_n", "_x", "_chi", "_up", "_low", "_runs", "_mean", "_expected", "_spread", "_around", "_power", "_lagged", "_ordinary", "_ordinary_z")
+        .drop("_symbols", "_k", "_n", "_x", "_chi", "_up", "_low", "_runs", "_mean", "_expected", "_spread", "_around", "_power", "_lagged", "_ordinary", "_ordinary_z", "_turns", "_ratio")
     )
 
 

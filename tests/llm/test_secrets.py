@@ -52,3 +52,18 @@ def test_redaction_and_other_columns(spark):
 
 def test_empty_table(spark):
     assert secret_spans(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_short_tokens_of_few_symbols_are_found(spark):
+    rng = random.Random(11)
+    run = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    planted = [run("0123456789ABCDEF", n) for n in (32, 32, 40, 40, 64, 64) for _ in range(10)] + [run("0123456789abcdef", n) for n in (22, 23) for _ in range(30)] + [run(string.ascii_lowercase, n) for n in (22, 24, 26) for _ in range(20)]
+    left = ["20240131120000123456789", "31415926535897932384626433832795", "00000000000000000000", "FACADEDECADEACCEDEDBEADED", "DEFACED2024DECADE1999FACADE2001", "abacadabaca2024facade1999", "donaudampfschifffahrtsgesellschaft", "internationalizationofeverything", "ANTICONSTITUTIONNELLEMENTPARLANT", "electroencefalografistasdelmundo"]
+    docs = list(enumerate(planted + left))
+    got = [bool(r.spans) for r in sorted(digest(secret_spans(spark.createDataFrame(docs, "doc_id long, text string").where("text not rlike '^[0-9a-f]{24,}$'"))).collect())]
+    # a run of 24 or more lower-case hex symbols, digits alone among them, is a base span: not asked here
+    kept = [(i, t) for i, t in docs if not re.fullmatch("[0-9a-f]{24,}", t)]
+    found = {i for (i, _), hit in zip(kept, got) if hit}
+    upper, short, lower = (sum(i in found for i in part) / len(part) for part in (range(60), range(60, 120), range(120, 180)))
+    assert upper >= 0.9 and short >= 0.7 and lower >= 0.7
+    assert not [t for i, t in kept if i >= len(planted) and i in found]

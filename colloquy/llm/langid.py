@@ -2,8 +2,8 @@
 
 Byte trigrams of lower-cased words, with word borders, are counted for each
 learned language over all training documents, in ``BUCKETS`` hashed columns; so
-are the scripts of the letters. A word's script, from fixed Unicode ranges,
-leaves the languages of which at least ``SCRIPT_SHARE`` of the letters are in
+are the scripts of the letters. Every letter of Unicode has a script, from fixed
+ranges, or is of one class for the rest. A word's script leaves the languages of which at least ``SCRIPT_SHARE`` of the letters are in
 it (all, if there are none). Its score in each is the log-likelihood of its
 trigrams, normalised over languages and floored. Viterbi decoding over the words
 of a text, with ``PENALTY`` for a change of language, labels the words; runs of
@@ -19,6 +19,9 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,26 +32,45 @@ from .quality import held_out
 
 BUCKETS = 1 << 15
 PENALTY, FLOOR, SCRIPT_SHARE, STRETCH = 6.0, -5.0, 0.005, 4096
-_OTHER, _LATIN, _GREEK, _CYRILLIC, _ARMENIAN, _HEBREW, _ARABIC, _INDIC, _SOUTHEAST, _KANA, _HAN, _HANGUL = range(12)
-_SCRIPTS = 12
-
-#: Fixed Unicode blocks by UTF-8 lead byte; E0 to E3 and EA depend on the second byte too.
-_LEAD = np.full(256, _OTHER, np.uint8)
-for _lo, _hi, _script in ((65, 91, _LATIN), (97, 123, _LATIN), (0xC3, 0xCA, _LATIN), (0xCD, 0xD0, _GREEK), (0xD0, 0xD4, _CYRILLIC), (0xD4, 0xD6, _ARMENIAN), (0xD7, 0xD8, _HEBREW), (0xD8, 0xDC, _ARABIC), (0xE4, 0xEA, _HAN), (0xEB, 0xEE, _HANGUL)):
-    _LEAD[_lo:_hi] = _script
+_OTHER, _LETTER, _LATIN, _GREEK, _CYRILLIC, _ARMENIAN, _HEBREW, _ARABIC, _INDIC, _SOUTHEAST, _KANA, _HAN, _HANGUL, _GEORGIAN, _ETHIOPIC, _KHMER, _BURMESE, _MONGOLIAN, _CHEROKEE = range(19)
+_SCRIPTS = 19
+
+#: Fixed Unicode ranges (first, last) by script. Letters outside them are ``_LETTER``, all else is ``_OTHER``.
+_RANGES = (
+    (0x41, 0x2FF, _LATIN), (0x370, 0x3FF, _GREEK), (0x400, 0x52F, _CYRILLIC), (0x530, 0x58F, _ARMENIAN), (0x590, 0x5FF, _HEBREW), (0x600, 0x6FF, _ARABIC), (0x750, 0x77F, _ARABIC), (0x870, 0x8FF, _ARABIC),
+    (0x900, 0xDFF, _INDIC), (0xE00, 0xFFF, _SOUTHEAST), (0x1000, 0x109F, _BURMESE), (0x10A0, 0x10FF, _GEORGIAN), (0x1100, 0x11FF, _HANGUL), (0x1200, 0x139F, _ETHIOPIC), (0x13A0, 0x13FF, _CHEROKEE),
+    (0x1780, 0x17FF, _KHMER), (0x1800, 0x18AF, _MONGOLIAN), (0x1C80, 0x1C8F, _CYRILLIC), (0x1C90, 0x1CBF, _GEORGIAN), (0x1D00, 0x1DBF, _LATIN), (0x1E00, 0x1EFF, _LATIN), (0x1F00, 0x1FFF, _GREEK), (0x2070, 0x214F, _LATIN),
+    (0x2C60, 0x2C7F, _LATIN), (0x2D00, 0x2D2F, _GEORGIAN), (0x2D80, 0x2DDF, _ETHIOPIC), (0x2DE0, 0x2DFF, _CYRILLIC), (0x3005, 0x3007, _HAN), (0x3040, 0x30FF, _KANA), (0x3130, 0x318F, _HANGUL), (0x31F0, 0x31FF, _KANA),
+    (0x3400, 0x9FFF, _HAN), (0xA640, 0xA69F, _CYRILLIC), (0xA720, 0xA7FF, _LATIN), (0xA960, 0xA97F, _HANGUL), (0xA9E0, 0xA9FF, _BURMESE), (0xAA60, 0xAA7F, _BURMESE), (0xAB00, 0xAB2F, _ETHIOPIC), (0xAB30, 0xAB6F, _LATIN),
+    (0xAB70, 0xABBF, _CHEROKEE), (0xAC00, 0xD7FF, _HANGUL), (0xF900, 0xFAFF, _HAN), (0xFB00, 0xFB06, _LATIN), (0xFB13, 0xFB17, _ARMENIAN), (0xFB1D, 0xFB4F, _HEBREW), (0xFB50, 0xFDFF, _ARABIC), (0xFE70, 0xFEFC, _ARABIC),
+    (0xFF21, 0xFF5A, _LATIN), (0xFF66, 0xFF9F, _KANA), (0xFFA0, 0xFFDC, _HANGUL), (0x20000, 0x323AF, _HAN),
+)
+_LAST_LETTER = 0x33FFF
+
+
+@cache
+def _script_table() -> np.ndarray:
+    """Script of each code point up to ``_LAST_LETTER``, ``_OTHER`` for those that aren't letters."""
+    out = np.full(_LAST_LETTER + 1, _LETTER, np.uint8)
+    for lo, hi, script in _RANGES:
+        out[lo : hi + 1] = script
+    out[[unicodedata.category(chr(c))[0] != "L" for c in range(_LAST_LETTER + 1)]] = _OTHER
+    return out
 
 
 def _scripts(data: np.ndarray) -> np.ndarray:
     """Script of each byte that begins a letter, else 0."""
-    out = _LEAD[data]
-    second = np.zeros(len(data), np.uint8)
-    second[:-1] = data[1:]
-    out[(data == 0xE0) & (second >= 0xA4) & (second < 0xB8)] = _INDIC
-    out[(data == 0xE0) & (second >= 0xB8)] = _SOUTHEAST
-    out[(data == 0xE1) & (second >= 0xB8) & (second < 0xBC)] = _LATIN
-    out[(data == 0xE3) & (second >= 0x81) & (second < 0x84)] = _KANA
-    out[(data == 0xE3) & (second >= 0x90)] = _HAN
-    out[(data == 0xEA) & (second >= 0xB0)] = _HANGUL
+    table = _script_table()
+    out = np.where(data < 0x80, table[data & 0x7F], np.uint8(_OTHER))
+    at = np.flatnonzero(data >= 0xC2)
+    if len(at):
+        pad = np.append(data, np.zeros(3, np.uint8))
+        b = [pad[at + k].astype(np.int32) & 0x3F for k in range(4)]
+        lead = data[at]
+        two = (b[0] & 0x1F) << 6 | b[1]
+        three = (b[0] & 0x0F) << 12 | b[1] << 6 | b[2]
+        four = (b[0] & 0x07) << 18 | b[1] << 12 | b[2] << 6 | b[3]
+        out[at] = table[np.minimum(np.where(lead < 0xE0, two, np.where(lead < 0xF0, three, four)), _LAST_LETTER)]
     return out
 
 

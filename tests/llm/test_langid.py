@@ -1,11 +1,12 @@
 from __future__ import annotations
 
 import random
+import unicodedata
 import zlib
 
 import numpy as np
 
-from colloquy.llm.langid import _viterbi, identify
+from colloquy.llm.langid import _scripts, _viterbi, identify
 
 from .corpus import SCHEMA, frame, rows
 
@@ -46,3 +47,18 @@ def test_odd_rows(spark):
     assert identify(spark.createDataFrame([], SCHEMA)).collect() == []
     no_lang = spark.createDataFrame([(1, "abc def", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in identify(no_lang).collect()] == ["und"]
+
+
+def test_letters_of_every_script_count(spark):
+    parts = PARTS | {"ka": ["ქართ", "ული", "ენა", "და", "არის"], "km": ["ភាសា", "ខ្មែរ", "និង", "នៅ"], "got": ["𐌰𐌽", "𐌸𐌰𐌹", "𐌲𐌿𐍄"], "aa-first": ["la", "ne", "ro"]}
+    rng = random.Random(6)
+    data = [(i, " ".join("".join(rng.choice(parts[lang]) for _ in range(rng.randint(1, 3))) for _ in range(20)), lang) for i in range(210) for lang in [list(parts)[i % 7]]]
+    got = {r.doc_id: r for r in identify(spark.createDataFrame(data, "doc_id long, text string, lang string")).collect()}
+    assert [(i, got[i].lang_pred) for i, _, _ in data] == [(i, lang) for i, _, lang in data] and all(r.score > 0.9 for r in got.values())
+
+
+def test_scripts_follow_unicode_letters():
+    for c in [*range(0x80, 0xD800, 7), *range(0xE000, 0x34000, 61), 0x10FFFF, *map(ord, "aZ5_éµʼΩἀЖქሀខကᠠᎠＡｱ々가𐌰𠀀")]:
+        data = np.frombuffer(chr(c).encode(), np.uint8)
+        script = _scripts(data)
+        assert (script[0] > 0) == (unicodedata.category(chr(c))[0] == "L") and not script[1:].any(), hex(c)

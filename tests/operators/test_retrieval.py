@@ -50,3 +50,12 @@ def test_blocks_of_queries_give_the_same(spark, stored, monkeypatch):
     assert sorted((r.query_id, r.vec_id, r["rank"]) for r in got) == sorted(brute(vectors(), 10, range(0, 1300, 50)))
     none = spark.read.parquet(f"{stored}/embeddings.parquet").where(F.lit(False))
     assert retrieval.vector_topk(none, none.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), 3).collect() == []
+
+
+def test_vectors_without_a_distance_take_no_part(spark):
+    data = vectors(120)
+    odd = [(200, None, 0), (201, [0.0] * 8, 0), (202, [None] + [1.0] * 7, 0), (203, [float("nan")] * 8, 0), (204, [1.0] * 5, 0), (None, [1.0] * 8, 0), (250, [0.0] * 8, 0)]
+    rows = spark.createDataFrame(data + odd, SCHEMA)
+    queries = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    got = retrieval.vector_topk(rows, queries, 10).collect()
+    assert sorted((r.query_id, r.vec_id, r["rank"]) for r in got) == sorted(brute(data, 10, (0, 50, 100)))

@@ -15,13 +15,15 @@ whatever the corpus.
 
 Edge cases: a null or empty text has the end token only; repeated rows are
 packed as often as they occur; a null id is kept; other columns are ignored; an
-empty table gives an empty result. Long texts are cut over many sequences.
+empty table gives an empty result. Long texts are cut over many sequences. Texts
+that hold an added token of the tokenizer, ``<|endoftext|>``, get its id there, as
+the tokenizer gives it; one that spells it is read in one piece.
 """
 
 from __future__ import annotations
 
-import base64
 import functools
+import re
 import zlib
 
 import numpy as np
@@ -35,15 +37,49 @@ CAPACITY, SMALL, END_ID = 2048, 32, 1
 _PIECE = "rid long, doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, class int"
 
 
-@functools.cache
-def _encoding(path: str | None):
-    """The byte-level BPE of a rank file; by default the public one of the task's machine."""
-    import public_tokenizers
-    import tiktoken
+#: Ids of a chunk depend on the chunk alone where the text is cut before a blank
+#: that a character follows which is white space by no definition.
+_CHUNK = re.compile("(?= [!-~\u00c0-\u02ff\u0370-\u167f\u3041-\ud7ff])")
+_CACHE, _CACHED_CHARS = 1 << 17, 40
+
+
+class Ids:
+    """Token ids of texts as little-endian bytes, by the tokenizer of a file.
+
+    Texts are encoded in chunks, and a bounded number of short chunks is remembered.
+    Texts with an added token, such as ``<|endoftext|>``, are encoded in one go.
+    """
+
+    def __init__(self, path: str | None):
+        import public_tokenizers
+        from tokenizers import Tokenizer
 
-    with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or "(?!)")
+        self.known: dict[str, bytes] = {}
+
+    def _encode(self, parts: list[str]) -> list[bytes]:
+        wide = np.dtype("<u4")
+        return [np.fromiter(e.ids, wide, len(e)).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def of(self, text: str) -> bytes:
+        if self.added.search(text):
+            return self._encode([text])[0]
+        parts = _CHUNK.split(text)
+        known = self.known
+        fresh = [p for p in dict.fromkeys(parts) if p not in known]
+        now = dict(zip(fresh, self._encode(fresh)))
+        out = b"".join([now[p] if p in now else known[p] for p in parts])
+        known.update((p, x) for p, x in now.items() if len(p) <= _CACHED_CHARS)
+        if len(known) > _CACHE:
+            known.clear()
+        return out
+
+
+@functools.cache
+def _ids(path: str | None) -> Ids:
+    return Ids(path)
 
 
 def class_lengths(capacity: int, small: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,18 +100,19 @@ def cut(n: int, lengths: np.ndarray) -> list[int]:
 
 def _pieces(path: str | None, capacity: int, small: int):
     def run(batches):
-        encode = _encoding(path).encode_to_numpy
+        encode = _ids(path).of
         lengths, _ = class_lengths(capacity, small)
         cuts = functools.cache(lambda n: cut(n, lengths))
+        end = END_ID.to_bytes(4, "little")
         for batch in batches:
             rid, ids = batch.column("rid"), batch.column("doc_id")
             rows: list[tuple] = []
             for i in range(batch.num_rows):
                 text = batch.column("text")[i].as_py()
-                tokens = np.append(encode(text, disallowed_special=()), END_ID).astype("<u4")
-                at = 0
-                for size in [capacity] * (len(tokens) // capacity) + cuts(len(tokens) % capacity):
-                    rows.append((i, at, size, zlib.crc32(tokens[at : at + size]), len(tokens)))
+                tokens = memoryview(encode(text) + end)
+                n, at = len(tokens) // 4, 0
+                for size in [capacity] * (n // capacity) + cuts(n % capacity):
+                    rows.append((i, at, size, zlib.crc32(tokens[4 * at : 4 * (at + size)]), n))
                     at += size
             cols = np.array(rows, np.int64).reshape(-1, 5).T
             take = pa.array(cols[0])
@@ -103,13 +140,13 @@ def _decreasing(capacity: int):
     return run
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, small: int = SMALL, workers: int | None = None, ranks_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, small: int = SMALL, workers: int | None = None, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     workers = workers or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(row_key(id_col, text_col).alias("rid"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = _PIECE.format(dict(docs.dtypes)["doc_id"])
-    pieces = written(docs.mapInArrow(_pieces(ranks_path, capacity, small), schema), "op8-pieces")
+    pieces = written(docs.mapInArrow(_pieces(tokenizer_path, capacity, small), schema), "op8-pieces")
     _, counts = class_lengths(capacity, small)
     per = F.element_at(F.array(*[F.lit(int(c)) for c in counts]), F.col("class") + 1)
 

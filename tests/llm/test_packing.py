@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from colloquy.llm.packing import class_lengths, cut, pack
+from colloquy.llm.packing import Ids, class_lengths, cut, pack
 
 from .corpus import SCHEMA, frame, rows, words
 
@@ -20,15 +20,30 @@ def test_cut_uses_class_lengths_only():
         assert sum(got) == n and set(got) <= set(lengths.tolist())
 
 
+#: White space of all kinds before, between and after words.
+ODD = "a  b\t c \td \t e\x1c f \x85g\u00a0 h \u2003i \u3000 j  \n k'll it's  don't 12 34½ … é ß😀 世界 ก  "
+
+
+def test_chunks_give_the_ids_of_the_whole_text():
+    tokenizers = pytest.importorskip("tokenizers")
+    import public_tokenizers
+
+    tok = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng, ids = random.Random(5), Ids(None)
+    symbols = [*" \t\n\x0b\x1c\x85\u00a0\u1680\u2003\u200b\u3000\ufeff", "  ", "a", "Zz", "'s", "'", "9", "é", "世", "😀", "-", "<|endoftext|>", "\u0301", "ก"]
+    for _ in range(3000):
+        text = "".join(rng.choice(symbols) for _ in range(rng.randint(0, 12)))
+        assert np.frombuffer(ids.of(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 @pytest.mark.parametrize("workers", [1, 7])
 def test_round_trip(spark, workers):
     tokenizers = pytest.importorskip("tokenizers")
     import public_tokenizers
 
     rng = random.Random(1)
-    data = [(i, words(rng, rng.randint(0, 900))) for i in range(60)] + [(900, "word " * 20_000), (None, None), (901, "<|endoftext|> é"), (902, ""), (902, "")]
+    data = [(i, words(rng, rng.randint(0, 900))) for i in range(60)] + [(900, "word " * 20_000), (None, None), (901, "<|endoftext|> é"), (902, ""), (902, ""), (903, "hi <|endoftext|> there  <|endoftext|>\n"), (904, "x" * 1_000_000), (905, ODD), (906, " ".join(ODD))]
     tok = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     want = Counter()
     ids = {}
     for i, t in data:

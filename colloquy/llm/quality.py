@@ -8,6 +8,10 @@ broadcast (at most ``2 * SAMPLE_A_CLASS`` of them, a fixed bound), every documen
 gets the exact cosines to all of them in blocks, and its ``NEIGHBOURS`` nearest
 vote with their similarity, times the documents of their class for each sampled one.
 
+The shares of repeated, capitalised and symbol-ended words are three further terms.
+They stand on a scale of their own (``_SHARE`` times the share, weight 3), as nearly
+every text has some of such words, so that document frequency would silence them.
+
 The sample takes the labelled rows with the smallest hashes of their ids,
 ``SAMPLE_A_CLASS`` at most of each label; rows of the held-out fold are never
 in it. Everything but the sample covers all documents; class shares are counted
@@ -16,19 +20,22 @@ where the sample is bounded.
 
 Edge cases: null and empty texts have no terms and get the share of label 1 among
 the labelled documents, 0.5 without labels; repeated rows get equal scores; labels other
-than 0 and 1 are ignored, of several labels of an id the smallest counts; a null
+than 0 and 1, of any type, are ignored, of several labels of an id the smallest counts; a null
 id is never held out and has no label; other columns are ignored; an empty table
 gives an empty result. Long texts are read whole.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import LOWER, PrefixHasher, slices, utf8_buffers, words
+from ._tables import KEY, quoted, row_keys
 
 TERMS, DIMENSIONS, NEIGHBOURS = 2048, 64, 15
 SAMPLE_A_CLASS = 2000
@@ -89,14 +96,6 @@ def _document_frequency(batches):
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(TERMS + 1)), pa.array(total)], names=["term", "n"])
 
 
-def _counts(batches):
-    for batch in batches:
-        raw, off = utf8_buffers(batch.column("text"))
-        for i, j in slices(off):
-            x = term_counts(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-            yield pa.RecordBatch.from_arrays([batch.column("quality")[i:j], pa.array([r.tobytes() for r in x], pa.binary())], names=["quality", "x"])
-
-
 def _latent_axes(x: np.ndarray, k: int) -> np.ndarray:
     """Leading right singular vectors, by randomised subspace iteration."""
     k = min(k, *x.shape)
@@ -112,29 +111,62 @@ def held_out(id_col: str = "doc_id", of: int = 4, fold: int = 2) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % of == fold, F.lit(False))
 
 
+def _fit(idf: np.ndarray, totals: dict[int, int]):
+    """Axes and vectors of the whole sample, which comes in one partition."""
+
+    def run(batches):
+        seen = []
+        for batch in batches:
+            raw, off = utf8_buffers(batch.column("text"))
+            quality, times = batch.column("quality").to_pylist(), batch.column("times").to_pylist()
+            for i, j in slices(off):
+                x = term_counts(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+                seen += [(zlib.crc32(r), r, q, t) for r, q, t in zip((r.tobytes() for r in x), quality[i:j], times[i:j])]
+        if not seen:
+            return
+        seen.sort()  # the order of arrival must not count
+        y, times = np.array([x[2] for x in seen]), np.array([x[3] for x in seen], float)
+        x = _weighted(np.frombuffer(b"".join(x[1] for x in seen), np.float32).reshape(-1, TERMS), idf).astype(np.float32)
+        del seen
+        axes = _latent_axes(x, DIMENSIONS)
+        v = x @ axes
+        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        # documents that a sampled one of its class stands for
+        sampled = np.bincount(y, times, minlength=2)
+        weights = times * np.array([totals.get(q, 0) / max(sampled[q], 1) for q in (0, 1)])[y]
+        yield pa.RecordBatch.from_arrays([pa.array([z.tobytes()], pa.binary()) for z in (axes, v, y.astype(np.float32), weights)], names=["axes", "vectors", "labels", "weights"])
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample_a_class: int = SAMPLE_A_CLASS, id_col: str = "doc_id", text_col: str = "text") -> dict:
-    """The model: idf, axes, labelled vectors and their labels."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """The model: idf, axes, labelled vectors, their labels and weights.
+
+    Fitted in one task of an executor, on ``2 * sample_a_class`` texts at most.
+    The driver gets its numbers only: some MB, whatever the corpus.
+    """
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *row_keys(id_col, text_col))
     df = dict(docs.select("text").mapInArrow(_document_frequency, "term long, n long").groupBy("term").agg(F.sum("n")).collect())
     n = df.get(TERMS, 0)
     idf = np.log((n + 1) / (np.array([df.get(t, 0) for t in range(TERMS)]) + 1)).astype(np.float32) + np.float32(0.1)
     idf[37:40] = 3  # the share marks are scaled already
-    usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = [usable.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_a_class) for q in (0, 1)]
-    total = dict(docs.select("doc_id").join(usable, "doc_id").groupBy("quality").count().collect())  # two rows at most
-    sample = docs.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")  # at most 2 * sample_a_class rows
-    rows = sample.select("quality", "text").mapInArrow(_counts, "quality int, x binary").orderBy(F.crc32("x"), "x").limit(4 * sample_a_class).toArrow()
-    if not rows.num_rows:
+    quality = F.expr("try_cast(quality as double)")
+    usable = labels.where(quality.isin(0.0, 1.0) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min(quality).cast("int").alias("quality"))
+    of_class = docs.select("doc_id").join(usable, "doc_id").groupBy("quality", "doc_id").agg(F.count("*").alias("rows"))
+    totals = dict(of_class.groupBy("quality").agg(F.sum("rows")).collect())  # two rows at most
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    ids = [of_class.where(F.col("quality") == q).orderBy(*order).limit(sample_a_class).select("doc_id", "quality") for q in (0, 1)]
+    # an id may have many rows: equal ones count as one with a weight, and the bound holds for the rest
+    rows = docs.join(F.broadcast(ids[0].union(ids[1])), "doc_id").groupBy("quality", "doc_id", *KEY).agg(F.count("*").alias("times"), F.first("text").alias("text"))
+    sample = [rows.where(F.col("quality") == q).orderBy(*order, *KEY).limit(sample_a_class).select("text", "quality", "times") for q in (0, 1)]
+    got = sample[0].union(sample[1]).coalesce(1).mapInArrow(_fit(idf, totals), "axes binary, vectors binary, labels binary, weights binary").first()
+    if not got:
         return {"idf": idf, "axes": None, "vectors": None, "labels": None, "weights": None, "prior": 0.5}
-    y = rows.column("quality").to_numpy().astype(np.float32)
-    raw, off = utf8_buffers(rows.column("x"))
-    x = _weighted(raw[off[0] : off[-1]].copy().view(np.float32).reshape(-1, TERMS), idf).astype(np.float32)
-    axes = _latent_axes(x, DIMENSIONS)
-    v = x @ axes
-    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-    # documents that a sampled one of its class stands for
-    weights = np.array([total.get(q, 0) / max((y == q).sum(), 1) for q in (0, 1)])[y.astype(int)]
-    return {"idf": idf, "axes": axes, "vectors": v, "labels": y, "weights": weights, "prior": float((weights * y).sum() / weights.sum())}
+    y, weights = np.frombuffer(got["labels"], np.float32), np.frombuffer(got["weights"])
+    return {
+        "idf": idf, "axes": np.frombuffer(got["axes"], np.float32).reshape(TERMS, -1), "vectors": np.frombuffer(got["vectors"], np.float32).reshape(len(y), -1),
+        "labels": y, "weights": weights, "prior": float((weights * y).sum() / weights.sum()),
+    }
 
 
 def _vote(model, neighbours: int):
@@ -164,7 +196,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     """One row per document: doc_id, held_out, score, predicted; ``keep`` columns in a struct ``kept``."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(fit(docs, labels, sample_a_class, id_col, text_col))
-    kept = [F.struct(*keep).alias("kept")] if keep else []
+    kept = [F.struct(*quoted(keep)).alias("kept")] if keep else []
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *kept)
     kinds = dict(rows.dtypes)
     schema = f"doc_id {kinds['doc_id']}, held_out boolean, score double" + (f", kept {kinds['kept']}" if keep else "")

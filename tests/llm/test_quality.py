@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 import zlib
 
+import numpy as np
+
 from colloquy.llm.quality import score_quality
 
 from .corpus import SCHEMA, frame, rows, words
@@ -36,6 +38,51 @@ def test_held_out_labels_are_not_read(spark):
     assert a == b
 
 
+def test_labels_of_any_type_and_repeated_ids(spark):
+    docs, labels = labelled(120)
+    frame_ = spark.createDataFrame(docs, "doc_id long, text string")
+    scores = [{r.doc_id: r.score for r in score_quality(frame_, spark.createDataFrame([(i, kind(q)) for i, q in labels], f"doc_id long, quality {name}"), sample_a_class=20).collect()} for name, kind in (("int", int), ("long", int), ("double", float), ("string", str))]
+    assert all(s == scores[0] for s in scores)
+    # one id with most of the rows, equal and different ones, stays within the bound
+    hot = docs[:50] + [(1, docs[1][1])] * 200 + [(1, f"{docs[3][1]} {k}") for k in range(100)]
+    got = score_quality(spark.createDataFrame(hot, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"), sample_a_class=20).collect()
+    assert len(got) == len(hot) and all(0 <= r.score <= 1 for r in got)
+
+
+def brute(docs, labels, neighbours=15):
+    """The vote from all pairwise cosines in plain numpy, for samples below the bound."""
+    from colloquy.llm.quality import DIMENSIONS, TERMS, term_counts
+
+    raw = [(t or "").encode() for _, t in docs]
+    counts = term_counts(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    idf = np.log((len(docs) + 1) / ((counts > 0).sum(axis=0) + 1)) + 0.1
+    idf[37:40] = 3
+    x = np.log1p(counts.astype(float)) * idf
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    want = dict(labels)
+    fit = [k for k, (i, _) in enumerate(docs) if i in want and zlib.crc32(str(i).encode()) % 4 != 2]
+    y = np.array([want[docs[k][0]] for k in fit])
+    axes = np.linalg.svd(x[fit], full_matrices=False)[2][: min(DIMENSIONS, len(fit), TERMS)].T
+    v = x @ axes
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    out = {}
+    for (i, t), row in zip(docs, v):
+        cos = v[fit] @ row
+        near = np.argsort(-cos)[:neighbours]
+        weight = np.maximum(cos[near], 1e-6) ** 4
+        out[i] = (weight * y[near]).sum() / weight.sum() if t else y.mean()
+    return out
+
+
+def test_against_brute_force(spark):
+    rng = random.Random(4)
+    docs = [(i, words(rng, 30) + (" # % #" * rng.randint(0, 6))) for i in range(50)] + [(900, None)]
+    labels = [(i, int(t.count("#") < 5)) for i, t in docs[:50]]
+    got = {r.doc_id: r.score for r in score_quality(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    want = brute(docs, labels)
+    assert max(abs(got[i] - want[i]) for i in want) < 1e-3
+
+
 def test_odd_rows(spark):
     labels = spark.createDataFrame([(1, 0), (3, 1), (4, None), (None, 1), (5, 9), (3, 1)], "doc_id long, quality int")
     got = score_quality(frame(spark), labels, keep=("rid", "lang")).collect()

@@ -30,7 +30,7 @@ MIX_FRACTION = 0.8
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return score_quality(docs, labels, keep=tuple(docs.columns)).where("predicted = 1").select(*[F.col(f"kept.{c}") for c in docs.columns])
+    return score_quality(docs, labels, keep=tuple(docs.columns)).where("predicted = 1").select("kept.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ of 4096 key ranges, then the order within the one range where the budget ends.
 All of it is DataFrame operations. Edge cases: null levels are the value
 ``unknown``, a null id is the empty string in the order; null and empty texts
 have no tokens and are taken with their epoch; rows of one id are taken
-together; other columns pass through; an empty table gives an empty mix.
+together; other columns pass where ``keep`` names them; an empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._tables import written
+from ._tables import Tables, quoted
 
 SEED, MAX_EPOCHS = 17, 2
 _RANGE_DIGITS = 3
@@ -44,33 +44,47 @@ def _weight(level: Column, weights: Mapping[str, float]) -> Column:
     return out
 
 
-def _share(children: DataFrame, parent: Sequence[str]) -> DataFrame:
-    """Split each parent's ``budget`` over its children by ``weight`` up to ``capacity``."""
+def _shared(nodes: DataFrame, parent: Sequence[str | Column], order: Sequence[str]) -> DataFrame:
+    """Split each parent's ``budget`` over its children by ``weight`` up to ``capacity``.
+
+    A child may have several rows; ``head`` marks the one that stands for it.
+    """
     group = Window.partitionBy(*parent)
-    order = group.orderBy(F.col("capacity") / F.col("weight"), *[c for c in children.columns if c.startswith("level_")])
-    filled = F.coalesce(F.sum("capacity").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rest = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
+    ordered = group.orderBy(F.try_divide("capacity", "weight"), *order)
+    once = lambda c: F.when(F.col("head"), F.col(c)).otherwise(0)
+    filled = F.coalesce(F.sum(once("capacity")).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum(once("weight")).over(ordered.rowsBetween(0, Window.unboundedFollowing))
     rate = (F.col("budget") - filled) / rest
-    rated = children.withColumn("_rate", F.when(rate < F.col("capacity") / F.col("weight"), rate))
+    rated = nodes.withColumn("_rate", F.when(F.col("head") & (rate < F.try_divide("capacity", "weight")), rate))
     fair = F.col("weight") * F.max("_rate").over(group)
     return rated.withColumn("budget", F.coalesce(F.least(F.col("capacity").cast("double"), fair), F.col("capacity").cast("double"))).drop("_rate")
 
 
 def leaf_budgets(leaves: DataFrame, levels: Sequence[str], weights: Sequence[Mapping[str, float]], fraction: float, max_epochs: int) -> DataFrame:
-    """``leaves(level_0.., tokens)`` with ``quota``, whole ``epochs`` and the ``rest`` of a further one."""
-    total = leaves.agg(F.floor(F.coalesce(F.sum("tokens"), F.lit(0)) * F.lit(fraction)).cast("double").alias("budget"))
-    given = total
-    for depth in range(len(levels)):
-        parent, own = list(levels[:depth]), list(levels[: depth + 1])
-        children = leaves.groupBy(*own).agg((F.sum("tokens") * max_epochs).alias("capacity"))
-        children = children.where("capacity > 0").withColumn("weight", _weight(F.col(levels[depth]), weights[depth]))
-        # the root is one row; below it, the budgets have a row for each parent
-        joined = children.join(given.select(*parent, "budget"), parent) if parent else children.join(F.broadcast(given.select(F.lit(0).alias("_root"), "budget")), F.lit(0) == F.col("_root")).drop("_root")
-        given = _share(joined, parent or [F.lit(0)])
-    out = leaves.join(given.select(*levels, "budget"), list(levels), "left")
+    """``leaves(level_0.., tokens)`` with ``quota``, whole ``epochs`` and the ``rest`` of a further one.
+
+    The roots share the total in one small table of theirs. Below them, each level
+    is a window over the leaves, which stay dealt by their root.
+    """
+    full = leaves.where("tokens > 0")
+    roots = full.groupBy(levels[0]).agg((F.sum("tokens") * max_epochs).alias("capacity"), F.sum("tokens").alias("_tokens"))
+    everything = Window.partitionBy(F.lit(0))
+    roots = roots.withColumn("budget", F.floor(F.sum("_tokens").over(everything) * F.lit(fraction)).cast("double"))
+    roots = roots.withColumns({"weight": _weight(F.col(levels[0]), weights[0]), "head": F.lit(True)})
+    out = leaves.join(_shared(roots, [F.lit(0)], levels[:1]).select(levels[0], "budget"), levels[0], "left")
+    for depth in range(1, len(levels)):
+        own = Window.partitionBy(*levels[: depth + 1])
+        out = out.withColumns({
+            "capacity": F.sum("tokens").over(own) * max_epochs,
+            "weight": _weight(F.col(levels[depth]), weights[depth]),
+            "head": F.row_number().over(own.orderBy(*levels)) == 1,
+        })
+        # subtrees without tokens take nothing and must not count by their weight
+        out = out.withColumn("weight", F.when(F.col("capacity") > 0, F.col("weight")).otherwise(F.lit(0.0)))
+        out = _shared(out.withColumn("head", F.col("head") & (F.col("capacity") > 0)), levels[:depth], levels)
     quota = F.floor(F.coalesce("budget", F.lit(0.0)) + 0.001).cast("long")
     out = out.withColumn("quota", quota)
-    epochs = F.when(F.col("tokens") > 0, F.floor(F.col("quota") / F.col("tokens"))).otherwise(0).cast("int")
+    epochs = F.when(F.col("tokens") > 0, F.floor(F.try_divide("quota", "tokens"))).otherwise(0).cast("int")
     return out.withColumn("epochs", epochs).withColumn("rest", F.col("quota") - F.col("epochs") * F.col("tokens")).select(*levels, "tokens", "quota", "epochs", "rest")
 
 
@@ -78,9 +92,11 @@ def _key(seed: int, epoch: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed), epoch, F.coalesce(F.col("_id").cast("string"), F.lit(""))))
 
 
-def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Mapping[str, float]], fraction: float, seed: int = SEED, max_epochs: int = MAX_EPOCHS, tokens: Column | None = None, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Mapping[str, float]], fraction: float, seed: int = SEED, max_epochs: int = MAX_EPOCHS, tokens: Column | None = None, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ("doc_id",), counts: bool = True) -> DataFrame:
     """``docs`` as often as they are taken: ``keep`` columns, other levels, epoch, n_tokens, taken_tokens.
 
+    Without ``counts`` the ``keep`` columns only, whatever their names.
+
     ``levels`` maps names to expressions over ``docs``, from the root down;
     ``weights`` holds, for each level, the weights of values (1 otherwise);
     ``fraction`` of all tokens is the budget.
@@ -88,9 +104,10 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Map
     paths = [f"level_{i}" for i in range(len(levels))]
     level = [F.coalesce(x.cast("string"), F.lit("unknown")).alias(p) for p, x in zip(paths, levels.values())]
     n_tokens = word_count(F.col(text_col)) if tokens is None else tokens
-    base = written(docs.select(F.col(id_col).alias("_id"), *level, n_tokens.alias("_tokens")), "op10-base")
+    tables = Tables(docs.sparkSession, "op10")
+    base = tables.write(docs.select(F.col(id_col).alias("_id"), *level, n_tokens.alias("_tokens")), "base")
     leaves = base.groupBy(*paths).agg(F.sum("_tokens").alias("tokens"))
-    plan = written(leaf_budgets(leaves, paths, [weights.get(x, {}) for x in levels], fraction, max_epochs), "op10-plan")
+    plan = tables.write(leaf_budgets(leaves, paths, [weights.get(x, {}) for x in levels], fraction, max_epochs), "plan")
 
     # where the last epoch of a leaf ends: first the key range, then the document in it
     last = base.join(plan.where("rest > 0").select(*paths, "epochs", "rest"), paths).withColumn("_key", _key(seed, F.col("epochs")))
@@ -101,10 +118,14 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Map
     inside = Window.partitionBy(*paths).orderBy("_key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     cut = ranged.join(ends, [*paths, "_range"]).withColumn("_upto", F.col("_before") + F.sum("_tokens").over(inside))
     cut = cut.where(F.col("_upto") >= F.col("rest")).groupBy(*paths).agg(F.min_by(F.struct("_key", (F.col("_tokens") + F.col("rest") - F.col("_upto")).alias("_part")), "_key").alias("_cut"))
-    plan = written(plan.join(cut, paths, "left").select(*paths, "epochs", F.col("_cut._key").alias("_last"), F.col("_cut._part").alias("_part")), "op10-cuts")
+    plan = tables.write(plan.join(cut, paths, "left").select(*paths, "epochs", F.col("_cut._key").alias("_last"), F.col("_cut._part").alias("_part")), "cuts")
+    tables.drop("base", "plan")
 
-    rows = docs.select(*[F.col(c).alias(f"keep_{c}") for c in keep], F.col(id_col).alias("_id"), *level, n_tokens.alias("n_tokens"))
+    # a struct, so that no kept name clashes with one of the plan
+    rows = docs.select(F.struct(*quoted(keep)).alias("_keep"), F.col(id_col).alias("_id"), *level, n_tokens.alias("n_tokens"))
     taken = rows.join(plan, paths).withColumn("_end", _key(seed, F.col("epochs")) <= F.col("_last"))
     taken = taken.withColumn("epoch", F.explode(F.filter(F.sequence(F.lit(0), F.col("epochs")), lambda e: (e < F.col("epochs")) | F.coalesce(F.col("_end"), F.lit(False)))))
     part = F.when((F.col("epoch") == F.col("epochs")) & (_key(seed, F.col("epochs")) == F.col("_last")), F.greatest("_part", F.lit(0))).otherwise(F.col("n_tokens"))
-    return taken.select(*[F.col(f"keep_{c}").alias(c) for c in keep], *[F.col(p).alias(x) for p, x in zip(paths, levels) if x not in keep], "epoch", "n_tokens", part.alias("taken_tokens"))
+    if not counts:
+        return taken.select("_keep.*")
+    return taken.select("_keep.*", *[F.col(p).alias(x) for p, x in zip(paths, levels) if x not in keep], "epoch", "n_tokens", part.alias("taken_tokens"))

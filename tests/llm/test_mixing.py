@@ -45,6 +45,44 @@ def test_against_sql(spark, tmp_path):
     assert sorted(map(tuple, got), key=null_last) == sorted(want, key=null_last)
 
 
+def test_deep_trees_against_a_plain_version(spark):
+    import random
+
+    def fill(nodes, budget):
+        """Water filling by weight: {name: given} of (name, capacity, weight)."""
+        given, open_ = {}, [n for n in nodes if n[1] > 0]
+        while open_:
+            rate = budget / sum(n[2] for n in open_)
+            short = [n for n in open_ if n[1] <= rate * n[2]]
+            if not short:
+                return given | {n[0]: rate * n[2] for n in open_}
+            given |= {n[0]: n[1] for n in short}
+            budget -= sum(n[1] for n in short)
+            open_ = [n for n in open_ if n not in short]
+        return given
+
+    rng = random.Random(2)
+    names, weights = [f"level_{k}" for k in range(3)], [{"a": 3.0}, {"x": 2.0, "y": 0.5}, {"s1": 4.0}]
+    for fraction in (0.1, 0.5, 0.9, 1.0):
+        leaves = [(a, b, c, rng.choice([0, 3, 50, 1000, 20_000])) for a in "abc" for b in "xyz" for c in ("s1", "s2", "s3") if rng.random() < 0.8]
+
+        def down(prefix, budget, out):
+            own = [x for x in leaves if x[: len(prefix)] == prefix]
+            if len(prefix) == 3:
+                return out | {prefix: budget}
+            kids = sorted({x[len(prefix)] for x in own})
+            given = fill([(k, 2 * sum(x[3] for x in own if x[len(prefix)] == k), weights[len(prefix)].get(k, 1.0)) for k in kids], budget)
+            for k, got in given.items():
+                out = down((*prefix, k), got, out)
+            return out
+
+        want = down((), int(sum(x[3] for x in leaves) * fraction), {})
+        got = leaf_budgets(spark.createDataFrame(leaves, "level_0 string, level_1 string, level_2 string, tokens long"), names, weights, fraction, 2).collect()
+        assert len(got) == len(leaves)
+        for r in got:
+            assert abs(r.quota - want.get((r.level_0, r.level_1, r.level_2), 0)) <= 1, r
+
+
 def test_prefix_of_one_leaf(spark):
     data = [(i, "w " * (1 + i % 5)) for i in range(50)]
     frame_ = spark.createDataFrame(data, "doc_id long, text string")
@@ -61,4 +99,7 @@ def test_other_columns_and_empty_table(spark):
     keep = [c.split()[0] for c in SCHEMA.split(", ")]
     out = mix(frame(spark), {"lang": F.col("lang")}, {}, 1.0, max_epochs=1, keep=keep)
     assert out.columns[: len(keep)] == keep and out.count() == sum(1 for r in rows())
+    named = frame(spark).select("*", F.lit(1).alias("epoch"), F.lit("n").alias("n_tokens"), F.lit(2).alias("taken_tokens"), F.lit(3).alias("domain"), F.lit(4).alias("a.b"), F.lit(5).alias("level_0"))
+    out = mix(named, {k: f() for k, f in MIX_LEVELS.items()}, MIX_WEIGHTS, 1.0, max_epochs=1, keep=named.columns, counts=False)
+    assert out.columns == named.columns and sorted(map(str, out.collect())) == sorted(map(str, named.collect()))
     assert mix(spark.createDataFrame([], SCHEMA), {"lang": F.col("lang")}, {}, 0.5).collect() == []

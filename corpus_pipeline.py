@@ -46,7 +46,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents taken into the mix."""
-    return mix(docs, {k: f() for k, f in MIX_LEVELS.items()}, MIX_WEIGHTS, MIX_FRACTION, max_epochs=1, keep=docs.columns).select(*docs.columns)
+    return mix(docs, {k: f() for k, f in MIX_LEVELS.items()}, MIX_WEIGHTS, MIX_FRACTION, max_epochs=1, keep=docs.columns, counts=False)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ the tokenizer gives it; one that spells it is read in one piece.
 from __future__ import annotations
 
 import functools
+import os
 import re
 import zlib
 
@@ -31,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._bytes import slices, utf8_buffers
 from ._tables import row_key, written
 
 CAPACITY, SMALL, END_ID = 2048, 32, 1
@@ -40,38 +42,53 @@ _PIECE = "rid long, doc_id {}, start long, length long, ids_crc32 long, doc_toke
 #: Ids of a chunk depend on the chunk alone where the text is cut before a blank
 #: that a character follows which is white space by no definition.
 _CHUNK = re.compile("(?= [!-~\u00c0-\u02ff\u0370-\u167f\u3041-\ud7ff])")
-_CACHE, _CACHED_CHARS = 1 << 17, 40
+_CACHE, _CACHED_CHARS = 1 << 19, 40
 
 
 class Ids:
     """Token ids of texts as little-endian bytes, by the tokenizer of a file.
 
-    Texts are encoded in chunks, and a bounded number of short chunks is remembered.
-    Texts with an added token, such as ``<|endoftext|>``, are encoded in one go.
+    Texts are cut in chunks, and what isn't remembered of them is encoded in one go;
+    the number of short chunks that are remembered is bounded. Texts with an added
+    token, such as ``<|endoftext|>``, are encoded whole.
     """
 
     def __init__(self, path: str | None):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(added) or "(?!)")
+        #: Tokens that begin with a blank.
+        self.lead = np.array([(self.tokenizer.id_to_token(k) or "").startswith("\u0120") for k in range(self.tokenizer.get_vocab_size())])
         self.known: dict[str, bytes] = {}
 
     def _encode(self, parts: list[str]) -> list[bytes]:
-        wide = np.dtype("<u4")
-        return [np.fromiter(e.ids, wide, len(e)).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-
-    def of(self, text: str) -> bytes:
-        if self.added.search(text):
-            return self._encode([text])[0]
-        parts = _CHUNK.split(text)
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _chunks(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of distinct chunks. Those with a blank at their beginning only make one text, whose tokens with a blank begin them."""
+        plain = [p for p in parts if p and p[0] == " " and p.count(" ") == 1]
+        out = {}
+        if plain:
+            ids = np.array(self.tokenizer.encode("".join(plain), add_special_tokens=False).ids, "<u4")
+            at = [*(np.flatnonzero(self.lead[ids]) * 4).tolist(), 4 * len(ids)]
+            if len(at) == len(plain) + 1:
+                raw = ids.tobytes()
+                out = {p: raw[i:j] for p, i, j in zip(plain, at, at[1:])}
+        rest = [p for p in parts if p not in out]
+        return out | dict(zip(rest, self._encode(rest)))
+
+    def of(self, texts: list[str]) -> list[bytes]:
         known = self.known
-        fresh = [p for p in dict.fromkeys(parts) if p not in known]
-        now = dict(zip(fresh, self._encode(fresh)))
-        out = b"".join([now[p] if p in now else known[p] for p in parts])
-        known.update((p, x) for p, x in now.items() if len(p) <= _CACHED_CHARS)
+        split = [None if self.added.search(t) else _CHUNK.split(t) for t in texts]
+        now = self._chunks(list({p: None for parts in split for p in parts or () if p not in known}))
+        known.update(now)
+        out = [self._encode([t])[0] if parts is None else b"".join(map(known.__getitem__, parts)) for t, parts in zip(texts, split)]
+        for p in [p for p in now if len(p) > _CACHED_CHARS]:
+            del known[p]
         if len(known) > _CACHE:
             known.clear()
         return out
@@ -104,12 +121,11 @@ def _pieces(path: str | None, capacity: int, small: int):
         lengths, _ = class_lengths(capacity, small)
         cuts = functools.cache(lambda n: cut(n, lengths))
         end = END_ID.to_bytes(4, "little")
-        for batch in batches:
+        for batch in (b.slice(i, j - i) for b in batches for i, j in slices(utf8_buffers(b.column("text"))[1])):
             rid, ids = batch.column("rid"), batch.column("doc_id")
             rows: list[tuple] = []
-            for i in range(batch.num_rows):
-                text = batch.column("text")[i].as_py()
-                tokens = memoryview(encode(text) + end)
+            for i, raw in enumerate(encode(batch.column("text").to_pylist())):
+                tokens = memoryview(raw + end)
                 n, at = len(tokens) // 4, 0
                 for size in [capacity] * (n // capacity) + cuts(n % capacity):
                     rows.append((i, at, size, zlib.crc32(tokens[4 * at : 4 * (at + size)]), n))

@@ -73,7 +73,7 @@ class Ids:
         plain = [p for p in parts if p and p[0] == " " and p.count(" ") == 1]
         out = {}
         if plain:
-            ids = np.array(self.tokenizer.encode("".join(plain), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(plain)], add_special_tokens=False)[0].ids, "<u4")
             at = [*(np.flatnonzero(self.lead[ids]) * 4).tolist(), 4 * len(ids)]
             if len(at) == len(plain) + 1:
                 raw = ids.tobytes()

@@ -29,12 +29,14 @@ null id is kept; other columns are ignored.
 
 from __future__ import annotations
 
+import operator
+from collections.abc import Callable
 from math import log
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._tables import row_key, split_by_keys, written
+from ._tables import KEY, Tables, quoted, row_keys, split_by_keys, written
 
 # fixed values: the base patterns; hex and access lengths are part of the pattern,
 # as a maximal run matches where it is long enough, and nowhere else
@@ -45,6 +47,11 @@ KINDS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX}
 ASSIGN_LEAST = 6
 
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
+#: Cheap tests that every text with a match of ``ASSIGN`` or ``TOKEN`` passes. Spans of
+#: the other two kinds lie within tokens, as they are of at least as many of its symbols.
+_MAY_ASSIGN = r"""[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6}"""
+_MAY_TOKEN = r"(?:^|[^A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20}"
+_BLOCK = 64
 #: Name, test pattern and symbols, smallest first.
 ENCODINGS = (
     ("hex", "^[0-9a-f]+$", "0123456789abcdef"),
@@ -72,19 +79,37 @@ FDR, REJECT = 0.01, 0.001
 _BINS_A_DECADE, _LAST_BIN = 20, 1200
 
 
-def _placed(text: Column, pattern: str, group: int = 0) -> Column:
-    """Array of (start, end, value) of the leftmost non-overlapping matches."""
-    found = F.when(text.rlike(pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    value = F.when(text.rlike(pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))) if group else found
-    between = F.when(text.rlike(pattern), F.split(text, pattern))
-    rows = F.transform(F.arrays_zip(F.slice(between, 1, F.size(found)).alias("g"), found.alias("m"), value.alias("v")), lambda x: F.struct(F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("size"), x["v"].alias("value")))
-    kind = "array<struct<start:int,end:int,value:string>>"
+def _let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once for the row."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)) + x["gap"]
-        return F.concat(acc, F.array(F.struct(start.alias("start"), (start + x["size"]).alias("end"), x["value"].alias("value"))))
 
-    return F.coalesce(F.aggregate(rows, F.array().cast(kind), step), F.array().cast(kind))
+def _running(x: Column, join: Callable[[Column, Column], Column], zero: int = 0, depth: int = 2) -> Column:
+    """Each element of an array of ints joined with all before it.
+
+    Arrays grow element by element in blocks of ``_BLOCK`` only, so the time goes
+    with the length and not with its square.
+    """
+    one_block = lambda b: F.aggregate(b, F.array().cast("array<int>"), lambda acc, y: F.concat(acc, F.array(join(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(zero)), y))))
+    if not depth:
+        return one_block(x)
+
+    def whole(y: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(y) - 1) / _BLOCK).cast("int")), lambda k: one_block(F.slice(y, k * _BLOCK + 1, F.lit(_BLOCK))))
+        return _let(cut, lambda blocks: _let(_running(F.transform(blocks, lambda b: F.element_at(b, -1)), join, zero, depth - 1), lambda tops: F.flatten(F.transform(blocks, lambda b, k: F.transform(b, lambda v: join(F.coalesce(F.get(tops, k - 1), F.lit(zero)), v))))))
+
+    return F.when(F.size(x) > _BLOCK, _let(x, whole)).otherwise(one_block(x))
+
+
+def _placed(text: Column, pattern: str, group: int = 0) -> Column:
+    """Array of (start, end, value) of the leftmost non-overlapping matches."""
+    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
+    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
+    sizes = F.transform(F.arrays_zip(gaps.alias("g"), found.alias("m"), value.alias("v")), lambda x: F.struct(F.length(x["g"]).alias("gap"), F.coalesce(F.length(x["m"]), F.lit(0)).alias("size"), x["v"].alias("value")))
+    # what follows the last match is a gap without one
+    sizes = F.filter(sizes, lambda x: x["value"].isNotNull())
+    place = lambda rows: F.zip_with(rows, _running(F.transform(rows, lambda x: x["gap"] + x["size"]), operator.add), lambda x, end: F.struct((end - x["size"]).alias("start"), end.alias("end"), x["value"].alias("value")))
+    return _let(sizes, place)
 
 
 def _upper_tail(z: Column) -> Column:
@@ -108,25 +133,43 @@ def token_tests(tokens: DataFrame, col: str = "value") -> DataFrame:
     pick = lambda f: F.coalesce(*[F.when(value.rlike(p) if p else F.lit(True), F.lit(f(name, symbols))) for name, p, symbols in ENCODINGS])
     out = tokens.withColumn("encoding", pick(lambda name, _: name)).withColumn("_symbols", pick(lambda _, s: s))
     out = out.withColumn("_k", F.length("_symbols").cast("double")).withColumn("_n", F.length(value).cast("double"))
-    out = out.withColumn("_x", F.expr(f"transform(sequence(1, length({col})), i -> cast(instr(_symbols, substr({col}, i, 1)) - 1 as double))"))
-    squares = F.aggregate(F.array_distinct("_x"), F.lit(0.0), lambda acc, x: acc + F.pow(F.size(F.filter("_x", lambda y: y == x)).cast("double"), 2))
-    out = out.withColumn("_chi", F.col("_k") / F.col("_n") * squares - F.col("_n"))
-    high = F.transform("_x", lambda x: x >= F.col("_k") / 2)
-    out = out.withColumn("_up", F.size(F.filter(high, lambda h: h)).cast("double")).withColumn("_low", F.col("_n") - F.col("_up"))
-    changes = F.size(F.filter(F.arrays_zip(F.slice(high, 1, F.size("_x") - 1).alias("p"), F.slice(high, 2, F.size("_x") - 1).alias("q")), lambda y: y["p"] != y["q"]))
+    # symbols are counted in the string; only what depends on their order goes over its characters
+    out = out.withColumn("_count", F.transform(F.split("_symbols", ""), lambda c: (F.length(value) - F.length(F.replace(value, c, F.lit("")))).cast("double")))
+    total = lambda f: F.aggregate(F.transform("_count", f), F.lit(0.0), lambda a, x: a + x)
+    out = out.withColumns({
+        "_chi": F.col("_k") / F.col("_n") * total(lambda c, _: c * c) - F.col("_n"),
+        "_up": total(lambda c, i: F.when(i >= F.col("_k") / 2, c).otherwise(0.0)),
+        "_sum": total(lambda c, i: c * i),
+        "_squares": total(lambda c, i: c * i * i),
+    }).withColumn("_low", F.col("_n") - F.col("_up"))
+    symbol = lambda c: (F.instr(F.col("_symbols"), c) - 1).cast("double")
+    state = "struct<last:double,lagged:double,runs:double,turns:double>"
+
+    def step(acc: Column, x: Column) -> Column:
+        last, seen = acc["last"], F.coalesce(acc["last"], x)
+        half = F.col("_k") / 2
+        moved = ((x >= half) != (seen >= half)).cast("double")
+        turned = ((x >= 10) != (seen >= 10)).cast("double")
+        lagged = acc["lagged"] + F.coalesce(last * x, F.lit(0.0))
+        return F.struct(x.alias("last"), lagged.alias("lagged"), (acc["runs"] + moved).alias("runs"), (acc["turns"] + turned).alias("turns"))
+
+    start = F.struct(F.lit(None).cast("double").alias("last"), F.lit(0.0).alias("lagged"), F.lit(0.0).alias("runs"), F.lit(0.0).alias("turns")).cast(state)
+    out = out.withColumn("_walk", F.aggregate(F.split(value, ""), start, lambda acc, c: _let(symbol(c), lambda x: step(acc, x))))
     expected, spread = F.col("_expected"), F.col("_spread")
-    mean = F.aggregate("_x", F.lit(0.0), lambda a, x: a + x) / F.col("_n")
-    out = out.withColumns({"_runs": changes + 1.0, "_mean": mean, "_expected": 2 * F.col("_up") * F.col("_low") / F.col("_n") + 1})
+    first, last = symbol(F.substring(value, 1, 1)), F.col("_walk")["last"]
+    out = out.withColumns({"_runs": F.col("_walk")["runs"] + 1.0, "_mean": F.col("_sum") / F.col("_n"), "_expected": 2 * F.col("_up") * F.col("_low") / F.col("_n") + 1})
     out = out.withColumn("_spread", (expected - 1) * (expected - 2) / (F.col("_n") - 1))
-    around = F.transform("_x", lambda x: x - F.col("_mean"))
-    out = out.withColumn("_around", around)
-    lagged = F.aggregate(F.zip_with(F.slice("_around", 1, F.size("_x") - 1), F.slice("_around", 2, F.size("_x") - 1), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    out = out.withColumns({"_power": F.aggregate("_around", F.lit(0.0), lambda a, x: a + x * x), "_lagged": lagged})
+    # sums around the mean, from the plain ones
+    mean = F.col("_mean")
+    out = out.withColumns({
+        "_power": F.col("_squares") - F.col("_sum") * mean,
+        "_lagged": F.col("_walk")["lagged"] - mean * (2 * F.col("_sum") - first - last) + (F.col("_n") - 1) * mean * mean,
+    })
     # log likelihood ratios of uniform symbols to ordinary writing, by symbol
     gains = {26: [[log(sum(row) / (26 * x)) for x in row] for row in LETTERS], 16: [[log(10 / 16)] * 10 + [log(sum(row[:6]) / (16 * x)) for x in row[:6]] for row in LETTERS]}
-    sum_of = lambda row: F.aggregate("_x", F.lit(0.0), lambda a, x: a + F.get(F.array(*map(F.lit, row)), x.cast("int")))
+    sum_of = lambda row: total(lambda c, i: c * F.get(F.array(*map(F.lit, row)), i))
     gain = lambda k: F.least(*map(sum_of, gains[k]))
-    turns = F.size(F.filter(F.arrays_zip(F.slice("_x", 1, F.size("_x") - 1).alias("p"), F.slice("_x", 2, F.size("_x") - 1).alias("q")), lambda y: (y["p"] >= 10) != (y["q"] >= 10)))
+    turns = F.col("_walk")["turns"]
     stays = F.col("_n") - 1 - F.col("_turns")
     out = out.withColumn("_turns", F.when(F.col("_k") == 16, turns))
     out = out.withColumn("_ratio", F.when(F.col("_k") == 16, gain(16) + log(2) - log(ORDINARY_CHANGE) * F.col("_turns") - log(1 - ORDINARY_CHANGE) * stays).when(F.col("_k") == 26, gain(26)))
@@ -137,10 +180,10 @@ def token_tests(tokens: DataFrame, col: str = "value") -> DataFrame:
         out.withColumns({
             "chi_z": _chi_z(F.col("_chi"), F.col("_k") - 1),
             "runs_z": F.when(spread > 0, (F.col("_runs") - expected) / F.sqrt(spread)).otherwise(F.lit(9.0)),
-            "serial_z": F.when(F.col("_power") > 0, (F.col("_lagged") / F.col("_power") + 1 / F.col("_n")) * F.sqrt("_n")).otherwise(F.lit(9.0)),
+            "serial_z": F.when(F.col("_power") > 1e-9, (F.col("_lagged") / F.col("_power") + 1 / F.col("_n")) * F.sqrt("_n")).otherwise(F.lit(9.0)),
             "ordinary_p": F.when(F.col("_ratio").isNotNull(), F.exp(-F.greatest("_ratio", F.lit(0.0)))).when(F.col("_k") * ORDINARY_REPEAT > 1, 1 - _upper_tail(F.col("_ordinary_z"))).otherwise(F.lit(1.0)),
         })
-        .drop("_symbols", "_k", "_n", "_x", "_chi", "_up", "_low", "_runs", "_mean", "_expected", "_spread", "_around", "_power", "_lagged", "_ordinary", "_ordinary_z", "_turns", "_ratio")
+        .drop("_symbols", "_k", "_n", "_count", "_chi", "_up", "_low", "_sum", "_squares", "_walk", "_runs", "_mean", "_expected", "_spread", "_power", "_lagged", "_ordinary", "_ordinary_z", "_turns", "_ratio")
     )
 
 
@@ -158,24 +201,53 @@ def _discoveries(tests: DataFrame, fdr: float, reject: float) -> DataFrame:
 
 
 def secret_spans(docs: DataFrame, fdr: float = FDR, reject: float = REJECT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, rid, spans array<struct<kind,start,end>>, by start and kind.
+    """One row per document: doc_id, rid, rid2, spans array<struct<kind,start,end>>, by start and kind.
 
     Kinds are those of ``KINDS``, then ``random`` for what the tests add.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("rid"), *[_placed(text, p, int(k == "assign")).alias(k) for k, p in KINDS.items()], _placed(text, TOKEN).alias("token"))
-    found = found.withColumn("assign", F.filter("assign", lambda x: F.length(x["value"]) >= ASSIGN_LEAST))
+    tables = Tables(docs.sparkSession, "op7")
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    text, tokens = F.coalesce(F.col(text_col), F.lit("")), F.col("token")
+    found = docs.select(
+        F.col(id_col).alias("doc_id"), *row_keys(id_col, text_col),
+        F.when(text.rlike(_MAY_ASSIGN), _placed(text, ASSIGN, 1)).otherwise(none).alias("assign"),
+        F.when(text.rlike(_MAY_TOKEN), _placed(text, TOKEN)).otherwise(none).alias("token"),
+    )
+
+    def inside(pattern: str) -> Column:
+        """Matches of a pattern whose symbols are those of tokens."""
+        of_one = lambda t: F.transform(_placed(t["value"], pattern), lambda m: F.struct((m["start"] + t["start"]).alias("start"), (m["end"] + t["start"]).alias("end"), m["value"].alias("value")))
+        return F.flatten(F.transform(F.filter(tokens, lambda t: t["value"].rlike(pattern)), of_one))
+
+    found = found.withColumns({"assign": F.filter("assign", lambda x: F.length(x["value"]) >= ASSIGN_LEAST), "access": inside(ACCESS), "hex": inside(HEX)})
 
     def named(n: int, kind: str) -> Column:
         return F.transform(kind, lambda x: F.struct(x["start"].alias("start"), F.lit(n).alias("n"), x["end"].alias("end"), F.lit(kind).alias("kind")))
 
-    base = F.concat(*[named(n, k) for n, k in enumerate(KINDS)])
-    found = written(found.withColumn("base", base).select("doc_id", "rid", "base", F.filter("token", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))).alias("token")), "op7-found")
-    tests = token_tests(found.where(F.size("token") > 0).select("rid", F.explode("token").alias("t")).select("rid", "t.start", "t.end", "t.value"))
-    tests = written(tests.withColumn("size", F.length("value")).drop("value", "encoding"), "op7-tests")
-    more = _discoveries(tests, fdr, reject).groupBy("rid").agg(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("n"), "end", F.lit("random").alias("kind"))).alias("more"))
-    both = found.join(more, "rid", "left").withColumn("all", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<start:int,n:int,end:int,kind:string>>")))))
-    return both.select("doc_id", "rid", F.transform("all", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("spans"))
+    found = found.select("doc_id", *KEY, F.concat(*[named(n, k) for n, k in enumerate(KINDS)]).alias("base"), "token")
+    found = tables.write(found.withColumn("token", F.when((F.size("base") > 0) & (F.size("token") > 0), _clear(F.col("token"), F.col("base"))).otherwise(F.col("token"))), "found")
+    # rows that repeat count as often as they occur
+    tests = token_tests(found.where(F.size("token") > 0).select(*KEY, F.explode("token").alias("t")).select(*KEY, "t.start", "t.end", "t.value"))
+    tests = tables.write(tests.withColumn("size", F.length("value")).drop("value", "encoding"), "tests")
+    span = F.struct("start", F.lit(len(KINDS)).alias("n"), "end", F.lit("random").alias("kind"))
+    more = _discoveries(tests, fdr, reject).groupBy(*KEY).agg(F.collect_set(span).alias("more"))
+    both = found.where(F.size("token") > 0).join(more, list(KEY), "left").withColumn("all", F.concat("base", F.coalesce("more", F.array().cast("array<struct<start:int,n:int,end:int,kind:string>>"))))
+    rest = found.where(F.size("token") == 0).withColumn("all", F.col("base"))
+    columns = ["doc_id", *KEY, F.transform(F.array_sort("all"), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("spans")]
+    return both.select(columns).union(rest.select(columns))
+
+
+def _clear(tokens: Column, base: Column) -> Column:
+    """The tokens that overlap no base span.
+
+    Base spans by their start and tokens by their end in one order: a token is
+    free if no span that starts before its end reaches beyond its start.
+    """
+    line = lambda at, base, start, end, value: F.struct(at.alias("at"), F.lit(base).alias("base"), start.alias("start"), end.alias("end"), value.alias("value"))
+    both = F.concat(F.transform(tokens, lambda t: line(t["end"], 0, t["start"], t["end"], t["value"])), F.transform(base, lambda b: line(b["start"], 1, b["start"], b["end"], F.lit(None).cast("string"))))
+    reach = lambda rows: _running(F.transform(rows, lambda x: F.when(x["base"] == 1, x["end"]).otherwise(0)), F.greatest)
+    free = lambda rows: F.filter(F.zip_with(rows, reach(rows), lambda x, r: F.when((x["base"] == 0) & (r <= x["start"]), F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))), lambda x: x.isNotNull())
+    return _let(F.array_sort(both), free)
 
 
 def digest(spans: DataFrame) -> DataFrame:
@@ -188,23 +260,19 @@ def digest(spans: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "<SECRET>", fdr: float = FDR, reject: float = REJECT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every secret span replaced by ``mark``; overlapping spans become one."""
-    spans = secret_spans(docs, fdr, reject, id_col, text_col).where(F.size("spans") > 0).select("rid", "spans").dropDuplicates(["rid"])
+    spans = secret_spans(docs, fdr, reject, id_col, text_col).where(F.size("spans") > 0).select(*KEY, "spans").dropDuplicates(list(KEY))
     spans = written(spans, "op7-spans")
-    kind = "array<struct<start:int,end:int>>"
-
-    def merge(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joined = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
-        return F.when((F.size(acc) > 0) & (x["start"] < last["end"]), joined).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end")))))
-
-    merged = F.aggregate("spans", F.array().cast(kind), merge)
-    text = F.col("row")[text_col]
-    begins = F.concat(F.array(F.lit(0)), F.transform("merged", lambda x: x["end"]))
-    ends = F.concat(F.transform("merged", lambda x: x["start"]), F.array(F.length(text)))
-    kept = F.array_join(F.zip_with(begins, ends, lambda b, e: text.substr(b + 1, e - b)), mark)
+    text = F.col("row").getField(text_col)
+    # where the text goes on after each span, and where it begins
+    reach = _running(F.transform("spans", lambda x: x["end"]), F.greatest)
+    gaps = F.filter(F.zip_with(F.concat(F.array(F.lit(0)), "reach"), F.concat(F.transform("spans", lambda x: x["start"]), F.array(F.length(text))), lambda b, e: F.struct(b.alias("b"), e.alias("e"))), lambda g: g["b"] <= g["e"])
+    few = F.array_join(F.transform(gaps, lambda g: text.substr(g["b"] + 1, g["e"] - g["b"])), mark)
+    # a substring is counted from the first character, so texts of many spans go by characters
+    many = _let(F.split(text, ""), lambda chars: F.array_join(F.transform(gaps, lambda g: F.array_join(F.slice(chars, g["b"] + 1, g["e"] - g["b"]), "")), mark))
+    kept = F.when(F.size("spans") <= 16, few).otherwise(many)
     # texts without a span stay where they are; the rows are structs, so that no name clashes
-    rows = docs.select(F.struct(*docs.columns).alias("row"), row_key(id_col, text_col).alias("rid"))
+    rows = docs.select(F.struct(*quoted(docs.columns)).alias("row"), *row_keys(id_col, text_col))
     near, rest = split_by_keys(rows, spans, "rid")
-    near = near.join(spans, "rid", "left").withColumn("merged", merged)
-    clean = F.col("row").withField(text_col, F.when(F.col("spans").isNotNull(), kept).otherwise(text)).alias("row")
+    near = near.join(spans, list(KEY), "left").withColumn("reach", reach)
+    clean = F.col("row").withField("`" + text_col + "`", F.when(F.col("spans").isNotNull(), kept).otherwise(text)).alias("row")
     return rest.select("row.*").union(near.select(clean).select("row.*"))

@@ -3,18 +3,21 @@
 Byte trigrams of lower-cased words, with word borders, are counted for each
 learned language over all training documents, in ``BUCKETS`` hashed columns; so
 are the scripts of the letters. Every letter of Unicode has a script, from fixed
-ranges, or is of one class for the rest. A word's script leaves the languages of which at least ``SCRIPT_SHARE`` of the letters are in
-it (all, if there are none). Its score in each is the log-likelihood of its
-trigrams, normalised over languages and floored. Viterbi decoding over the words
-of a text, with ``PENALTY`` for a change of language, labels the words; runs of
-one label are spans. Decoding restarts every ``STRETCH`` words, which bounds
-a task's steps by that number and not by the longest text.
+ranges, or is of one class for the rest. A word's script, that of most of its
+letters (of equals the first in the list), leaves the languages of which at least
+``SCRIPT_SHARE`` of the letters are in it (all, if there are none). Its score in
+each is the log-likelihood of its trigrams, normalised over languages and floored.
+Viterbi decoding over all words of a text, with ``PENALTY`` for a change of
+language, labels the words; runs of one label are spans. Texts beyond a slice's
+size are decoded part by part, with the states and two bytes or so a word carried
+on, so that they need little memory; the labels are those of the whole.
 
 The language of a text is the one with the most letters in its spans; the score
 is its share of the letters. Texts that are null or have no letter are ``und``
 with score 0; without training rows all are ``und``. Repeated rows get equal
 results; a null id belongs to the training fold; other columns are ignored; an
-empty table gives an empty result.
+empty table gives an empty result. The ``LANGUAGES`` languages with the most
+training rows are learned, which bounds the model where labels are dirty.
 """
 
 from __future__ import annotations
@@ -31,7 +34,9 @@ from ._bytes import IS_SPACE, LOWER, slices, utf8_buffers, words
 from .quality import held_out
 
 BUCKETS = 1 << 15
-PENALTY, FLOOR, SCRIPT_SHARE, STRETCH = 6.0, -5.0, 0.005, 4096
+PENALTY, FLOOR, SCRIPT_SHARE = 6.0, -5.0, 0.005
+LANGUAGES = 256
+_SCORES = 8 << 20  # bytes of text times languages that one slice holds the scores of
 _OTHER, _LETTER, _LATIN, _GREEK, _CYRILLIC, _ARMENIAN, _HEBREW, _ARABIC, _INDIC, _SOUTHEAST, _KANA, _HAN, _HANGUL, _GEORGIAN, _ETHIOPIC, _KHMER, _BURMESE, _MONGOLIAN, _CHEROKEE = range(19)
 _SCRIPTS = 19
 
@@ -74,13 +79,16 @@ def _scripts(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _trigrams(data: np.ndarray) -> np.ndarray:
-    """Bucket of the trigram around each byte; separators count as one symbol."""
+def _trigrams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Bucket of the trigram around each byte; separators and the ends of a text count as one symbol."""
     x = LOWER[data].astype(np.uint32)
     x[IS_SPACE[data]] = 32
-    pad = np.full(len(x) + 2, 32, np.uint32)
-    pad[1:-1] = x
-    code = pad[:-2] * np.uint32(0x9E3779B1) + pad[1:-1] * np.uint32(0x85EBCA6B) + pad[2:] * np.uint32(0xC2B2AE35)
+    left, right = np.full(len(x), 32, np.uint32), np.full(len(x), 32, np.uint32)
+    left[1:], right[:-1] = x[:-1], x[1:]
+    some = offsets[:-1] < offsets[1:]
+    left[offsets[:-1][some]] = 32
+    right[offsets[1:][some] - 1] = 32
+    code = left * np.uint32(0x9E3779B1) + x * np.uint32(0x85EBCA6B) + right * np.uint32(0xC2B2AE35)
     code ^= code >> np.uint32(15)
     return ((code * np.uint32(0x27D4EB2F)) >> np.uint32(17)).astype(np.int32)
 
@@ -95,10 +103,14 @@ def _learn(langs: list[str]):
             raw, off = utf8_buffers(batch.column("text"))
             lang = np.array([index[x] for x in batch.column("lang").to_pylist()], np.int64)
             for i, j in slices(off):
-                data = raw[off[i] : off[j]]
-                at = np.repeat(lang[i:j], np.diff(off[i : j + 1]))
-                word = ~IS_SPACE[data]
-                grams += np.bincount((at * BUCKETS + _trigrams(data))[word], minlength=len(grams))
+                data, o = raw[off[i] : off[j]], off[i : j + 1] - off[i]
+                at = np.repeat(lang[i:j], np.diff(o))
+                code = (at * BUCKETS + _trigrams(data, o))[~IS_SPACE[data]]
+                if len(grams) <= 1 << 20:
+                    grams += np.bincount(code, minlength=len(grams))
+                else:
+                    some, n = np.unique(code, return_counts=True)
+                    grams[some] += n
                 scripts += np.bincount(at * _SCRIPTS + _scripts(data), minlength=len(scripts))
         both = np.concatenate([grams, scripts])
         some = np.flatnonzero(both)
@@ -108,11 +120,11 @@ def _learn(langs: list[str]):
 
 
 def fit(train: DataFrame) -> dict:
-    """Model of ``train(text, lang)``; its size goes with the number of languages only."""
-    langs = sorted(r[0] for r in train.select("lang").distinct().collect())  # one row a language
-    both = np.zeros(len(langs) * (BUCKETS + _SCRIPTS))
+    """Model of ``train(text, lang)``; its size goes with the number of languages, ``LANGUAGES`` at most."""
+    langs = sorted(r[0] for r in train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
+    both = np.zeros(len(langs) * (BUCKETS + _SCRIPTS), np.float32)
     if langs:
-        for k, n in train.mapInArrow(_learn(langs), "feature long, n long").groupBy("feature").agg(F.sum("n")).toLocalIterator():
+        for k, n in train.where(F.col("lang").isin(langs)).mapInArrow(_learn(langs), "feature long, n long").groupBy("feature").agg(F.sum("n")).toLocalIterator():
             both[k] = n
     grams = both[: len(langs) * BUCKETS].reshape(len(langs), BUCKETS)
     scripts = both[len(langs) * BUCKETS :].reshape(len(langs), _SCRIPTS)
@@ -124,19 +136,30 @@ def fit(train: DataFrame) -> dict:
     return {"langs": langs, "log_p": log_p.astype(np.float32), "usable": usable}
 
 
-def _word_scores(model: dict, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _dominant(script: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The script of most letters of each word; ``bounds`` has the begin and end of each."""
+    most = np.maximum.reduceat(script, bounds)[::2]
+    least = np.minimum.reduceat(np.where(script > 0, script, 255), bounds)[::2]
+    out = most.astype(np.int64)
+    for k in np.flatnonzero((least < most) & (most > 0)):
+        lo, hi = bounds[2 * k], bounds[2 * k + 1] if 2 * k + 1 < len(bounds) else len(script)
+        count = np.bincount(script[lo:hi], minlength=_SCRIPTS)
+        count[_OTHER] = 0
+        out[k] = count.argmax()
+    return out
+
+
+def _word_scores(model: dict, data: np.ndarray, offsets: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(normalised log scores, letters) of each word."""
-    code, script = _trigrams(data), _scripts(data)
+    code, script = _trigrams(data, offsets), _scripts(data)
     bounds = np.stack([start, end], axis=1).ravel()
     if bounds[-1] == len(data):
         bounds = bounds[:-1]
     letters = np.add.reduceat((script > 0).astype(np.int32), bounds)[::2]
-    # the script of a word is that of most of its letters: the last one decides between equals
-    dominant = np.maximum.reduceat(script, bounds)[::2]
-    score = np.empty((len(start), len(model["langs"])), np.float32)
-    for k, table in enumerate(model["log_p"]):
-        score[:, k] = np.add.reduceat(table[code], bounds)[::2]
-    score[~model["usable"].T[dominant]] = -1e9
+    usable = model["usable"].T[_dominant(script, bounds)]
+    score = np.full((len(start), len(model["langs"])), -1e9, np.float32)
+    for k in np.flatnonzero(usable.any(axis=0)):
+        score[:, k] = np.where(usable[:, k], np.add.reduceat(model["log_p"][k][code], bounds)[::2], np.float32(-1e9))
     score -= score.max(axis=1, keepdims=True)
     score -= np.log(np.exp(score).sum(axis=1, keepdims=True))
     np.maximum(score, FLOOR, out=score)
@@ -144,6 +167,15 @@ def _word_scores(model: dict, data: np.ndarray, start: np.ndarray, end: np.ndarr
     return score, letters
 
 
+def _step(best: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray]:
+    """Let the states of each row change to its best one; returns that one, and which states change."""
+    top = best.argmax(axis=1)
+    other = best[np.arange(len(best)), top] - np.float32(penalty)
+    change = best < other[:, None]
+    np.maximum(best, other[:, None], out=best)
+    return top.astype(np.int16), change
+
+
 def _viterbi(score: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
     """Best label of every word; sequences begin at ``first`` (with the end appended).
 
@@ -154,21 +186,20 @@ def _viterbi(score: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
     begin, size = first[:-1][order], size[order]
     steps = int(size[0]) if len(size) else 0
     active = np.searchsorted(-size, -np.arange(steps), side="left")  # sequences longer than t
-    label = np.zeros(len(score), np.int8)
+    label = np.zeros(len(score), np.int16)
     best = np.zeros((len(size), score.shape[1]), np.float32)
     came, switch = [], []
     for t in range(steps):
         n = active[t]
         b = best[:n]
         if t:
-            top = b.argmax(axis=1)
-            other = b[np.arange(n), top] - penalty
-            change = b < other[:, None]
-            np.maximum(b, other[:, None], out=b)
-            came.append(top.astype(np.int8))
+            top, change = _step(b, penalty)
+            came.append(top)
             switch.append(change)
         b += score[begin[:n] + t]
-    at = np.zeros(len(size), np.int8)
+        if t % 256 == 0:
+            best -= best.max(axis=1, keepdims=True)  # keeps the sums small
+    at = np.zeros(len(size), np.int16)
     for t in range(steps - 1, -1, -1):
         n = active[t]
         done = active[t + 1] if t + 1 < steps else 0
@@ -181,37 +212,97 @@ def _viterbi(score: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
     return label
 
 
-def _predict(model, penalty: float, with_spans: bool):
+def _viterbi_parts(scores, penalty: float) -> np.ndarray:
+    """Labels of one sequence whose scores come part by part, as :func:`_viterbi` gives them."""
+    best, kept, t = None, [], 0
+    for score in scores:
+        came, switch = np.zeros(len(score), np.int16), np.zeros(score.shape, bool)
+        for i, row in enumerate(score):
+            if best is None:
+                best = np.zeros((1, len(row)), np.float32)
+            else:
+                top, change = _step(best, penalty)
+                came[i], switch[i] = top[0], change[0]
+            best += row
+            if t % 256 == 0:
+                best -= best.max(axis=1, keepdims=True)
+            t += 1
+        kept.append((came, np.packbits(switch, axis=1)))
+    out, at = [], int(best.argmax()) if t else 0
+    for came, packed in reversed(kept):
+        switch, label = np.unpackbits(packed, axis=1), np.zeros(len(came), np.int16)
+        for i in range(len(came) - 1, -1, -1):
+            label[i] = at
+            at = int(came[i]) if switch[i, at] else at
+        out.append(label)
+    return np.concatenate(out[::-1]) if out else np.zeros(0, np.int16)
+
+
+def _parts(data: np.ndarray, limit: int):
+    """A text in parts of about ``limit`` bytes that end with white space."""
+    at = 0
+    while at < len(data):
+        end = min(at + limit, len(data))
+        while end < len(data):
+            blank = np.flatnonzero(IS_SPACE[data[end : end + limit]])
+            end += int(blank[0]) + 1 if len(blank) else min(limit, len(data) - end)
+            if len(blank):
+                break
+        yield data[at:end]
+        at = end
+
+
+def _labels(model: dict, data: np.ndarray, o: np.ndarray, penalty: float, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(label, letters, row) of the words of a slice; a text above ``limit`` bytes is a slice of its own."""
+    if len(data) <= limit:
+        start, end, row = words(data, o)
+        if not len(start):
+            return np.zeros(0, np.int16), np.zeros(0, np.int32), row
+        score, letters = _word_scores(model, data, o, start, end)
+        first = np.append(np.flatnonzero(np.diff(row, prepend=-1)), len(row))
+        return _viterbi(score, first, penalty), letters, row
+    all_letters = []
+
+    def scores():
+        for part in _parts(data, limit):
+            own = np.array([0, len(part)])
+            start, end, _ = words(part, own)
+            if len(start):
+                score, letters = _word_scores(model, part, own, start, end)
+                all_letters.append(letters)
+                yield score
+
+    label = _viterbi_parts(scores(), penalty)
+    return label, np.concatenate(all_letters) if all_letters else np.zeros(0, np.int32), np.zeros(len(label), np.int64)
+
+
+def _predict(model, penalty: float, with_spans: bool, scores: int):
     def run(batches):
         m = model.value
         langs = np.array(m["langs"], object)
+        limit = max(1, scores // max(len(langs), 1))
         for batch in batches:
             raw, off = utf8_buffers(batch.column("text"))
             n = len(off) - 1
-            scores, letters, rows = [], [], []
-            for i, j in slices(off) if len(langs) else ():
-                start, end, row = words(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                if len(start):
-                    s, k = _word_scores(m, raw[off[i] : off[j]], start, end)
-                    scores.append(s), letters.append(k), rows.append(row + i)
             lang, share, spans = np.full(n, "und", object), np.zeros(n), [[] for _ in range(n)]
-            if scores:
-                score, letter, row = np.concatenate(scores), np.concatenate(letters), np.concatenate(rows)
-                new = np.ones(len(row), bool)
-                new[1:] = row[1:] != row[:-1]
-                head = np.flatnonzero(new)
-                place = np.arange(len(row)) - head[np.cumsum(new) - 1]
-                first = np.append(np.flatnonzero(place % STRETCH == 0), len(row))
-                label = _viterbi(score, first, penalty)
-                count = np.bincount(row * len(langs) + label, weights=letter, minlength=n * len(langs)).reshape(n, len(langs))
-                some = np.flatnonzero(batch.column("has_letter").to_numpy(zero_copy_only=False))
-                lang[some] = langs[count[some].argmax(axis=1)]
-                share[some] = count[some].max(axis=1) / np.maximum(count[some].sum(axis=1), 1)
+            has_letter = batch.column("has_letter").to_numpy(zero_copy_only=False)
+            for i, j in slices(off, limit) if len(langs) else ():
+                label, letter, row = _labels(m, raw[off[i] : off[j]], off[i : j + 1] - off[i], penalty, limit)
+                if not len(label):
+                    continue
+                count = np.bincount(row * len(langs) + label, weights=letter, minlength=(j - i) * len(langs)).reshape(j - i, len(langs))
+                some = np.flatnonzero(has_letter[i:j])
+                lang[i + some] = langs[count[some].argmax(axis=1)]
+                share[i + some] = count[some].max(axis=1) / np.maximum(count[some].sum(axis=1), 1)
                 if with_spans:
+                    new = np.ones(len(row), bool)
+                    new[1:] = row[1:] != row[:-1]
+                    head = np.flatnonzero(new)
+                    place = np.arange(len(row)) - head[np.cumsum(new) - 1]
                     new[1:] |= label[1:] != label[:-1]
                     cut = np.flatnonzero(new)
                     for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(row)]):
-                        spans[row[s]].append({"lang": langs[label[s]], "first_word": int(place[s]), "words": e - s})
+                        spans[i + row[s]].append({"lang": langs[label[s]], "first_word": int(place[s]), "words": e - s})
             cols = [batch.column("doc_id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(share)]
             names = ["doc_id", "held_out", "lang_pred", "score"]
             if with_spans:
@@ -222,7 +313,7 @@ def _predict(model, penalty: float, with_spans: bool):
     return run
 
 
-def identify(docs: DataFrame, penalty: float = PENALTY, with_spans: bool = True, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify(docs: DataFrame, penalty: float = PENALTY, with_spans: bool = True, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", slice_scores: int = _SCORES) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score, and its spans of words.
 
     Learns from the documents with a language whose id is outside fold 0 of 5.
@@ -230,4 +321,4 @@ def identify(docs: DataFrame, penalty: float = PENALTY, with_spans: bool = True,
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col, 5, 0).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).alias("lang"))
     model = docs.sparkSession.sparkContext.broadcast(fit(rows.where("not held_out and lang is not null").select("text", "lang")))
     schema = f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double" + ", spans array<struct<lang:string,first_word:long,words:long>>" * with_spans
-    return rows.select("doc_id", "held_out", "text", F.col("text").rlike(r"\p{L}").alias("has_letter")).mapInArrow(_predict(model, penalty, with_spans), schema)
+    return rows.select("doc_id", "held_out", "text", F.col("text").rlike(r"\p{L}").alias("has_letter")).mapInArrow(_predict(model, penalty, with_spans, slice_scores), schema)

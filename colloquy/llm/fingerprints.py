@@ -8,15 +8,18 @@ phrase's name is a hash of its content, and the names are the next level's
 symbols, until one is left. Borders depend on a few neighbours only, so equal
 substrings share the names of their interior phrases wherever they stand.
 
-The names of levels ``LEVEL`` and above (of all levels for texts below
-``SHORT`` bytes) form a set, sketched by ``BINS`` minima of eight bits, in hex: the
-fingerprint. The likeness of two is Dice's coefficient from their estimated
-Jaccard similarity.
+The names of all levels form a set in which each counts by the bytes of its phrase,
+so that every level has about the same share of a text, long or short. It is
+sketched by ``BINS`` minima of eight bits, in hex: the fingerprint. A name's rank
+is exponential with its weight as rate, as in weighted sampling. The likeness
+of two is Dice's coefficient from their estimated Jaccard similarity.
 
 :func:`fingerprint_neighbours` also fingerprints each text with its second half
 replaced by the beginning of the next document's, by descending id (nulls
-last). Documents are dealt out by ranges of ids and ordered within them, and the
-first of each range is sent to the range before it.
+last; equal ids by the hash of their rows). Documents are dealt out by ranges of ids
+and ordered within them, and the first of each range is sent to the range before it.
+Ids that many rows share, null among them, are ranges of their own, in as many
+parts by the rows' hashes as their number asks for.
 
 Edge cases: a null text is empty; an empty text has an empty sketch, whose
 likeness is 1 to another empty one and 0 to others; repeated rows follow one
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 from ._bytes import BYTE_CODE, mix64, slices, utf8_buffers
 from ._tables import row_key
 
-LEVEL, SHORT, BINS = 3, 128, 128
+BINS = 128
 _STEP = np.uint64(0xC6BC279692B5C323)
 _RANGES = 4  # id ranges for each shuffle partition
 
@@ -83,13 +86,11 @@ def phrase_starts(names: np.ndarray, fresh: np.ndarray) -> np.ndarray:
     return start
 
 
-def phrase_names(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(name, row) of all phrases of the levels that count."""
-    size = np.diff(offsets)
-    row = np.repeat(np.arange(len(size), dtype=np.int32), size)
-    name, level = BYTE_CODE[data], 0
-    names, rows = [], []
-    short = size < SHORT
+def phrase_names(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(name, row, bytes) of all phrases of all levels."""
+    row = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
+    name, level, size = BYTE_CODE[data], 0, None
+    out = []
     while len(name):
         fresh = np.ones(len(row), bool)
         fresh[1:] = row[1:] != row[:-1]
@@ -98,9 +99,12 @@ def phrase_names(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
             new = fresh.copy()
             new[1:] |= name[1:] != name[:-1]
             symbol = data if level == 0 else (name >> np.uint64(32)).astype(np.uint32)
+            if size is None:
+                size = np.ones(len(name), np.int32)
             if not new.all():
                 head = np.flatnonzero(new)
                 length = np.diff(head, append=len(name)).astype(np.uint64)
+                size = np.add.reduceat(size, head)
                 name, row, fresh, symbol = name[head], row[head], fresh[head], symbol[head]
                 many = np.flatnonzero(length > 1)
                 name[many] = mix64(name[many] + length[many] * _STEP)
@@ -108,29 +112,29 @@ def phrase_names(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
             inside = np.arange(len(name)) - np.repeat(start, np.diff(start, append=len(name)))
             power = np.cumprod(np.full(int(inside.max()) + 1, _STEP, np.uint64))
             name = mix64(np.add.reduceat(name * power[inside], start) + np.uint64(level + 1))
-        row = row[start]
+        row, size = row[start], np.add.reduceat(size, start)
         level += 1
-        take = slice(None) if level >= LEVEL else np.flatnonzero(short[row])
-        names.append(name[take])
-        rows.append(row[take])
+        out.append((name, row, size))
         alone = np.ones(len(row), bool)
         alone[1:] &= row[1:] != row[:-1]
         alone[:-1] &= row[1:] != row[:-1]
-        name, row = name[~alone], row[~alone]
-    if not names:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
-    return np.concatenate(names), np.concatenate(rows)
+        name, row, size = name[~alone], row[~alone], size[~alone]
+    if not out:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+    return tuple(np.concatenate([x[k] for x in out]) for k in range(3))
 
 
 def sketches(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """(rows, BINS) bytes, 0 for an empty bin."""
     rows = len(offsets) - 1
     out = np.zeros(rows * BINS, np.uint8)
-    name, row = phrase_names(data, offsets)
+    name, row, size = phrase_names(data, offsets)
     if len(name):
         h = mix64(name ^ _STEP)
         cell = row.astype(np.uint64) * np.uint64(BINS) + (h & np.uint64(BINS - 1))
-        both = np.sort((cell << np.uint64(32)) | (h >> np.uint64(32)))
+        # positive floats are in the order of their bits
+        rank = -np.log(((h >> np.uint64(32)).astype(np.float64) + 0.5) / 4294967296.0) / size
+        both = np.sort((cell << np.uint64(32)) | rank.astype(np.float32).view(np.uint32))
         cell = (both >> np.uint64(32)).astype(np.int64)
         first = np.ones(len(cell), bool)
         first[1:] = cell[1:] != cell[:-1]
@@ -189,19 +193,28 @@ def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     ranges = _RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), row_key(id_col, text_col).alias("rid"))
-    bounds = docs.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 20 * ranges)).first()[0]
+    n, *bounds = docs.agg(F.count("*"), F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 20 * ranges)).first()
+    # an id with more than a range's share of the rows; fewer than there are ranges
+    crowded = docs.groupBy("doc_id").count().where(F.col("count") > max(1, n // ranges)).collect()
+    parts = {r["doc_id"]: -(-r["count"] * ranges // n) for r in crowded}
     # ranges count down from the largest ids; null ids come last
-    edges = sorted(set(bounds or []), reverse=True)
+    edges = sorted(set(bounds[0] or []) | {x for x in parts if x is not None}, reverse=True)
     place = F.size(F.filter(F.array(*[F.lit(x) for x in edges]), lambda x: x > F.col("doc_id"))) if edges else F.lit(0)
-    dealt = docs.withColumn("range", F.when(F.col("doc_id").isNull(), len(edges) + 1).otherwise(place))
-    heads = dealt.select("range", "doc_id", "rid").groupBy("range").agg(F.max(F.struct("doc_id", -F.col("rid"))).alias("head"), F.max_by(F.struct("rid"), F.struct("doc_id", (-F.col("rid")).alias("r"))).alias("at"))
-    first = sorted((r["range"], r["at"]["rid"]) for r in heads.collect())  # one row a range
+    place = F.when(F.col("doc_id").isNull(), len(edges) + 1).otherwise(place)
+    width = F.lit(0)
+    for x, m in parts.items():
+        width = F.when(F.col("doc_id").eqNullSafe(F.lit(x).cast(dict(docs.dtypes)["doc_id"])), m).otherwise(width)
+    part = F.least(F.floor((F.col("rid") / 2.0**64 + 0.5) * F.col("_parts")), F.col("_parts") - 1)
+    # larger ids than a crowded one that share its place come before its parts
+    dealt = docs.withColumn("_parts", width).withColumn("range", (place * (ranges + 2) + F.when(F.col("_parts") > 0, 1 + part).otherwise(0)).cast("int")).drop("_parts")
+    heads = dealt.groupBy("range").agg(F.max_by("rid", F.struct("doc_id", F.bitwise_not("rid").alias("r"))).alias("at"))
+    first = sorted(map(tuple, heads.collect()))  # one row a range
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     if not first:
         return spark.createDataFrame([], schema)
     before = {rid: first[k - 1][0] for k, (_, rid) in enumerate(first)}
     sent = spark.createDataFrame(list(before.items()), "rid long, range int")
     marks = docs.join(F.broadcast(sent), "rid").dropDuplicates(["rid"]).select("doc_id", "text", "rid", "range", F.lit(True).alias("mark"))
-    rows = dealt.select("doc_id", "text", "rid", F.col("range").cast("int"), F.lit(False).alias("mark")).union(marks)
+    rows = dealt.select("doc_id", "text", "rid", "range", F.lit(False).alias("mark")).union(marks)
     rows = rows.repartition("range").sortWithinPartitions("range", "mark", F.desc_nulls_last("doc_id"), "rid")
     return rows.select("doc_id", "text", "mark").mapInArrow(_pairs, schema)

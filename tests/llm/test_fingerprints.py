@@ -1,12 +1,13 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 import numpy as np
 
-from colloquy.llm.fingerprints import fingerprint_neighbours, phrase_names, sketches
+from colloquy.llm.fingerprints import fingerprint_neighbours, likeness, phrase_names, sketches
 
-from .corpus import SCHEMA, frame, rows
+from .corpus import SCHEMA, frame, rows, words
 
 
 def test_edited_texts_follow_the_order_of_ids(spark):
@@ -47,3 +48,31 @@ def test_single_and_empty_tables(spark):
     (one,) = fingerprint_neighbours(spark.createDataFrame([(5, "abc def")], "doc_id long, text string")).collect()
     assert one.edited_sha256 == hashlib.sha256(b"abc abc").hexdigest() and one.near_next == 1
     assert fingerprint_neighbours(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def like(a: bytes, b: bytes) -> float:
+    x = sketches(np.frombuffer(a + b, np.uint8), np.array([0, len(a), len(a) + len(b)]))
+    return float(likeness(x[:1], x[1:])[0])
+
+
+def test_likeness_has_no_step_in_length():
+    rng = random.Random(3)
+    for n in (60, 126, 127, 128, 129, 255, 256, 1000, 4096, 20_000):
+        texts = [words(rng, n).encode()[:n] for _ in range(12)]
+        assert np.mean([like(t, t + b"x") for t in texts]) > 0.75, n
+        assert np.mean([like(t, t[:-1] + b"#") for t in texts]) > 0.75, n
+        assert 0.3 < np.mean([like(t, t[: n - n // 2] + o[: n // 2]) for t, o in zip(texts, texts[1:])]) < 0.75, n
+        assert all(like(t, t) == 1 for t in texts)
+
+
+def test_crowded_ids(spark):
+    rng = random.Random(4)
+    data = [(7 if i % 3 else None if i % 2 else i, words(rng, 3)) for i in range(300)] + [(7, "same")] * 20
+    got = fingerprint_neighbours(spark.createDataFrame(data, "doc_id long, text string").repartition(5))
+    out = got.collect()
+    assert sorted((str(r.doc_id), r.n_chars) for r in out) == sorted((str(i), len(t)) for i, t in data)
+    edited = {}
+    for i, t in data:
+        for _, other in data:
+            edited[hashlib.sha256((t[: len(t) - len(t) // 2] + other[: len(t) // 2]).encode()).hexdigest()] = 1
+    assert all(r.edited_sha256 in edited for r in out)

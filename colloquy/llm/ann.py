@@ -1,17 +1,22 @@
 """Nearest vectors by cosine: multiprobe p-stable hashing with exact reranking.
 
 Vectors, scaled to unit length for hashing, get in each of ``TABLES`` tables a
-bucket of ``functions`` values ``floor((a.x + b) / WIDTH)`` with normal ``a``. A
+bucket of ``functions`` values ``floor(a.x / WIDTH)`` with normal ``a``, orthogonal to
+each other within a table as far as the dimension goes. There is no random offset:
+projections of unit vectors lie around 0, where a border parts them best. A
 query visits its own bucket and those of the ``PROBES`` perturbation sets (values
 moved by -1 or +1) with the smallest sums of squared distances to the crossed
 borders, the order of estimated success. Every row is indexed. What a visited
 bucket holds is scored exactly, in double precision on the original
 vectors; the best of all tables are merged.
 
+The number of functions follows the number of rows n: a query is to visit a share of
+``sqrt(FULL / n)`` of them, all up to ``FULL`` rows. So the work for a query grows with
+the root of n.
+
 Buckets above ``SPLIT`` rows are dealt out over salted parts, which a query visits
 all. Groups of parts are joined with their visitors; a group holds about
-``GROUP_ROWS`` index rows. The number of functions follows the number of rows, up
-to ``FUNCTIONS``; up to 200 rows there is one bucket.
+``GROUP_ROWS`` index rows.
 
 Vectors take no part if they are null, empty, zero, hold null or non-finite
 components, have a null id, or another length than most. Rows with the query's
@@ -23,6 +28,7 @@ besides id and vector are ignored.
 from __future__ import annotations
 
 import heapq
+from math import log2
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +38,7 @@ from pyspark.sql import functions as F
 from ._bytes import random_u64
 from ._tables import written
 
-TABLES, FUNCTIONS, WIDTH, PROBES = 20, 10, 2.0, 110
+TABLES, WIDTH, PROBES, FULL = 24, 4.0, 600, 400
 SPLIT, GROUP_ROWS = 4096, 20_000
 
 
@@ -62,14 +68,18 @@ class Hashes:
     def __init__(self, dimension: int, tables: int, functions: int, width: float):
         rng = np.random.default_rng(3)
         self.tables, self.functions = tables, functions
-        self.a = rng.standard_normal((dimension, tables * functions)) / width
-        self.b = rng.random(tables * functions)
+        a = rng.standard_normal((tables, dimension, functions))
+        for lo in range(0, functions, dimension):
+            part = a[:, :, lo : lo + dimension]
+            size = np.linalg.norm(part, axis=1, keepdims=True)
+            a[:, :, lo : lo + dimension] = np.linalg.qr(part)[0] * size
+        self.a = a.transpose(1, 0, 2).reshape(dimension, tables * functions) / width
         self.multiply = (random_u64(tables * max(functions, 1), 29) | np.uint64(1)).reshape(tables, -1)[:, :functions]
 
     def places(self, x: np.ndarray) -> np.ndarray:
         """(rows, tables, functions) positions on the lines, in bucket widths."""
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        return (x @ self.a + self.b).reshape(len(x), self.tables, self.functions)
+        return (x @ self.a).reshape(len(x), self.tables, self.functions)
 
     def keys(self, cells: np.ndarray) -> np.ndarray:
         """Bucket keys of integer cells (..., tables, functions); tables never share one."""
@@ -78,6 +88,14 @@ class Hashes:
             return ((mixed + np.arange(self.tables, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)) ^ (mixed >> np.uint64(29))
 
 
+def functions_for(n: int, tables: int = TABLES, probes: int = PROBES, full: int = FULL) -> int:
+    """Functions with which a query's probes visit about ``sqrt(full / n)`` of n rows; a function parts them in two."""
+    if n <= full:
+        return 0
+    share = 1 - (1 - (full / n) ** 0.5) ** (1 / tables)
+    return round(log2(probes / share))
+
+
 def _vectors(col: pa.Array) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), -1)
 
@@ -188,7 +206,7 @@ def usable(vector: Column) -> Column:
     return F.coalesce(fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, tables: int = TABLES, functions: int = FUNCTIONS, width: float = WIDTH, probes: int = PROBES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, tables: int = TABLES, functions: int | None = None, width: float = WIDTH, probes: int = PROBES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per query and rank: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     fine = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col)))
@@ -197,7 +215,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, tables: int = TABL
     fine = fine.where(F.size(vector_col) == dimension)
     rows = fine.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"))
     queries = fine.where(is_query).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"))
-    functions = 0 if n <= 200 else max(1, min(functions, int(n).bit_length() - 4))
+    functions = functions_for(n, tables, probes) if functions is None else functions
     hashes = Hashes(dimension, tables if functions else 1, functions, width)
     groups = max(1, -(-n * hashes.tables // GROUP_ROWS))
     kind = dict(rows.dtypes)["embedding"]

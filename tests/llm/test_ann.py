@@ -1,9 +1,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from colloquy.llm.ann import nearest, perturbations
+from colloquy.llm.ann import FULL, PROBES, TABLES, WIDTH, Hashes, _probes, functions_for, nearest, perturbations
 
 QUERY = "vec_id % 50 = 0"
 
@@ -50,3 +51,48 @@ def test_perturbations_are_valid_and_ordered():
     sets = perturbations(4, 60)
     assert len(set(sets)) == len(sets) and sets[0] == (0,)
     assert all(7 - j not in s for s in sets for j in s)
+
+
+def visited(hashes, x, queries, probes):
+    """Which rows each query scores, by the functions that the tasks use."""
+    key = hashes.keys(np.floor(hashes.places(x)))
+    batch = pa.RecordBatch.from_arrays([pa.array(queries), pa.array(list(x[queries]), pa.list_(pa.float64()))], names=["vec_id", "embedding"])
+    out = np.zeros((len(queries), len(x)), bool)
+    for k, found in enumerate(_probes(hashes, probes)(iter([batch]))):
+        out[k] = np.isin(key, found.column("key").to_numpy().view(np.uint64)).any(axis=1)
+    return out
+
+
+def test_visited_share_falls_with_the_rows():
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((50_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    queries = np.arange(0, 50_000, 400)
+    for n, most in ((2000, 0.6), (10_000, 0.3), (50_000, 0.1)):
+        part, asks = x[:n], queries[queries < n]
+        seen = visited(Hashes(64, TABLES, functions_for(n), WIDTH), part, asks, PROBES)
+        near = part[asks] @ part.T
+        near[np.arange(len(asks)), asks] = -2
+        best = np.argsort(-near, axis=1)[:, :5]
+        recall = np.take_along_axis(seen, best, axis=1).mean()
+        assert seen.mean() < most and recall >= 0.9, (n, seen.mean(), recall)
+
+
+def test_functions_follow_the_rows():
+    sizes = [functions_for(n) for n in (0, 1, 399, 400, 401, 1000, 10**4, 10**5, 10**6, 10**9, 10**11)]
+    assert sizes[:4] == [0, 0, 0, 0] and sizes == sorted(sizes) and sizes[-1] > sizes[-2] > sizes[-3]
+
+
+def test_borders_of_a_full_scan(spark):
+    rng = np.random.default_rng(7)
+    for n in (200, 201, FULL, FULL + 1):
+        x = rng.standard_normal((n, 16))
+        frame_ = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = {(r.query_id, r.vec_id) for r in nearest(frame_, F.col("vec_id") % 50 == 0).collect()}
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        want = set()
+        for q in range(0, n, 50):
+            near = unit @ unit[q]
+            near[q] = -2
+            want |= {(q, int(i)) for i in np.argsort(-near)[:5]}
+        assert len(got) == len(want) and len(got & want) >= 0.98 * len(want)

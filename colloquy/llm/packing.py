@@ -42,7 +42,7 @@ _PIECE = "rid long, doc_id {}, start long, length long, ids_crc32 long, doc_toke
 #: Ids of a chunk depend on the chunk alone where the text is cut before a blank
 #: that a character follows which is white space by no definition.
 _CHUNK = re.compile("(?= [!-~\u00c0-\u02ff\u0370-\u167f\u3041-\ud7ff])")
-_CACHE, _CACHED_CHARS = 1 << 19, 40
+_CACHE, _CACHED_CHARS = 1 << 18, 40
 
 
 class Ids:
@@ -117,7 +117,8 @@ def cut(n: int, lengths: np.ndarray) -> list[int]:
 
 def _pieces(path: str | None, capacity: int, small: int):
     def run(batches):
-        encode = _ids(path).of
+        ids_of = _ids(path)
+        encode = ids_of.of
         lengths, _ = class_lengths(capacity, small)
         cuts = functools.cache(lambda n: cut(n, lengths))
         end = END_ID.to_bytes(4, "little")
@@ -134,6 +135,7 @@ def _pieces(path: str | None, capacity: int, small: int):
             take = pa.array(cols[0])
             kind = (len(lengths) - 1 - np.searchsorted(lengths[::-1], cols[2])).astype(np.int32)
             yield pa.RecordBatch.from_arrays([rid.take(take), ids.take(take), *map(pa.array, cols[1:]), pa.array(kind)], names=["rid", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "class"])
+        ids_of.known.clear()  # the worker process goes on to other tasks
 
     return run
 

@@ -126,8 +126,13 @@ def _fit(idf: np.ndarray, totals: dict[int, int]):
             return
         seen.sort()  # the order of arrival must not count
         y, times = np.array([x[2] for x in seen]), np.array([x[3] for x in seen], float)
-        x = _weighted(np.frombuffer(b"".join(x[1] for x in seen), np.float32).reshape(-1, TERMS), idf).astype(np.float32)
-        del seen
+        x = np.empty((len(seen), TERMS), np.float32)
+        while seen:
+            x[len(seen) - 1] = np.frombuffer(seen.pop()[1], np.float32)
+        np.log1p(x, out=x)
+        x *= idf
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        x /= np.where(norm > 0, norm, 1)
         axes = _latent_axes(x, DIMENSIONS)
         v = x @ axes
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)

@@ -127,8 +127,8 @@ def _fit(idf: np.ndarray, totals: dict[int, int]):
         seen.sort()  # the order of arrival must not count
         y, times = np.array([x[2] for x in seen]), np.array([x[3] for x in seen], float)
         x = np.empty((len(seen), TERMS), np.float32)
-        while seen:
-            x[len(seen) - 1] = np.frombuffer(seen.pop()[1], np.float32)
+        for i in range(len(seen) - 1, -1, -1):
+            x[i] = np.frombuffer(seen.pop()[1], np.float32)
         np.log1p(x, out=x)
         x *= idf
         norm = np.linalg.norm(x, axis=1, keepdims=True)

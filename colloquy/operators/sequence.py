@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.cleaning import chunkable
+
 ORDER = ("timestamp_ms", "seq")
 
 
@@ -79,15 +81,18 @@ def context_frames(sessions: DataFrame, before: int, after: int, keys: Sequence[
 def response_pairs(sessions: DataFrame, reply_cap: int, keys: Sequence[str] = ("source", "session_no")) -> DataFrame:
     """Runs of self messages with the friend replies before the next self message.
 
-    A run without replies gives no row; at most ``reply_cap`` replies count.
+    Only messages with text of their own count (``chunkable``); one of the user's that
+    has none ends the run and what may answer it. A run without replies gives no
+    row; at most ``reply_cap`` replies count.
     """
     w = in_order(*keys)
     up_to = w.rowsBetween(Window.unboundedPreceding, 0)
-    is_self = F.col("role") == "self"
-    rows = sessions.withColumn("_s", is_self).withColumn("_g", F.sum(F.col("_s").cast("int")).over(up_to))
-    rows = rows.withColumn("_run", F.sum((F.col("_s") & ~F.coalesce(F.lag("_s").over(w), F.lit(False))).cast("int")).over(up_to))
-    usable = (F.col("role") == "friend") & (F.col("kind") != "system") & (F.trim("text") != "")
-    rows = rows.where((F.col("_run") > 0) & (F.col("_s") | usable))
+    usable = chunkable(F.col("kind"), F.col("text"))
+    rows = sessions.withColumn("_s", (F.col("role") == "self") & usable)
+    # a self message begins a new group unless it goes on with a run of usable ones
+    goes_on = F.col("_s") & F.coalesce(F.lag("_s").over(w), F.lit(False))
+    rows = rows.withColumn("_new", ((F.col("role") == "self") & ~goes_on).cast("int")).withColumn("_run", F.sum("_new").over(up_to))
+    rows = rows.where((F.col("_run") > 0) & (F.col("_s") | ((F.col("role") == "friend") & usable)))
     rows = rows.withColumn("_k", F.when(~F.col("_s"), F.row_number().over(Window.partitionBy(*keys, "_run", "_s").orderBy(*ORDER))))
     kept = rows.where(F.col("_s") | (F.col("_k") <= reply_cap))
     item = F.struct("timestamp_ms", "seq", F.trim("text").alias("t"))
@@ -97,7 +102,7 @@ def response_pairs(sessions: DataFrame, reply_cap: int, keys: Sequence[str] = ("
         F.count_if(F.col("_s")).alias("n_user"), F.count_if(~F.col("_s")).alias("n_reply"),
         F.min("timestamp_ms").alias("start_time_ms"), F.max(F.when(~F.col("_s"), F.col("timestamp_ms"))).alias("end_time_ms"),
     )
-    return out.where("n_reply > 0").withColumnRenamed("_run", "run_no")
+    return out.where("n_user > 0 and n_reply > 0").withColumnRenamed("_run", "run_no")
 
 
 def adjacent_pairs(sessions: DataFrame, keys: Sequence[str] = ("source", "session_no")) -> DataFrame:
@@ -133,3 +138,136 @@ def opening_messages(sessions: DataFrame) -> DataFrame:
     human = sessions.where(F.col("role").isin("self", "friend"))
     row = F.min_by(F.struct("role", "timestamp_ms", "seq", "text", "kind"), F.struct(*ORDER))
     return human.groupBy("source", "session_no").agg(row.alias("o")).select("source", "session_no", F.col("o.role").alias("initiator"), F.col("o.timestamp_ms").alias("opened_ms"), F.col("o.text").alias("opening"))
+
+
+def budget_context(sessions: DataFrame, budget: int, keys: Sequence[str] = ("source", "session_no")) -> DataFrame:
+    """Add ``context_before`` and ``context_after`` by characters: the nearest messages within ``budget``, half of it after.
+
+    A message that goes beyond is taken only if nothing with text was taken before
+    it. Frames are ranges over running lengths, so a message reads its context only.
+    """
+    w = in_order(*keys)
+    size = F.length(F.trim("text"))
+    line = F.when((F.col("kind") != "system") & (F.trim("text") != ""), rendered(F.col("role"), F.trim("text")))
+    rows = sessions.withColumn("_upto", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_from", F.col("_upto") - size)
+    rows = rows.withColumn("_pos", F.row_number().over(w)).withColumn("_item", F.struct(F.col("_pos").alias("pos"), line.alias("line")))
+    some = F.when(size > 0, F.col("_item"))
+    by = Window.partitionBy(*keys)
+    before = F.collect_list("_item").over(by.orderBy("_from").rangeBetween(-budget, 0))
+    after = F.collect_list("_item").over(by.orderBy("_upto").rangeBetween(0, max(1, budget // 2)))
+    rows = rows.withColumns({
+        "_before": F.array_append(F.filter(before, lambda x: x["pos"] < F.col("_pos")), F.last(some, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))),
+        "_after": F.array_append(F.filter(after, lambda x: x["pos"] > F.col("_pos")), F.first(some, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))),
+    })
+    text = lambda c: F.array_join(F.transform(F.array_sort(F.array_distinct(F.filter(c, lambda x: x.isNotNull()))), lambda x: x["line"]), "\n")
+    return rows.withColumns({"context_before": text("_before"), "context_after": text("_after")}).drop("_upto", "_from", "_pos", "_item", "_before", "_after")
+
+
+def opening_runs(sessions: DataFrame, excerpt: int = 120, keys: Sequence[str] = ("source", "session_no")) -> DataFrame:
+    """The initiator's messages of each session up to the first of the other side, and the beginning of the answer.
+
+    The first human message names the initiator, whatever its kind; messages without
+    content don't count. Returns keys, initiator, opened_ms, opening, n_opening, response.
+    """
+    content = message_content(F.col("text"), F.col("placeholders")) if "placeholders" in sessions.columns else F.trim("text")
+    human = sessions.where(F.col("role").isin("self", "friend")).withColumn("_text", content)
+    w = in_order(*keys)
+    first = human.withColumn("_who", F.first("role").over(w)).withColumn("_other", F.sum((F.col("role") != F.col("_who")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    item = F.struct(*ORDER, F.col("_text").alias("t"))
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("_other") == 0) & (F.col("_text") != ""), item))), lambda x: x["t"]), "\n")
+    answer = F.min_by(F.when(F.col("_other") > 0, F.col("_text")), F.when((F.col("_other") > 0) & (F.col("role") != F.col("_who")) & (F.col("_text") != ""), F.struct(*ORDER)))
+    return first.groupBy(*keys).agg(
+        F.first("_who").alias("initiator"), F.min("timestamp_ms").alias("opened_ms"), texts.alias("opening"),
+        F.count_if((F.col("_other") == 0) & (F.col("_text") != "")).alias("n_opening"), F.substring(answer, 1, excerpt).alias("response"),
+    ).where("opening != ''")
+
+
+def message_content(text: Column, placeholders: Column) -> Column:
+    """A message's text, or its placeholders where it has none."""
+    return F.coalesce(F.nullif(F.trim(F.coalesce(text, F.lit(""))), F.lit("")), F.array_join(F.coalesce(placeholders, F.array().cast("array<string>")), " "))
+
+
+def human_ends(sessions: DataFrame, usable: Column, keys: Sequence[str] = ("source", "session_no")) -> DataFrame:
+    """First and last human message of each session that is ``usable`` and neither recalled nor of the system."""
+    fine = sessions.where(F.col("role").isin("self", "friend") & ~F.col("kind").isin("system", "recalled") & usable)
+    row = F.struct("role", "timestamp_ms", "text")
+    ends = fine.groupBy(*keys).agg(F.min_by(row, F.struct(*ORDER)).alias("a"), F.max_by(row, F.struct(*ORDER)).alias("z"))
+    return ends.select(*keys, F.col("a.role").alias("first_role"), F.col("a.timestamp_ms").alias("first_ms"), F.col("a.text").alias("first_text"), F.col("z.role").alias("last_role"), F.col("z.timestamp_ms").alias("last_ms"), F.col("z.text").alias("last_text"))
+
+
+def previous_tail(sessions: DataFrame, size: int = 4) -> DataFrame:
+    """One row per session with the last lines of the session before it, and the idle minutes between."""
+    lines = sessions.where((F.col("kind") != "system") & (F.trim("text") != ""))
+    w = Window.partitionBy("source", "session_no").orderBy(*[F.desc(c) for c in ORDER])
+    ends = lines.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= size)
+    item = F.struct(*ORDER, rendered(F.col("role"), F.trim("text")).alias("line"))
+    tail = ends.groupBy("source", "session_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["line"]), "\n").alias("tail"))
+    gaps = idle_gaps(session_summary(sessions)).join(tail, ["source", "session_no"], "left")
+    before = Window.partitionBy("source").orderBy("start_ms", "end_ms")
+    return gaps.select("source", "session_no", "gap_minutes", F.coalesce(F.lag("tail").over(before), F.lit("")).alias("previous_tail"))
+
+
+def even_sample(rows: DataFrame, n: int, keys: Sequence[str], order: Sequence[str], prefix: Column | None = None) -> DataFrame:
+    """Rows ``floor(i * count / n)`` of each key in order; then the first of each ``prefix``."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    at = rows.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
+    # i is an index of the sample iff some j < n has floor(j * count / n) = i
+    j = F.ceil(F.col("_i") * n / F.col("_n"))
+    kept = at.where((F.col("_n") <= n) | ((j < n) & (F.floor(j * F.col("_n") / n) == F.col("_i"))))
+    if prefix is not None:
+        kept = kept.withColumn("_p", prefix).withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "_p").orderBy(*order))).where("_k = 1").drop("_p", "_k")
+    return kept.drop("_i", "_n")
+
+
+def length_quota_sample(rows: DataFrame, n: int, length: Column, key: str, order: Sequence[str], shares: Sequence[int] = (3, 4, 3), bounds: Sequence[int] = (8, 30)) -> DataFrame:
+    """Up to ``n`` rows of each key, spread evenly over short, middle and long ones by ``shares``.
+
+    What a bucket cannot fill goes to the others, the middle one first.
+    """
+    bucket = F.when(length < bounds[0], 0).when(length <= bounds[1], 1).otherwise(2)
+    rows = rows.withColumn("_b", bucket)
+    have = rows.groupBy(key).agg(*[F.count_if(F.col("_b") == b).alias(f"_h{b}") for b in range(3)])
+    quota = [n * s // sum(shares) for s in shares]
+    quota[1] += n - sum(quota)
+    got = {b: F.least(F.col(f"_h{b}"), F.lit(quota[b])) for b in range(3)}
+    spare, take = F.lit(n) - got[0] - got[1] - got[2], dict(got)
+    for b in (1, 0, 2):
+        more = F.least(F.col(f"_h{b}") - got[b], spare)
+        take[b], spare = got[b] + more, spare - more
+    plan = have.select(key, F.posexplode(F.array(*[take[b].cast("long") for b in range(3)])).alias("_b", "_take"))
+    w = Window.partitionBy(key, "_b").orderBy(*order)
+    at = rows.join(plan, [key, "_b"]).withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(key, "_b")))
+    j = F.ceil(F.col("_i") * F.col("_take") / F.col("_n"))
+    kept = at.where((F.col("_take") > 0) & (j < F.col("_take")) & (F.floor(j * F.col("_n") / F.col("_take")) == F.col("_i")))
+    return kept.drop("_b", "_take", "_i", "_n")
+
+
+def occurrence(rows: DataFrame, digest: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Add ``occurrence``: how many equal rows came before, in a stated order."""
+    return rows.withColumn("occurrence", F.row_number().over(Window.partitionBy(*digest).orderBy(*order)) - 1)
+
+
+def trim_since(sessions: DataFrame, since_ms: int) -> DataFrame:
+    """Messages from a time on; the sessions keep their numbers."""
+    return sessions.where(F.col("timestamp_ms") >= since_ms)
+
+
+def window_chunks(windows: DataFrame, keys: Sequence[str] = ("source", "session_no")) -> DataFrame:
+    """Rendered windows of :func:`sliding_windows` with an id; those without a line are left out."""
+    line = F.when(F.trim("text") != "", rendered(F.col("role"), F.trim("text")))
+    item = F.struct("place", line.alias("line"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(line.isNotNull(), item))), lambda x: x["line"]), "\n")
+    out = windows.groupBy(*keys, "window_no").agg(F.count("*").alias("message_count"), F.min("seq").alias("start_seq"), F.max("seq").alias("end_seq"), F.min("timestamp_ms").alias("start_ms"), F.max("timestamp_ms").alias("end_ms"), text.alias("text"))
+    name = F.concat_ws("-", *keys, "start_seq", "end_seq")
+    return out.where("text != ''").withColumn("chunk_id", F.concat(F.lit("window-"), F.substring(F.sha1(name), 1, 16)))
+
+
+def message_identity(platform_ids: Column) -> Column:
+    """A message's identity: without its place in a file where the platform's ids are stable."""
+    return F.when(platform_ids, F.concat_ws("|", "message_id", "timestamp_ms", "sender_uid")).otherwise(F.concat_ws("|", "message_id", "seq", "timestamp_ms", "sender_uid"))
+
+
+def message_tags(has_media: Column, reply_to: Column, kind: Column) -> Column:
+    """Sorted tags of a message."""
+    tag = lambda cond, name: F.when(cond, F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
+    return F.concat(tag(has_media, "media"), tag(kind == "placeholder", "placeholder"), tag(F.coalesce(reply_to, F.lit("")) != "", "reply"))

@@ -30,3 +30,27 @@ def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").cast("string").alias("message_id"), F.col("user_id").alias("source"), F.col("event_id").alias("seq"),
         F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp_ms"), role.alias("role"), F.lit("text").alias("kind"), F.col("event_type").alias("text"),
     )
+
+
+#: Endings that give the supplied conversations what chat exports hold: faces, media,
+#: mentions, private data, short questions. A message takes one by its number; every
+#: third consists of it alone.
+ENDINGS = (
+    "", "[微笑]", "[图片: a1.png]", "[/汪汪] [[爱心]] ok", "@Sam 在干嘛", "@Alex see 4111 1111 1111 1111 or 4111 1111 1111 1112", "mail a.b+c@mail.example.org, 192.168.0.1",
+    "call 13912345678", "id 11010519491231002X", "u_AbCdEfGhIjKlMnOpQrSt12-w said", "good morning", "are you awake?", "我刚到家，好累", "晚安！晚安",
+    "haha that is silly……", "抱抱 想你 谢谢", "yesterday you said so", "[表情]", "？！", "对了，换个话题", "play together on steam", "have you eaten", "[Toasted] [位置]", "see https://example.com/a?b=1, or docs.example.org.",
+)
+
+
+def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conversation_messages`` with ``ENDINGS``, kinds, placeholders and senders, as chat exports have them."""
+    rows = conversation_messages(spark, sf_dir)
+    n = F.pmod(F.col("source") * 7 + F.col("seq") * 5, F.lit(len(ENDINGS))).cast("int")
+    ending = F.element_at(F.array(*[F.lit(x) for x in ENDINGS]), n + 1)
+    text = F.when(n % 3 == 0, ending).otherwise(F.trim(F.concat_ws(" ", "text", ending)))
+    kind = F.when(F.col("kind") == "system", "system").when(n == 1, "recalled").when(n == 2, "placeholder").when(n == 0, "unknown").otherwise("text")
+    return rows.select(
+        "message_id", "source", "seq", "timestamp_ms", "role", kind.alias("kind"), text.alias("text"),
+        F.when(n == 2, F.array(F.lit("[图片]"))).when(n == 0, F.array(F.lit("[语音]"))).otherwise(F.array().cast("array<string>")).alias("placeholders"),
+        F.when(n == 20, "discord_default").when(n == 0, "").otherwise("type_1").alias("raw_type"), F.concat(F.lit("u-"), "role").alias("sender_uid"),
+    )

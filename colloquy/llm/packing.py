@@ -26,6 +26,7 @@ import functools
 import os
 import re
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ _PIECE = "rid long, doc_id {}, start long, length long, ids_crc32 long, doc_toke
 #: Ids of a chunk depend on the chunk alone where the text is cut before a blank
 #: that a character follows which is white space by no definition.
 _CHUNK = re.compile("(?= [!-~\u00c0-\u02ff\u0370-\u167f\u3041-\ud7ff])")
-_CACHE, _CACHED_CHARS = 1 << 18, 40
+_CACHE, _CACHED_CHARS = 1 << 19, 40
 
 
 class Ids:
@@ -89,8 +90,9 @@ class Ids:
         out = [self._encode([t])[0] if parts is None else b"".join(map(known.__getitem__, parts)) for t, parts in zip(texts, split)]
         for p in [p for p in now if len(p) > _CACHED_CHARS]:
             del known[p]
-        if len(known) > _CACHE:
-            known.clear()
+        if len(known) > _CACHE:  # the older half goes; what is frequent soon comes back
+            for p in list(islice(known, len(known) - _CACHE // 2)):
+                del known[p]
         return out
 
 

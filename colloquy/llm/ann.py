@@ -39,7 +39,7 @@ from ._bytes import random_u64
 from ._tables import written
 
 TABLES, WIDTH, PROBES, FULL = 24, 4.0, 600, 400
-SPLIT, GROUP_ROWS = 4096, 20_000
+SPLIT, GROUP_ROWS, PAIRS = 4096, 20_000, 100_000
 
 
 def perturbations(functions: int, n: int) -> list[tuple[int, ...]]:
@@ -131,7 +131,7 @@ def _probes(hashes: Hashes, probes: int):
                     distance = np.concatenate([place - cell, 1 - (place - cell)], axis=1)
                     rank = np.argsort(distance, axis=1)
                     score = np.take_along_axis(distance, rank, axis=1) ** 2 @ member.T
-                    best = np.argsort(score, axis=1, kind="stable")[:, :probes]
+                    best = np.argpartition(score, probes - 1, axis=1)[:, :probes] if score.shape[1] > probes else np.argsort(score, axis=1)
                     chosen = np.zeros((hashes.tables, best.shape[1], 2 * k))
                     np.put_along_axis(chosen, np.broadcast_to(rank[:, None, :], chosen.shape), member[best], axis=2)
                     moved = cell[:, None, :] - chosen[..., :k] + chosen[..., k:]
@@ -159,30 +159,31 @@ def _search(k: int):
             at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
             hit = keys[at] == wanted
             at, who = at[hit], who[hit]
-            by = np.argsort(at, kind="stable")
-            at, who = at[by], who[by]
-            edge = np.flatnonzero(np.diff(at, prepend=-1, append=-1)) if len(at) else np.zeros(1, int)
-            found = [[], [], []]
-            for lo, hi in zip(edge[:-1], edge[1:]):
-                rows = order[first[at[lo]] : first[at[lo] + 1]]
-                for c in range(lo, hi, 64):
-                    asks = who[c : min(c + 64, hi)]
-                    near = (q[asks] @ x[rows].T) / (q_norm[asks][:, None] * norm[rows])
-                    near[q_id[asks][:, None] == ids[rows]] = -np.inf
-                    # equal scores may differ in the last digits here: they all go on to the exact sums
-                    least = np.partition(near, len(rows) - k, axis=1)[:, len(rows) - k][:, None] - 1e-9 if len(rows) > k else -np.inf
-                    a, b = np.nonzero((near >= least) & (near > -np.inf))
-                    a, b = asks[a], rows[b]
-                    for s in range(0, len(a), 50_000):
-                        u, v = a[s : s + 50_000], b[s : s + 50_000]
-                        exact = (q[u] * x[v]).sum(axis=1) / (q_norm[u] * norm[v])
-                        best = _first(q_id[u], ids[v], exact, k)
-                        for kept, value in zip(found, (q_id[u][best], ids[v][best], exact[best])):
-                            kept.append(value)
-            if found[0]:
-                qs, vs, score = (np.concatenate(y) for y in found)
-                best = _first(qs, vs, score, k)
-                out = {"query_id": qs[best], "vec_id": vs[best], "score": score[best]}
+            size = first[at + 1] - first[at]
+            upto = np.cumsum(size)
+            kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            least = np.full(len(q), -np.inf)  # what a row must reach to be among the k of a query
+            lo = 0
+            while lo < len(at):
+                # the visits of about PAIRS pairs, expanded to (query, row)
+                hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + PAIRS, side="right")))
+                n = size[lo:hi]
+                u = np.repeat(who[lo:hi], n)
+                v = order[np.repeat(first[at[lo:hi]] - (np.cumsum(n) - n), n) + np.arange(len(u))]
+                near = np.einsum("ij,ij->i", q[u], x[v]) / (q_norm[u] * norm[v])
+                # equal scores may differ in the last digits here: they all go on to the exact sums
+                fine = (near >= least[u] - 1e-9) & (q_id[u] != ids[v])
+                u, v = u[fine], v[fine]
+                exact = (q[u] * x[v]).sum(axis=1) / (q_norm[u] * norm[v])
+                kept = tuple(np.concatenate(y) for y in zip(kept, (u, ids[v], exact)))
+                best = _first(*kept, k)
+                kept = tuple(y[best] for y in kept)
+                full = np.flatnonzero(np.bincount(kept[0], minlength=len(q)) >= k)
+                worst = np.full(len(q), np.inf)
+                np.minimum.at(worst, kept[0], kept[2])
+                least[full] = worst[full]
+                lo = hi
+            out = {"query_id": q_id[kept[0]], "vec_id": kept[1], "score": kept[2]}
         return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
 
     return run
@@ -190,10 +191,12 @@ def _search(k: int):
 
 def _first(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     """The k best rows of each query, without repeated ids."""
-    order = np.lexsort((ids, -score, query))
     # an id has one score here unless rows repeat it; the better one comes first
-    _, unique = np.unique(np.stack([query[order], ids[order]]), axis=1, return_index=True)
-    order = order[np.sort(unique)]
+    order = np.lexsort((-score, ids, query))
+    new = np.ones(len(order), bool)
+    new[1:] = (query[order][1:] != query[order][:-1]) | (ids[order][1:] != ids[order][:-1])
+    order = order[new]
+    order = order[np.lexsort((ids[order], -score[order], query[order]))]
     new = np.ones(len(order), bool)
     new[1:] = query[order][1:] != query[order][:-1]
     rank = np.arange(len(order)) - np.flatnonzero(new)[np.cumsum(new) - 1]

@@ -83,8 +83,15 @@ class Hashes:
 
     def keys(self, cells: np.ndarray) -> np.ndarray:
         """Bucket keys of integer cells (..., tables, functions); tables never share one."""
+        return self.finished(self.mixed(cells))
+
+    def mixed(self, cells: np.ndarray) -> np.ndarray:
+        """Sums of cells times odd numbers, modulo 2^64: a moved cell adds or takes its number."""
+        with np.errstate(over="ignore"):
+            return (cells.astype(np.int64).view(np.uint64) * self.multiply).sum(axis=-1, dtype=np.uint64)
+
+    def finished(self, mixed: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            mixed = (cells.astype(np.int64).view(np.uint64) * self.multiply).sum(axis=-1, dtype=np.uint64)
             return ((mixed + np.arange(self.tables, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)) ^ (mixed >> np.uint64(29))
 
 
@@ -117,8 +124,12 @@ def _probes(hashes: Hashes, probes: int):
     k = hashes.functions
     sets = perturbations(k, 3 * probes)
     member = np.zeros((len(sets), 2 * k))
+    padded = np.full((len(sets), max(map(len, sets), default=1)), 2 * k)  # the last place adds nothing
     for i, ranks in enumerate(sets):
         member[i, list(ranks)] = 1
+        padded[i, : len(ranks)] = ranks
+    with np.errstate(over="ignore"):
+        moves = np.concatenate([np.uint64(0) - hashes.multiply, hashes.multiply], axis=1)
 
     def run(batches):
         for batch in batches:
@@ -126,16 +137,17 @@ def _probes(hashes: Hashes, probes: int):
             for i in range(batch.num_rows):
                 place = hashes.places(_vectors(batch.column("embedding").slice(i, 1)))[0]
                 cell = np.floor(place)
-                keys = [hashes.keys(cell)]
+                own = hashes.mixed(cell)
+                keys = [hashes.finished(own)]
                 if k:
                     distance = np.concatenate([place - cell, 1 - (place - cell)], axis=1)
                     rank = np.argsort(distance, axis=1)
                     score = np.take_along_axis(distance, rank, axis=1) ** 2 @ member.T
                     best = np.argpartition(score, probes - 1, axis=1)[:, :probes] if score.shape[1] > probes else np.argsort(score, axis=1)
-                    chosen = np.zeros((hashes.tables, best.shape[1], 2 * k))
-                    np.put_along_axis(chosen, np.broadcast_to(rank[:, None, :], chosen.shape), member[best], axis=2)
-                    moved = cell[:, None, :] - chosen[..., :k] + chosen[..., k:]
-                    keys.append(hashes.keys(moved.transpose(1, 0, 2)).ravel())
+                    step = np.concatenate([np.take_along_axis(moves, rank, axis=1), np.zeros((hashes.tables, 1), np.uint64)], axis=1)
+                    with np.errstate(over="ignore"):
+                        moved = own[:, None] + np.take_along_axis(step[:, None, :], padded[best], axis=2).sum(axis=2, dtype=np.uint64)
+                    keys.append(hashes.finished(moved.T).ravel())
                 key = np.unique(np.concatenate(keys)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(key), ids.take(pa.array(np.full(len(key), i)))], names=["key", "query_id"])
 

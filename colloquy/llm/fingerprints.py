@@ -33,6 +33,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -151,10 +152,22 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 2 * share / (1 + share)
 
 
+def _shrunk(batches):
+    """Rows with their texts compressed, as they are shuffled."""
+    small = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        raw, off = utf8_buffers(batch.column("text"))
+        view = memoryview(raw)
+        z = pa.array([small.compress(view[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist())], pa.binary())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "rid", "range", "mark")), z], names=["doc_id", "rid", "range", "mark", "z"])
+
+
 def _pairs(batches):
     """Results of each row but the marked ones; the following row is its next document."""
-    last = None
+    last, large = None, zstandard.ZstdDecompressor()
     for batch in batches:
+        texts = pa.array([large.decompress(z) for z in batch.column("z").to_pylist()], pa.large_binary())
+        batch = pa.RecordBatch.from_arrays([batch.column("doc_id"), texts.cast(pa.large_string()), batch.column("mark")], names=["doc_id", "text", "mark"])
         table = pa.Table.from_batches([batch] if last is None else [last, batch]).combine_chunks()
         if table.num_rows > 1:
             yield from _compare(table.to_batches()[0])
@@ -216,5 +229,6 @@ def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: st
     sent = spark.createDataFrame(list(before.items()), "rid long, range int")
     marks = docs.join(F.broadcast(sent), "rid").dropDuplicates(["rid"]).select("doc_id", "text", "rid", "range", F.lit(True).alias("mark"))
     rows = dealt.select("doc_id", "text", "rid", "range", F.lit(False).alias("mark")).union(marks)
+    rows = rows.mapInArrow(_shrunk, f"doc_id {dict(docs.dtypes)['doc_id']}, rid long, range int, mark boolean, z binary")
     rows = rows.repartition("range").sortWithinPartitions("range", "mark", F.desc_nulls_last("doc_id"), "rid")
-    return rows.select("doc_id", "text", "mark").mapInArrow(_pairs, schema)
+    return rows.select("doc_id", "mark", "z").mapInArrow(_pairs, schema)

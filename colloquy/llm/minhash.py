@@ -21,7 +21,9 @@ have an empty set and no links. Sets link at a Jaccard similarity of
    connected or compared, and no more links come out of a task than join components.
 5. Components of all confirmed links by alternating large-star and small-star.
 
-Large buckets are searched in pairs of parts of ``BLOCK`` nodes, and the partners
+In a large bucket the nodes outside its largest component are searched in parts of
+``BLOCK`` against all its nodes, so rows grow with the bucket and not with its square
+where one component holds most of it. The partners
 of a frequent centre are dealt out over salted groups.
 
 Edge cases: null and empty texts and texts of separators only have n_shingles 0
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 
 from ._bytes import LOWER, PrefixHasher, mix64, random_u64, slices, utf8_buffers, words
 from ._components import connected_components
-from ._tables import row_key, split_by_keys, written
+from ._tables import KEY, Tables, quoted, row_keys, split_by_keys, written
 
 N_WORDS = 5
 THRESHOLD = 75
@@ -117,9 +119,9 @@ def _profile(n_words: int, bands: int, rows: int):
                 node = np.fromiter((xxhash.xxh3_64_intdigest(view[8 * s : 8 * e]) for s, e in zip(bound[:-1].tolist(), bound[1:].tolist())), np.uint64, j - i)
                 flat = pa.array(keys.view(np.int64).ravel())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[i:j], batch.column("rid")[i:j], pa.array(size.astype(np.int64)), pa.array(node.view(np.int64)),
+                    [batch.column("doc_id")[i:j], batch.column("rid")[i:j], batch.column("rid2")[i:j], pa.array(size.astype(np.int64)), pa.array(node.view(np.int64)),
                      pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * bands), flat), pa.array([x.tobytes() for x in sig], pa.binary())],
-                    names=["doc_id", "rid", "n_shingles", "node", "bands", "sig"],
+                    names=["doc_id", "rid", "rid2", "n_shingles", "node", "bands", "sig"],
                 )
 
     return run
@@ -283,29 +285,30 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, n_words: int, threshold: int)
 
 
 def near_duplicates(docs: DataFrame, n_words: int = N_WORDS, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, rid, node, root.
+    """One row per document: doc_id, n_shingles, component_id, kept, rid, rid2, node, root.
 
     ``component_id`` is the smallest id of the document's group, ``kept`` whether
-    it is the document's own. ``rid`` is the row's key by id and text, ``root`` the
+    it is the document's own. ``rid`` and ``rid2`` are the row's key by id and text, ``root`` the
     group's key (null for empty sets).
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), row_key(id_col, text_col).alias("rid"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *row_keys(id_col, text_col))
+    tables = Tables(docs.sparkSession, "op5")
     id_type = dict(docs.dtypes)["doc_id"]
-    profile = written(docs.mapInArrow(_profile(n_words, bands, rows), f"doc_id {id_type}, rid long, n_shingles long, node long, bands array<long>, sig binary"), "op5-profile")
+    profile = tables.write(docs.mapInArrow(_profile(n_words, bands, rows), f"doc_id {id_type}, rid long, rid2 long, n_shingles long, node long, bands array<long>, sig binary"), "profile")
     nodes = profile.where("n_shingles > 0").groupBy("node").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"))
-    nodes = written(nodes.join(profile.select("node", "rid", "bands", "sig").dropDuplicates(["node", "rid"]), ["node", "rid"]), "op5-nodes")
+    nodes = tables.write(nodes.join(profile.select("node", "rid", "bands", "sig").dropDuplicates(["node", "rid"]), ["node", "rid"]), "nodes")
     sig = nodes.select("node", "sig")
     keys = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = keys.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1")
-    buckets = written(keys.join(shared, "bucket"), "op5-buckets")
+    buckets = tables.write(keys.join(shared, "bucket"), "buckets")
     # of equally frequent centres the smallest; a centre is smaller than its node
-    chosen = written(buckets.where("node != centre").groupBy("node").agg(F.mode("centre", deterministic=True).alias("centre")), "op5-centres")
+    chosen = tables.write(buckets.where("node != centre").groupBy("node").agg(F.mode("centre", deterministic=True).alias("centre")), "centres")
 
     # a true pair falls this far below its expected agreement once in 1e7
     least = threshold / 100 - 5.2 * (0.25 * 0.75 / (bands * rows)) ** 0.5
     star = chosen.select(F.col("centre").alias("a"), F.col("node").alias("b"))
     star = star.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
-    star = written(star.mapInArrow(_by_signature(least), "a long, b long"), "op5-star")
+    star = tables.write(star.mapInArrow(_by_signature(least), "a long, b long"), "star")
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         wanted = wanted.join(nodes.select("node", "rid"), "node")
@@ -313,7 +316,7 @@ def near_duplicates(docs: DataFrame, n_words: int = N_WORDS, threshold: int = TH
         return near.join(wanted, "rid").select("node", "text").dropDuplicates(["node"])
 
     ends = star.select(F.col("a").alias("node")).union(star.select(F.col("b").alias("node"))).distinct()
-    links = written(_confirmed(star, written(texts_of(ends), "op5-texts"), n_words, threshold), "op5-links")
+    links = tables.write(_confirmed(star, tables.write(texts_of(ends), "texts"), n_words, threshold), "links")
     roots = connected_components(links, "op5-roots")
 
     # blocks: the nodes below one centre's centre, in parts of bounded count and size
@@ -321,30 +324,30 @@ def near_duplicates(docs: DataFrame, n_words: int = N_WORDS, threshold: int = TH
     placed = nodes.join(chosen, "node", "left").join(above, "centre", "left").join(roots, "node", "left")
     placed = placed.select("node", "sig", "n_shingles", F.coalesce("root", "node").alias("root"), F.coalesce("upper", "centre", "node").alias("cluster"))
     sizes = placed.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("parts"))
-    placed = written(placed.join(sizes, "cluster").select("node", "sig", "root", F.xxhash64("cluster", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).alias("block")), "op5-placed")
-
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    labelled = written(buckets.join(placed.select("node", "root"), "node").select("bucket", "node", "n", "root"), "op5-labelled")
-    several = labelled.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("bucket")
-    dealt = labelled.join(several, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    mixed = dealt.select(
-        "node", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"),
-        F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("i"), F.when(F.col("own") < F.col("other"), 1).otherwise(0).alias("j"),
-    ).join(placed, "node")
+    placed = tables.write(placed.join(sizes, "cluster").select("node", "sig", "root", F.xxhash64("cluster", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).alias("block")), "placed")
+
+    labelled = tables.write(buckets.join(placed.select("node", "root"), "node").select("bucket", "node", "root"), "labelled")
+    # a bucket's largest component is connected already: only the other nodes look for links, in parts, each at all nodes
+    several = labelled.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    several = several.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
+    parts = F.ceil(F.col("others") / BLOCK).cast("int")
+    dealt = labelled.join(several, "bucket").withColumn("own", F.when(F.col("root") != F.col("main"), F.pmod(F.xxhash64("node"), parts).cast("int"))).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    mixed = dealt.select("node", F.xxhash64("bucket", "other").alias("bucket"), F.when(F.col("own") == F.col("other"), 0).otherwise(1).alias("i"), F.lit(0).alias("j")).join(placed, "node")
     found = mixed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_search_buckets(least), "pair long, node long")
-    found = written(found.distinct(), "op5-found")
-    sets = written(texts_of(found.select("node").distinct()).mapInArrow(_sets(n_words), "node long, shingles binary"), "op5-sets")
+    found = tables.write(found.distinct(), "found")
+    sets = tables.write(texts_of(found.select("node").distinct()).mapInArrow(_sets(n_words), "node long, shingles binary"), "sets")
     searched = found.join(placed, "node").join(sets, "node").repartition("pair").sortWithinPartitions("pair")
-    more = written(searched.mapInArrow(_link_blocks(least, threshold), "a long, b long"), "op5-more")
+    more = tables.write(searched.mapInArrow(_link_blocks(least, threshold), "a long, b long"), "more")
     if not more.isEmpty():
         roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "op5-roots")
 
     labelled = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     of_node = labelled.join(smallest, "root").select("node", "component_id", "root")
-    out = profile.select("doc_id", "n_shingles", "rid", "node").join(of_node, "node", "left")
+    tables.drop("buckets", "centres", "star", "texts", "links", "placed", "labelled", "found", "sets")
+    out = profile.select("doc_id", "n_shingles", *KEY, "node").join(of_node, "node", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "rid", "node", "root")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *KEY, "node", "root")
 
 
 def drop_near_duplicates(docs: DataFrame, n_words: int = N_WORDS, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -353,12 +356,14 @@ def drop_near_duplicates(docs: DataFrame, n_words: int = N_WORDS, threshold: int
     Texts move only for rows that go, or that repeat, and their hash neighbours.
     """
     groups = near_duplicates(docs, n_words, threshold, id_col=id_col, text_col=text_col)
-    rows = groups.groupBy("rid").agg(F.count("*").alias("n"), F.first("kept").alias("kept"), F.coalesce(F.first("root"), F.col("rid")).alias("group"))
-    chosen = rows.where("kept").groupBy("group").agg(F.min("rid").alias("best"))
-    verdict = rows.join(chosen, "group").select("rid", (F.col("rid") == F.col("best")).alias("stays"), "n")
-    special = written(verdict.where("not stays or n > 1").select("rid", "stays"), "op5-special")
+    rows = groups.groupBy(*KEY).agg(F.count("*").alias("n"), F.first("kept").alias("kept"), F.first("root").alias("root"))
+    # rows without a set stand alone
+    rows = rows.withColumn("group", F.when(F.col("root").isNull(), F.concat_ws(":", *KEY)).otherwise(F.col("root").cast("string")))
+    chosen = rows.where("kept").groupBy("group").agg(F.min(F.struct(*KEY)).alias("best"))
+    verdict = rows.join(chosen, "group").select(*KEY, (F.struct(*KEY) == F.col("best")).alias("stays"), "n")
+    special = written(verdict.where("not stays or n > 1").select(*KEY, "stays"), "op5-special")
     # the rows are structs, so that no name clashes
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), row_key(id_col, text_col).alias("rid"))
+    keyed = docs.select(F.struct(*quoted(docs.columns)).alias("row"), *row_keys(id_col, text_col))
     near, rest = split_by_keys(keyed, special, "rid")
-    near = near.join(special.where("not stays").select("rid"), "rid", "left_anti").dropDuplicates(["rid"])
+    near = near.join(special.where("not stays").select(*KEY), list(KEY), "left_anti").dropDuplicates(list(KEY))
     return rest.select("row.*").union(near.select("row.*"))

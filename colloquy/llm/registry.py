@@ -46,7 +46,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate group of each document."""
-    return near_duplicates(_table(spark, sf_dir, "documents")).drop("rid", "node", "root")
+    return near_duplicates(_table(spark, sf_dir, "documents")).drop("rid", "rid2", "node", "root")
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ._bytes import LOWER, PrefixHasher, slices, utf8_buffers, words
 from ._tables import KEY, quoted, row_keys
@@ -203,7 +204,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     model = spark.sparkContext.broadcast(fit(docs, labels, sample_a_class, id_col, text_col))
     kept = [F.struct(*quoted(keep)).alias("kept")] if keep else []
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *kept)
-    kinds = dict(rows.dtypes)
-    schema = f"doc_id {kinds['doc_id']}, held_out boolean, score double" + (f", kept {kinds['kept']}" if keep else "")
+    # as a type, since names of kept columns may not be written in a schema string
+    schema = StructType([rows.schema["doc_id"], rows.schema["held_out"], StructField("score", DoubleType()), *(rows.schema[c] for c in ["kept"] * bool(keep))])
     scored = rows.mapInArrow(_vote(model, neighbours), schema)
     return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), *(["kept"] if keep else []))

@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from colloquy.llm.quality import score_quality
 
-from .corpus import words
+from .corpus import frame, words
 from .test_minhash import brute as groups
 from .test_quality import labelled
 
@@ -41,3 +43,23 @@ def test_stages_on_a_small_corpus(spark, tmp_path):
     assert mixed <= want and tokens(seen["mixing"]) >= 0.8 * tokens(seen["secrets"])
     assert {r.doc_id for r in seen["packing"]} == mixed
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == mixed
+
+
+def test_nulls_clashing_names_and_empty_tables(spark, tmp_path):
+    labels = [(i, int(i % 3 > 0)) for i in range(30)]
+    spark.createDataFrame(labels, "doc_id long, quality long").write.parquet(f"{tmp_path}/labels.parquet")
+    odd = frame(spark)
+    for name in ("epoch", "n_tokens", "taken_tokens", "domain", "a.b", "row", "rid2", "kept", "quality", "level_0", "root", "group"):
+        odd = odd.withColumn(name, F.lit(f"{name}!"))
+    for docs in (odd, odd.limit(0)):
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            if name == "packing":
+                assert out.count() >= docs.count()
+                break
+            assert out.columns == columns, name
+            kept = out.collect()
+            assert all(r["a.b"] == "a.b!" and r["epoch"] == "epoch!" and r["rid2"] == "rid2!" for r in kept)
+            if name != "quality":
+                docs = spark.createDataFrame(kept, docs.schema)

@@ -164,7 +164,7 @@ def opening_report(openings: DataFrame, at: Column, kind: Column, key: str = "so
     ``kind`` need. The span counts both end days; the rate is of 30 days.
     """
     rows = openings.where("initiator = 'friend'").select(key, "gap_minutes", F.hour(at).alias("hour"), F.weekday(at).alias("weekday"), F.date_format(at, "yyyy-MM").alias("month"), kind.alias("kind"), F.to_date(at).alias("day"))
-    one = rows.groupBy(key).agg(F.count("*").alias("n"), F.countDistinct("day").alias("active_days"), (F.datediff(F.max("day"), F.min("day")) + 1).alias("span_days"), F.median("gap_minutes").alias("median_gap"))
+    one = rows.groupBy(key).agg(F.count("*").alias("n"), F.countDistinct("day").alias("active_days"), (F.datediff(F.max("day"), F.min("day")) + 1).cast("long").alias("span_days"), F.median("gap_minutes").alias("median_gap"))
     parts = rows.select(key, F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in ("hour", "weekday", "month", "kind")])).alias("x")).select(key, "x.*")
     counted = parts.groupBy(key, "dimension", "value").agg(F.count("*").alias("n"))
     arrays = counted.groupBy(key).agg(*[F.array_sort(F.collect_list(F.when(F.col("dimension") == d, F.struct("value", "n")))).alias(f"{d}s") for d in ("hour", "weekday", "month", "kind")])

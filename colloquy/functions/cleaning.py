@@ -96,14 +96,15 @@ def national_id_valid(text: Column) -> Column:
 
 
 _WORD = r"\p{L}\p{N}_"
-# fixed values: private data in the order of replacement, as (name, pattern, replacement, test of a match)
+# fixed values: private data in the order of replacement, as (name, pattern, replacement, test of a match);
+# a look at the first digit comes before the look behind, as most symbols of a text fail there
 PRIVATE = (
-    ("id_card", rf"(?<![{_WORD}])[1-9][0-9]{{5}}(?:18|19|20)[0-9]{{2}}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])[0-9]{{3}}[0-9Xx](?![{_WORD}])", "[身份证]", national_id_valid),
-    ("bank_card", rf"(?<![{_WORD}])(?:[0-9][ -]?){{15,18}}[0-9](?![{_WORD}])", "[银行卡]", luhn_valid),
-    ("mobile", r"(?<![0-9])1[3-9][0-9]{9}(?![0-9])", "[手机号]", None),
+    ("id_card", rf"(?=[1-9])(?<![{_WORD}])[1-9][0-9]{{5}}(?:18|19|20)[0-9]{{2}}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])[0-9]{{3}}[0-9Xx](?![{_WORD}])", "[身份证]", national_id_valid),
+    ("bank_card", rf"(?=[0-9])(?<![{_WORD}])(?:[0-9][ -]?){{15,18}}[0-9](?![{_WORD}])", "[银行卡]", luhn_valid),
+    ("mobile", r"(?=1)(?<![0-9])1[3-9][0-9]{9}(?![0-9])", "[手机号]", None),
     # a run of local-part symbols is tried from its first word symbol only, so long words cost one pass
     ("email", rf"(?<![{_WORD}.+-])([.+-]*)[{_WORD}][{_WORD}.+-]*@[{_WORD}-]+(?:\.[{_WORD}-]+)*\.[{_WORD}-]*[{_WORD}]", "$1[邮箱]", None),
-    ("ipv4", rf"(?<![{_WORD}])(?:[0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}(?![{_WORD}])", "[IP]", None),
+    ("ipv4", rf"(?=[0-9])(?<![{_WORD}])(?:[0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}(?![{_WORD}])", "[IP]", None),
 )
 #: What a text must hold for a rule to be tried at all.
 _NEEDS = {"email": "@"}

@@ -95,14 +95,15 @@ def latency_stats(rows: DataFrame, kind: str, value: str, failed: Column) -> Dat
     ranges of values, so the few kinds aren't sorted in a task each.
     """
     counts = rows.groupBy(kind, value).agg(F.count("*").alias("_c"), F.count_if(failed).alias("_f"))
-    ranges = 512
-    edges = rows.groupBy(kind).agg(F.percentile_approx(value, [k / ranges for k in range(1, ranges)], 4 * ranges).alias("_edges"), F.count("*").alias("n"))
-    # at most one row of edges a kind
-    dealt = counts.join(edges, kind).withColumn("_range", F.when(F.col(value).isNull(), -1).otherwise(F.size(F.filter("_edges", lambda e: e < F.col(value)))))
+    # ranges of equal width between the outer hundredths, and one beyond each; one row of bounds a kind
+    bounds = rows.groupBy(kind).agg(F.percentile_approx(value, [0.005, 0.995], 1000).alias("_e"), F.count("*").alias("n"))
+    place = F.coalesce(F.width_bucket(F.col(value).cast("double"), F.col("_e")[0].cast("double"), F.col("_e")[1].cast("double"), F.lit(64)), F.lit(0).cast("long"))
+    low = F.when(F.col(value) < F.col("_e")[0], 0).when(F.col(value) >= F.col("_e")[1], 65).otherwise(place)
+    dealt = counts.join(bounds, kind).withColumn("_range", F.when(F.col(value).isNull(), -1).otherwise(low))
     sums = dealt.groupBy(kind, "_range").agg(F.sum("_c").alias("_s"))
     before = F.coalesce(F.sum("_s").over(Window.partitionBy(kind).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inside = Window.partitionBy(kind, "_range").orderBy(F.asc_nulls_first(value))
-    placed = dealt.drop("_edges").join(sums.withColumn("_before", before), [kind, "_range"]).withColumn("_upto", F.col("_before") + F.sum("_c").over(inside))
+    placed = dealt.drop("_e").join(sums.withColumn("_before", before), [kind, "_range"]).withColumn("_upto", F.col("_before") + F.sum("_c").over(inside))
     at = lambda place: F.max(F.when((F.col("_upto") - F.col("_c") <= place) & (place < F.col("_upto")), F.col(value)))
     return placed.groupBy(kind).agg(F.first("n").alias("n"), F.sum("_f").alias("n_failed"), at(F.floor(F.col("n") / 2)).alias("p50"), at(F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95))).alias("p95"))
 

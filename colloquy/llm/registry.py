@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .ann import nearest
 from .fingerprints import fingerprint_neighbours
+from .infilling import fill_in_middle, restore
+from .infilling_sql import OP11
 from .langid import identify
 from .lm_score import score_texts
 from .minhash import near_duplicates
@@ -16,6 +18,7 @@ from .mixing import mix
 from .mixing_sql import OP10
 from .packing import pack
 from .quality import score_quality
+from .runs import collapse_runs, strongest
 from .secrets import digest, secret_spans
 from .suffix_dedup import repeated_spans
 
@@ -79,6 +82,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"), {k: f() for k, f in MIX_LEVELS.items()}, MIX_WEIGHTS, fraction=0.5)
 
 
+def op11_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document cut for filling in its middle, and put together again."""
+    cut = fill_in_middle(_table(spark, sf_dir, "documents"))
+    back = restore(F.col("output"), F.col("form"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of each document, with planted ones in every tenth id by hash."""
+    rows = collapse_runs(_table(spark, sf_dir, "documents"), tail_seed=F.crc32(F.col("doc_id").cast("string")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    rows = rows.withColumn("top", strongest(F.col("runs"))).withColumn("listed", F.array_join(lines, ""))
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period", F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
@@ -91,8 +112,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_lm_score": op9_lm_score,
         "op10_mixing": op10_mixing,
+        "op11_infilling": op11_infilling,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": OP10}
+    return {"op10_mixing": OP10, "op11_infilling": OP11}

@@ -11,6 +11,7 @@ from .ann import nearest
 from .fingerprints import fingerprint_neighbours
 from .infilling import fill_in_middle, restore
 from .infilling_sql import OP11
+from .jaccard_join import similar_texts
 from .langid import identify
 from .lm_score import score_texts
 from .minhash import near_duplicates
@@ -20,6 +21,7 @@ from .packing import pack
 from .quality import score_quality
 from .runs import collapse_runs, strongest
 from .secrets import digest, secret_spans
+from .sets_sql import OP5, OP12
 from .suffix_dedup import repeated_spans
 
 
@@ -89,6 +91,11 @@ def op11_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of each document by links of similar sets of word runs."""
+    return similar_texts(_table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words of each document, with planted ones in every tenth id by hash."""
     rows = collapse_runs(_table(spark, sf_dir, "documents"), tail_seed=F.crc32(F.col("doc_id").cast("string")))
@@ -113,9 +120,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_lm_score": op9_lm_score,
         "op10_mixing": op10_mixing,
         "op11_infilling": op11_infilling,
+        "op12_jaccard_join": op12_jaccard_join,
         "op13_periodic_runs": op13_periodic_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": OP10, "op11_infilling": OP11}
+    return {"op10_mixing": OP10, "op11_infilling": OP11, "op5_minhash_dedup": OP5, "op12_jaccard_join": OP12}

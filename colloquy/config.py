@@ -1,4 +1,4 @@
-"""Parameters of the conversation operators, with the defaults queries rely on."""
+"""Parameters of retrieval, with the defaults that its queries rely on."""
 
 from __future__ import annotations
 
@@ -7,18 +7,6 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class EngineConfig:
-    session_gap_minutes: int = 30
-    window_size: int = 12
-    window_overlap: int = 3
-    context_before: int = 6
-    context_after: int = 2
-    context_chars: int = 600
-    segment_target_chars: int = 700
-    segment_max_chars: int = 1400
-    segment_min_turns: int = 3
-    segment_overlap_turns: int = 2
-    segment_soft_gap_minutes: int = 8
-    segment_batch_messages: int = 80
     top_pairs: int = 24
     top_friend: int = 32
     top_windows: int = 16
@@ -38,11 +26,6 @@ class EngineConfig:
     rerank_weight: float = 0.55
     rerank_min_candidates: int = 16
     max_same_session: int = 3
-    flush_turns: int = 8
-    flush_idle_seconds: int = 300
-    quiet_start_minute: int = 0
-    quiet_end_minute: int = 510
-    min_gap_minutes: int = 120
 
 
 DEFAULT = EngineConfig()

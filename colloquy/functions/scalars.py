@@ -43,10 +43,27 @@ def parse_role(role: Column) -> Column:
     return F.when(r.isin(*ROLES), r)
 
 
+def strict_json(text: Column) -> Column:
+    """The one JSON value that a text holds, as a variant; null if it isn't JSON or something follows.
+
+    Spark's parsers stop after the first value, so it is read as the only item of an
+    array that is followed by a mark, which must be there.
+    """
+    mark = "_whole_d1f7"
+    whole = F.try_parse_json(F.concat(F.lit('{"x":['), text, F.lit(f'],"{mark}":1}}')))
+    one = (F.size(F.try_variant_get(whole, "$.x", "array<variant>")) == 1) & (F.try_variant_get(whole, f"$.{mark}", "int") == 1)
+    return F.when(one, F.try_variant_get(whole, "$.x[0]", "variant"))
+
+
+def strict_object(text: Column) -> Column:
+    """:func:`strict_json` where the value is an object, else null."""
+    return F.when(F.startswith(strip(text), F.lit("{")), strict_json(text))
+
+
 def json_object(text: Column) -> Column:
     """The outermost JSON object in a model's answer, or null where none parses."""
     found = F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
-    return F.when(F.try_parse_json(found).isNotNull() & F.startswith(strip(found), F.lit("{")), found)
+    return F.when(strict_object(found).isNotNull(), found)
 
 
 # fixed values: what a refusing model says
@@ -124,9 +141,11 @@ def safe_url(url: Column) -> Column:
         | ((a == 192) & (b == 0) & c.isin(0, 2)) | ((a == 198) & b.isin(18, 19)) | ((a == 198) & (b == 51) & (c == 100)) | ((a == 203) & (b == 0) & (c == 113))
     )
     v6 = host.contains(":")
+    # an address as one number, in hex or octal, or shortened, is this or another machine in disguise
+    odd_v4 = host.rlike(r"^(?:0x[0-9a-f]*|[0-9]+)(?:\.(?:0x[0-9a-f]*|[0-9]+)){0,3}\.?$") & (~is_v4 | host.rlike(r"(?:^|\.)0[0-9]"))
     special6 = host.rlike(r"^(?:::1?$|fe[89ab]|f[cd]|ff|::ffff:|2001:db8)")
     fine = F.lower(url).rlike("^https?://") & host.isNotNull() & (host != "") & ~F.regexp_replace(host, r"^\.+|\.+$", "").isin("localhost", "localhost.localdomain")
-    return F.coalesce(fine & ~(is_v4 & F.coalesce(special, F.lit(True))) & ~(v6 & special6), F.lit(False))
+    return F.coalesce(fine & ~odd_v4 & ~(is_v4 & F.coalesce(special, F.lit(True))) & ~(v6 & special6), F.lit(False))
 
 
 # times -------------------------------------------------------------------------------------------
@@ -176,7 +195,7 @@ def night_band(share: Column) -> Column:
 
 def zoned_iso(text: Column) -> Column:
     """Whether text is an ISO 8601 time with a zone."""
-    shape = text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}(?::[0-9]{2})?(?:\.[0-9]+)?(?:Z|[+-][0-9]{2}:[0-9]{2})$")
+    shape = text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}(?::[0-5][0-9](?:\.[0-9]+)?)?(?:Z|[+-](?:[01][0-9]|2[0-3]):[0-5][0-9])$")
     return F.coalesce(shape & F.try_to_timestamp(F.substring(text, 1, 16), F.lit("yyyy-MM-dd'T'HH:mm")).isNotNull(), F.lit(False))
 
 

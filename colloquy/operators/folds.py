@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ def _runs(keys: pa.Array) -> Iterator[tuple[int, int, object]]:
     """(begin, end, value) of runs of equal keys."""
     if not len(keys):
         return
-    one = pa.compute.run_end_encode(keys)
+    one = pc.run_end_encode(keys)
     at = 0
     for end, value in zip(one.run_ends.to_pylist(), one.values.to_pylist()):
         yield at, end, value

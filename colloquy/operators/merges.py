@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import bigram_similarity_py
+from ..functions.text import bigrams
 
 SAME_EVENT, SAME_CLAIM, EVENT_DAYS = 0.48, 0.58, 3
 
@@ -25,6 +25,19 @@ def _distinct(items, most: int) -> list:
     return list(dict.fromkeys(x for x in items if x))[:most]
 
 
+def _alike(a: dict, b: dict) -> float:
+    """Jaccard similarity of the bigram sets of two rows."""
+    x, y = a["_grams"], b["_grams"]
+    return len(x & y) / len(x | y) if x and y else 0.0
+
+
+def _filled(rows: DataFrame, texts: Sequence[str], numbers: dict[str, object], lists: Sequence[str]) -> DataFrame:
+    """``rows`` without nulls in the columns that a fold compares: empty texts and lists, and the given numbers."""
+    types = dict(rows.dtypes)
+    empty = {c: F.lit("") for c in texts} | {c: F.lit(v).cast(types[c]) for c, v in numbers.items()} | {c: F.array().cast(types[c]) for c in lists}
+    return rows.withColumns({c: F.coalesce(F.col(c), v) for c, v in empty.items()})
+
+
 def _greedy(rows: list[dict], same: Callable[[dict, dict], bool], absorb: Callable[[dict, dict], None]) -> list[dict]:
     leaders: list[dict] = []
     for row in rows:
@@ -37,7 +50,10 @@ def _greedy(rows: list[dict], same: Callable[[dict, dict], bool], absorb: Callab
 
 
 def _plain(frame: pd.DataFrame) -> list[dict]:
-    return [{k: list(v) if hasattr(v, "__len__") and not isinstance(v, str) else v for k, v in r.items()} for r in frame.to_dict("records")]
+    rows = [{k: list(v) if hasattr(v, "__len__") and not isinstance(v, str) else v for k, v in r.items()} for r in frame.to_dict("records")]
+    for r in rows:
+        r["_grams"] = frozenset(r["_grams"])
+    return rows
 
 
 def merge_events(events: DataFrame, owner: str = "owner") -> DataFrame:
@@ -46,12 +62,16 @@ def merge_events(events: DataFrame, owner: str = "owner") -> DataFrame:
     ``events`` has owner, date (ISO text), title, summary, importance, kind and evidence
     (array). In order of date and falling importance each joins the first leader that
     fits; a more important one gives the leader its texts. Dates that don't parse
-    never match. Evidence is distinct, five at most.
+    never match. Evidence is distinct, five at most. Null texts and lists are empty, a
+    null importance is 0.
     """
+    events = _filled(events, ("title", "summary"), {"importance": 0}, ("evidence",))
+    schema = events.select(owner, "date", "title", "summary", "importance", "kind", "evidence").schema
+    names = schema.names
     day = F.try_to_timestamp("date", F.lit("yyyy-MM-dd")).cast("date")
     w = Window.partitionBy(owner).orderBy("_day")
     # a leader keeps its date, so events with a longer gap before them can't join an earlier one
-    ready = events.withColumn("_day", day).withColumn("_new", F.when(F.datediff("_day", F.lag("_day").over(w)) <= EVENT_DAYS, 0).otherwise(1))
+    ready = events.select(*names, bigrams(F.concat("title", "summary")).alias("_grams")).withColumn("_day", day).withColumn("_new", F.when(F.datediff("_day", F.lag("_day").over(w)) <= EVENT_DAYS, 0).otherwise(1))
     ready = ready.withColumn("_group", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_day", "_new")
 
     def same(a: dict, b: dict) -> bool:
@@ -59,18 +79,15 @@ def merge_events(events: DataFrame, owner: str = "owner") -> DataFrame:
             near = abs((date.fromisoformat(a["date"]) - date.fromisoformat(b["date"])).days) <= EVENT_DAYS
         except (TypeError, ValueError):
             return False
-        return near and (a["title"] == b["title"] or bigram_similarity_py(a["title"] + a["summary"], b["title"] + b["summary"]) >= SAME_EVENT)
+        return near and (a["title"] == b["title"] or _alike(a, b) >= SAME_EVENT)
 
     def absorb(a: dict, b: dict) -> None:
         if b["importance"] > a["importance"]:
-            a |= {k: b[k] for k in ("title", "summary", "importance", "kind")}
+            a |= {k: b[k] for k in ("title", "summary", "importance", "kind", "_grams")}
         a["evidence"] = _distinct([*a["evidence"], *b["evidence"]], 5)
 
-    schema = events.select(owner, "date", "title", "summary", "importance", "kind", "evidence").schema
-    names = schema.names
-
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = _plain(frame[names].sort_values(["date", "importance"], ascending=[True, False], kind="stable"))
+        rows = _plain(frame[[*names, "_grams"]].sort_values(["date", "importance"], ascending=[True, False], kind="stable"))
         return pd.DataFrame(_greedy(rows, same, absorb), columns=names)
 
     return ready.groupBy(owner, "_group").applyInPandas(fold, schema)
@@ -81,8 +98,10 @@ def merge_claims(items: DataFrame, by: Sequence[str], lists: dict[str, int]) ->
 
     ``items`` has the group columns, claim, confidence and the array columns of
     ``lists``, which name how many distinct entries are kept. The first array is the
-    evidence; of equally sure claims the one with more of it comes first.
+    evidence; of equally sure claims the one with more of it comes first. Null claims and
+    lists are empty, a null confidence is 0.
     """
+    items = _filled(items, ("claim",), {"confidence": 0}, list(lists))
     schema = items.select(*by, "claim", "confidence", *lists).schema
     names, evidence = schema.names, next(iter(lists))
 
@@ -92,11 +111,11 @@ def merge_claims(items: DataFrame, by: Sequence[str], lists: dict[str, int]) ->
             a[name] = _distinct([*a[name], *b[name]], most)
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = _plain(frame[names])
+        rows = _plain(frame[[*names, "_grams"]])
         rows.sort(key=lambda r: (-r["confidence"], -len(r[evidence])))
-        return pd.DataFrame(_greedy(rows, lambda a, b: bigram_similarity_py(a["claim"], b["claim"]) >= SAME_CLAIM, absorb), columns=names)
+        return pd.DataFrame(_greedy(rows, lambda a, b: _alike(a, b) >= SAME_CLAIM, absorb), columns=names)
 
-    return items.groupBy(*by).applyInPandas(fold, schema)
+    return items.select(*names, bigrams(F.col("claim")).alias("_grams")).groupBy(*by).applyInPandas(fold, schema)
 
 
 def select_events(events: DataFrame, most: int = 100, owner: str = "owner") -> DataFrame:

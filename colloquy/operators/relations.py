@@ -8,9 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def upsert(target: DataFrame, source: DataFrame, key: str = "id") -> DataFrame:
-    """``target`` with the rows of ``source`` in place of those of the same key."""
-    return target.join(source.select(key), key, "left_anti").select(*target.columns).unionByName(source.select(*target.columns))
+def upsert(target: DataFrame, source: DataFrame, key: str = "id", order: Column | None = None) -> DataFrame:
+    """``target`` with the rows of ``source`` in place of those of the same key.
+
+    Of source rows with one key the last by ``order`` counts; without an order the one
+    whose columns compare greatest, so that the key stays unique and a rerun gives the same.
+    """
+    rows = source.select(*target.columns) if order is None else source.select(*target.columns, order.alias("_order"))
+    rest = [c for c in target.columns if c != key]
+    latest = rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*rest) if order is None else F.col("_order")).alias("_r")).select(key, "_r.*")
+    return target.join(source.select(key), key, "left_anti").select(*target.columns).unionByName(latest)
 
 
 def soft_delete(target: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
@@ -50,6 +57,20 @@ def recent_per_key(rows: DataFrame, key: str, order: list[str], n: int) -> DataF
     return rows.withColumn("recent_rank", F.row_number().over(w)).where(F.col("recent_rank") <= n)
 
 
+def _best(rows: DataFrame, order: list) -> Column:
+    """The columns of ``order`` of a group's best row, as an aggregate."""
+    fields = F.struct(*[c for c, _ in order])
+    if all(falling for _, falling in order):
+        return F.max(fields)
+    if not any(falling for _, falling in order):
+        return F.min(fields)
+    # numbers turn around by their sign; of texts, which have none, the bytes do
+    types = dict(rows.dtypes)
+    bytes_of = lambda c: F.concat(F.hex(F.encode(c, "utf-8")), F.lit("!"))
+    turned = lambda c: F.translate(bytes_of(c), "!0123456789ABCDEF", "GFEDCBA9876543210") if types[c] == "string" else -F.col(c)
+    return F.max_by(fields, F.struct(*[F.col(c) if falling else turned(c) for c, falling in order]))
+
+
 def best_per_group_then_fill(rows: DataFrame, group: str, order: list, n: int) -> DataFrame:
     """The best row of every group first, then the best of the rest, n in all.
 
@@ -57,9 +78,7 @@ def best_per_group_then_fill(rows: DataFrame, group: str, order: list, n: int) -
     rest is cut by a top n, so no group is sorted. ``order`` must tell rows apart.
     """
     names = [c for c, _ in order]
-    # of two rows the better one has the greater key: numbers and times turn around by their sign
-    key = F.struct(*[F.col(c) if falling else -F.col(c) for c, falling in order])
-    best = rows.groupBy(group).agg(F.max_by(F.struct(*names), key).alias("_b")).select(group, "_b.*", F.lit(True).alias("is_best"))
+    best = rows.groupBy(group).agg(_best(rows, order).alias("_b")).select(group, "_b.*", F.lit(True).alias("is_best"))
     sort = [F.desc(c) if falling else F.asc(c) for c, falling in order]
     marked = rows.join(best, [group, *names], "left").withColumn("is_best", F.coalesce("is_best", F.lit(False)))
     return marked.orderBy(F.desc("is_best"), *sort).limit(n)
@@ -102,8 +121,9 @@ def purge_count(target: DataFrame, now_ms: int, **what) -> DataFrame:
 
 
 def remember(log: DataFrame, turns: DataFrame, key: str = "conversation_id", text: str = "text") -> DataFrame:
-    """``log`` with the turns whose text it doesn't hold yet; a text counts once."""
-    new = turns.join(log.select(key, text), [key, text], "left_anti").dropDuplicates([key, text])
+    """``log`` with the turns whose text it doesn't hold yet; a text counts once, and so does none."""
+    known = log.select(F.col(key).alias("_k"), F.col(text).alias("_t")).distinct()
+    new = turns.join(known, F.col(key).eqNullSafe(F.col("_k")) & F.col(text).eqNullSafe(F.col("_t")), "left_anti").dropDuplicates([key, text])
     return log.unionByName(new.select(*log.columns))
 
 

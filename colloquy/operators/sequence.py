@@ -121,7 +121,7 @@ def idle_gaps(summary: DataFrame) -> DataFrame:
 
 def gap_bucket(minutes: Column) -> Column:
     """Idle time as one of five buckets; null for none before."""
-    return F.when(minutes < 60, "under_1h").when(minutes < 180, "1h_3h").when(minutes < 480, "3h_8h").when(minutes < 2160, "8h_36h").when(minutes.isNotNull(), "over_36h")
+    return F.when(minutes < 60, "short").when(minutes < 180, "one_to_three_hours").when(minutes < 480, "three_to_eight_hours").when(minutes < 2160, "overnight").when(minutes.isNotNull(), "multi_day")
 
 
 def tail_budget(messages: DataFrame, max_messages: int, max_chars: int, key: str = "source") -> DataFrame:

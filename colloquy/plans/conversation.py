@@ -28,9 +28,9 @@ def _list(items) -> str:
     return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in items) + "]"
 
 
-CHAT = f"""{CONV}, chat AS (SELECT message_id, source, seq, timestamp_ms, role, sender_uid, n, CASE WHEN kind = 'system' THEN 'system' WHEN n = 1 THEN 'recalled' WHEN n = 2 THEN 'placeholder' WHEN n = 0 THEN 'unknown' ELSE 'text' END AS kind,
-  CASE WHEN n % 3 = 0 THEN e ELSE trim(CASE WHEN text IS NULL THEN e ELSE text || ' ' || e END) END AS text, CASE n WHEN 2 THEN '[图片]' WHEN 0 THEN '[语音]' ELSE '' END AS placeholder, CASE n WHEN 20 THEN 'discord_default' WHEN 0 THEN '' ELSE 'type_1' END AS raw_type
-  FROM (SELECT *, {_list(ENDINGS)}[n + 1] AS e, 'u-' || role AS sender_uid FROM (SELECT *, (source * 7 + seq * 5) % {len(ENDINGS)} AS n FROM conv)))"""
+CHAT = f"""{CONV}, chat AS (SELECT CASE alone WHEN 1 THEN message_id || '-end' ELSE message_id END AS message_id, source, seq * 2 + alone AS seq, timestamp_ms + alone * 30000 AS timestamp_ms, role, sender_uid, n, CASE WHEN kind = 'system' THEN 'system' WHEN n = 1 THEN 'recalled' WHEN n = 2 THEN 'placeholder' WHEN n = 0 THEN 'unknown' ELSE 'text' END AS kind,
+  CASE WHEN alone = 1 THEN e ELSE trim(CASE WHEN text IS NULL THEN e ELSE text || ' ' || e END) END AS text, CASE n WHEN 2 THEN '[图片]' WHEN 0 THEN '[语音]' ELSE '' END AS placeholder, CASE n WHEN 20 THEN 'discord_default' WHEN 0 THEN '' ELSE 'type_1' END AS raw_type
+  FROM (SELECT *, {_list(ENDINGS)}[n + 1] AS e, 'u-' || role AS sender_uid, unnest(CASE WHEN n % 3 = 0 THEN [0, 1] ELSE [0] END) AS alone FROM (SELECT *, (source * 7 + seq * 5) % {len(ENDINGS)} AS n FROM conv)))"""
 
 
 def _icase(pattern: str) -> str:
@@ -146,7 +146,7 @@ def q17_opening_stats(spark, sf):
 
 def q18_smoothed_weights(spark, sf):
     counts = _openings(spark, sf).where("initiator = 'friend' and gap_minutes >= 120").groupBy("gap_bucket").agg(F.count("*").alias("n"))
-    domain = spark.createDataFrame([(x,) for x in ("under_1h", "1h_3h", "3h_8h", "8h_36h", "over_36h")], "gap_bucket string")
+    domain = spark.createDataFrame([(x,) for x in ("short", "one_to_three_hours", "three_to_eight_hours", "overnight", "multi_day")], "gap_bucket string")
     return stats.smoothed_weights(domain.join(counts, "gap_bucket", "left").withColumn("n", F.coalesce("n", F.lit(0))), "gap_bucket")
 
 
@@ -393,13 +393,13 @@ SQL = {
     "q43_recent_per_key": f"WITH {EV} SELECT source, message_id, recent_rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY timestamp_ms DESC, seq DESC) AS recent_rank FROM ev) WHERE recent_rank <= 20",
 }
 
-GAPS = f"""{SUM}, gaps AS (SELECT *, CASE WHEN g < 60 THEN 'under_1h' WHEN g < 180 THEN '1h_3h' WHEN g < 480 THEN '3h_8h' WHEN g < 2160 THEN '8h_36h' WHEN g IS NOT NULL THEN 'over_36h' END AS gap_bucket
+GAPS = f"""{SUM}, gaps AS (SELECT *, CASE WHEN g < 60 THEN 'short' WHEN g < 180 THEN 'one_to_three_hours' WHEN g < 480 THEN 'three_to_eight_hours' WHEN g < 2160 THEN 'overnight' WHEN g IS NOT NULL THEN 'multi_day' END AS gap_bucket
   FROM (SELECT *, trunc((start_ms - lag(end_ms) OVER (PARTITION BY source ORDER BY start_ms, end_ms)) / 60000)::BIGINT AS g FROM summ)),
   opens AS (SELECT source, session_no, arg_min(role, (timestamp_ms, seq)) AS initiator, min(timestamp_ms) AS opened_ms, arg_min(text, (timestamp_ms, seq)) AS opening, g AS gap_minutes, gap_bucket FROM ses JOIN gaps USING (source, session_no) GROUP BY source, session_no, g, gap_bucket)"""
 SQL |= {
     "q16_idle_gaps": f"WITH {GAPS} SELECT source, session_no, g AS gap_minutes, gap_bucket FROM gaps",
     "q17_opening_stats": f"WITH {GAPS} SELECT source, count(*) FILTER (initiator = 'friend') AS n_friend, count(*) FILTER (initiator <> 'friend') AS n_self, count(DISTINCT make_timestamp(opened_ms * 1000)::DATE) FILTER (initiator = 'friend') AS active_days, median(gap_minutes) FILTER (initiator = 'friend') AS median_gap, round(count(*) FILTER (initiator = 'friend') / count(*), 4) AS initiative_rate FROM opens GROUP BY source",
-    "q18_smoothed_weights": f"WITH {GAPS}, c AS (SELECT gap_bucket, count(*) AS n FROM opens WHERE initiator = 'friend' AND gap_minutes >= 120 GROUP BY 1), d AS (SELECT b.gap_bucket, coalesce(n, 0)::BIGINT AS n FROM (SELECT unnest(['under_1h', '1h_3h', '3h_8h', '8h_36h', 'over_36h']) AS gap_bucket) b LEFT JOIN c USING (gap_bucket)) SELECT gap_bucket, n, CASE WHEN max(n) OVER () > 0 THEN round((n + 1) / (max(n) OVER () + 1), 3) ELSE 0.0 END AS weight FROM d",
+    "q18_smoothed_weights": f"WITH {GAPS}, c AS (SELECT gap_bucket, count(*) AS n FROM opens WHERE initiator = 'friend' AND gap_minutes >= 120 GROUP BY 1), d AS (SELECT b.gap_bucket, coalesce(n, 0)::BIGINT AS n FROM (SELECT unnest(['short', 'one_to_three_hours', 'three_to_eight_hours', 'overnight', 'multi_day']) AS gap_bucket) b LEFT JOIN c USING (gap_bucket)) SELECT gap_bucket, n, CASE WHEN max(n) OVER () > 0 THEN round((n + 1) / (max(n) OVER () + 1), 3) ELSE 0.0 END AS weight FROM d",
     "q19_quality_gate": f"WITH {GAPS}, c AS (SELECT source, count(*) FILTER (initiator = 'friend' AND gap_minutes >= 120) AS n_eligible, count(*) FILTER (initiator = 'friend' AND gap_minutes >= 120 AND length(opening) >= 5) AS n_meaningful FROM opens GROUP BY source), s AS (SELECT *, CASE WHEN n_eligible > 0 THEN n_meaningful / n_eligible ELSE 0 END AS share FROM c) SELECT source, n_eligible, n_meaningful, CASE WHEN n_eligible < 12 OR share < 0.45 THEN 'critical' WHEN n_eligible < 30 OR share < 0.7 THEN 'warning' ELSE 'good' END AS verdict FROM s",
     "q44_next_profile_time": f"""WITH {EV}, m AS (SELECT * FROM ev WHERE role = 'friend'), c AS (SELECT source, hour(make_timestamp(timestamp_ms * 1000)) AS hour, count(*) AS n FROM m GROUP BY 1, 2),
       p AS (SELECT source, hour, round(n / max(n) OVER (PARTITION BY source), 3) AS level FROM c), b AS (SELECT source, hour FROM (SELECT *, max(level) OVER (PARTITION BY source) AS pk FROM p) WHERE level >= greatest(0.45, 0.75 * pk)),

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import strip
-from ..functions.scalars import parse_bool, parse_int, parse_kind, parse_role
+from ..functions.scalars import parse_bool, parse_int, parse_kind, parse_role, strict_object
 
 
 @dataclass(frozen=True)
@@ -29,7 +29,6 @@ class Identities:
     zone: str = "UTC"
 
 
-
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: file, name, suffix and its text without a byte order mark."""
     rows = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).withColumn("file", F.input_file_name())
@@ -44,7 +43,7 @@ def json_lines(payloads: DataFrame) -> DataFrame:
     A line that isn't an object makes ``record`` null. The id is stable for a path and line.
     """
     lines = payloads.where("suffix in ('.jsonl', '.ndjson')").select("file", "name", F.posexplode(F.split("content", r"\r\n|\n|\r")).alias("_i", "text")).where(F.trim("text") != "")
-    record = F.when(F.startswith(F.ltrim("text"), F.lit("{")), F.try_parse_json("text"))
+    record = strict_object(F.col("text"))
     space = F.substring(F.sha2("file", 256), 1, 12)
     return lines.select("file", (F.col("_i") + 1).alias("line"), F.concat_ws("-", "name", space, F.col("_i") + 1).alias("source_id"), record.alias("record"))
 
@@ -83,7 +82,7 @@ def _is_canonical(content: Column) -> Column:
 
 def _canonical_parts(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(file, idx, source_id, m) of messages and (file, uid, role) of participants, of JSON and JSONL files."""
-    whole = payloads.where(~F.col("suffix").isin(".jsonl", ".ndjson") & _is_canonical(F.col("content"))).select("file", F.try_parse_json("content").alias("v"))
+    whole = payloads.where(~F.col("suffix").isin(".jsonl", ".ndjson") & _is_canonical(F.col("content"))).select("file", strict_object(F.col("content")).alias("v"))
     whole = whole.where(F.lower(F.coalesce(F.nullif(_get("v", "$.conversation.type"), F.lit("")), F.lit("private"))) == "private")
     messages = whole.select("file", F.posexplode(_items("v", "$.messages")).alias("idx", "m")).withColumn("source_id", F.lit(""))
     people = whole.select("file", F.explode(_items("v", "$.participants")).alias("p"))
@@ -137,10 +136,28 @@ def _is_qq(v: Column) -> Column:
     return name.rlike("qq-?chat-?exporter") | (_get(v, "$.chatInfo.selfUid") != "")
 
 
-def qq_messages(payloads: DataFrame, who: Identities = Identities()) -> DataFrame:
-    """Messages of the QQ chat exporter's JSON: nested sender and content, resources as placeholders."""
-    v = payloads.where("suffix not in ('.jsonl', '.ndjson', '.txt', '.md', '.html', '.htm')").select("file", F.try_parse_json("content").alias("v")).where(F.col("v").isNotNull())
-    rows = v.where(_is_qq(F.col("v"))).select("file", F.posexplode(_items("v", "$.messages")).alias("idx", "m")).where(F.startswith(F.to_json("m"), F.lit("{")))
+def _is_object(v: Column | str, path: str) -> Column:
+    v = F.col(v) if isinstance(v, str) else v
+    return F.coalesce(F.startswith(F.to_json(F.try_variant_get(v, path, "variant")), F.lit("{")), F.lit(False))
+
+
+def qq_parts(payloads: DataFrame, checked: bool = True) -> DataFrame:
+    """file, idx, m and source_id of QQ messages: a JSON object's, or the records of a chunked JSONL file.
+
+    Each record of the latter has sender, content and timestamp and no type of its own.
+    """
+    v = payloads.where("suffix not in ('.jsonl', '.ndjson', '.txt', '.md', '.html', '.htm')").select("file", strict_object(F.col("content")).alias("v")).where(F.col("v").isNotNull())
+    whole = (v.where(_is_qq(F.col("v"))) if checked else v).select("file", F.posexplode(_items("v", "$.messages")).alias("idx", "m")).withColumn("source_id", F.lit(""))
+    w = Window.partitionBy("file")
+    fine = F.col("record").isNotNull() & _is_object("record", "$.sender") & _is_object("record", "$.content") & F.try_variant_get("record", "$.timestamp", "variant").isNotNull() & F.try_variant_get("record", "$._type", "variant").isNull()
+    lines = json_lines(payloads).withColumn("_fine", F.min(F.coalesce(fine, F.lit(False)).cast("int")).over(w)).where("_fine = 1")
+    said = lines.select("file", (F.row_number().over(w.orderBy("line")) - 1).alias("idx"), F.col("record").alias("m"), "source_id")
+    return whole.unionByName(said).where(F.startswith(F.to_json("m"), F.lit("{")))
+
+
+def qq_messages(payloads: DataFrame, who: Identities = Identities(), checked: bool = True) -> DataFrame:
+    """Messages of the QQ chat exporter's JSON and chunked JSONL: nested sender and content, resources as placeholders."""
+    rows = qq_parts(payloads, checked)
     label = lambda r: F.lower(_get(r, "$.type"))
     tag = lambda r: F.when(label(r) == "image", "[图片]").when(label(r) == "audio", "[语音]").when(label(r) == "video", "[视频]").when(label(r) == "file", "[文件]").otherwise(F.concat(F.lit("["), F.coalesce(F.nullif(label(r), F.lit("")), F.lit("附件")), F.lit("]")))
     rows = rows.withColumns({
@@ -154,19 +171,19 @@ def qq_messages(payloads: DataFrame, who: Identities = Identities()) -> DataFram
     )
     reply = F.when(F.col("_inner"), F.struct(_get("m", "$.content.reply.sourceMsgId", "$.content.reply.id").alias("id"), F.substring(_get("m", "$.content.reply.text", "$.content.reply.summary"), 1, 120).alias("text"))).when(F.col("_outer"), F.struct(_get("m", "$.sourceMsgInfo.sourceMsgId").alias("id"), F.substring(_get("m", "$.sourceMsgInfo.text"), 1, 120).alias("text")))
     return rows.withColumn("_reply", reply).select(
-        "file", F.coalesce(F.nullif(_get("m", "$.id"), F.lit("")), F.concat(F.lit("local-"), "idx")).alias("message_id"), F.coalesce(_get("m", "$.seq").try_cast("long"), _get("m", "$.seq").try_cast("double").try_cast("long"), F.col("idx").cast("long")).alias("seq"),
+        "file", F.coalesce(F.nullif(_get("m", "$.id"), F.lit("")), F.nullif("source_id", F.lit("")), F.concat(F.lit("local-"), "idx")).alias("message_id"), F.coalesce(_get("m", "$.seq").try_cast("long"), _get("m", "$.seq").try_cast("double").try_cast("long"), F.col("idx").cast("long")).alias("seq"),
         parse_int(_get("m", "$.timestamp")).alias("timestamp_ms"), F.col("uid").alias("sender_uid"), _get("m", "$.sender.remark", "$.sender.name", "$.sender.nickname").alias("sender_name"), _role(F.col("uid"), F.col("_system"), who).alias("role"),
         kind.alias("kind"), F.col("_type").alias("raw_type"), "text", "placeholders", F.col("_reply.id").alias("reply_to_id"), F.col("_reply.text").alias("reply_to_summary"), has_media.alias("has_media"),
     ).select(*_COLUMNS)
 
 
-#: Attachments of Discord messages by the ending of their name.
+# fixed values: attachments of Discord messages by the ending of their name
 _ENDINGS = (("[图片]", r"\.(?:png|jpe?g|gif|webp|bmp)$"), ("[视频]", r"\.(?:mp4|webm|mov)$"), ("[语音]", r"\.(?:mp3|ogg|wav|m4a)$"))
 
 
 def discord_messages(payloads: DataFrame, who: Identities = Identities()) -> DataFrame:
     """Messages of Discord chat exports: ISO times, attachments by their ending; rows without content are dropped."""
-    v = payloads.where("suffix not in ('.jsonl', '.ndjson', '.txt', '.md', '.html', '.htm')").select("file", F.try_parse_json("content").alias("v")).where(F.col("v").isNotNull())
+    v = payloads.where("suffix not in ('.jsonl', '.ndjson', '.txt', '.md', '.html', '.htm')").select("file", strict_object(F.col("content")).alias("v")).where(F.col("v").isNotNull())
     fits = (_get("v", "$.channel.id") != "") & (_get("v", "$.channel.type") != "") & (_get("v", "$.exportedAt") != "") & (_get("v", "$.guild") != "")
     rows = v.where(fits).select("file", F.posexplode(_items("v", "$.messages")).alias("idx", "m"))
     stamp = _get("m", "$.timestamp")
@@ -192,6 +209,7 @@ WHATSAPP_MEDIA = {
     "[图片]": "[图片]", "<图片已忽略>": "[图片]", "<image omitted>": "[图片]", "<media omitted>": "[附件]", "<媒体已忽略>": "[附件]", "[视频]": "[视频]", "<视频已忽略>": "[视频]", "<video omitted>": "[视频]", "[语音]": "[语音]",
     "<音频已忽略>": "[语音]", "<audio omitted>": "[语音]", "[表情]": "[表情]", "<贴图已忽略>": "[表情]", "<sticker omitted>": "[表情]", "<album消息>": "[图片]", "[album消息]": "[图片]", "<document omitted>": "[文件]", "<文件已忽略>": "[文件]",
 }
+# fixed values: how exports write the beginning of a message
 _HEAD = r"^\[?([0-9]{1,4}[/.\-][0-9]{1,2}[/.\-][0-9]{1,4}),?\s+([0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?(?:\s*[APap][Mm])?)\]?\s*(?:-\s*)?(.*)$"
 _MARKS = "[\\u200e\\u200f\\u202a-\\u202c\\u2066-\\u2069]"
 _MD_DAY, _MD_HEAD = r"^##\s+([0-9]{4})年([0-9]{1,2})月([0-9]{1,2})日\s*$", r"^\[([0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?)\]\s+(.*)$"
@@ -251,33 +269,3 @@ def whatsapp_messages(payloads: DataFrame, who: Identities = Identities()) -> Da
         F.when(F.col("_media").isNotNull(), "").otherwise(F.col("text")).alias("text"), F.when(F.col("_media").isNotNull(), F.array("_media")).otherwise(F.array().cast("array<string>")).alias("placeholders"), _none().alias("reply_to_id"), _none().alias("reply_to_summary"),
         F.col("_media").isNotNull().alias("has_media"),
     ).select(*_COLUMNS)
-
-
-#: Readers by name, in the order in which a file is tried.
-READERS = {"canonical": canonical_messages, "qq": qq_messages, "discord": discord_messages, "whatsapp": whatsapp_messages}
-
-
-def read_chats(spark: SparkSession, path: str, who: Identities = Identities(), name: str | None = None) -> DataFrame:
-    """Messages of all files below ``path``; by one reader if it is named."""
-    payloads = read_payloads(spark, path)
-    out = None
-    for key, reader in READERS.items():
-        if name in (None, key):
-            rows = reader(payloads, who).withColumn("format", F.lit(key))
-            out = rows if out is None else out.unionByName(rows)
-    if out is None:
-        raise ValueError(f"no reader {name!r}; there are {', '.join(READERS)}")
-    # a file that fits several readers is the first one's
-    order = F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(READERS) for x in (k, i)]), F.col("format"))
-    return out.withColumn("_o", order).withColumn("_m", F.min("_o").over(Window.partitionBy("file"))).where("_o = _m").drop("_o", "_m")
-
-
-def inspect_chats(spark: SparkSession, path: str, most: int = 20) -> DataFrame:
-    """One row per file: format, messages, and its most frequent senders, or why it gives none."""
-    messages = read_chats(spark, path)
-    people = messages.where("sender_uid != ''").groupBy("file", "sender_uid").agg(F.first("sender_name").alias("name"), F.count("*").alias("n"))
-    place = F.row_number().over(Window.partitionBy("file").orderBy(F.desc("n"), "sender_uid"))
-    listed = people.withColumn("_k", place).where(F.col("_k") <= most).groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", F.col("sender_uid").alias("uid"), "name", "n"))), lambda x: F.struct(x["uid"].alias("uid"), x["name"].alias("name"), x["n"].alias("n"))).alias("people"))
-    counts = messages.groupBy("file").agg(F.first("format").alias("format"), F.count("*").alias("n_messages"))
-    files = read_payloads(spark, path).select("file", F.when(F.trim("content") == "", "empty file").otherwise("no known format").alias("_why"))
-    return files.join(counts, "file", "left").join(listed, "file", "left").select("file", "format", F.coalesce("n_messages", F.lit(0)).alias("n_messages"), "people", F.when(F.col("format").isNull(), F.col("_why")).alias("error"))

@@ -33,8 +33,8 @@ def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Endings that give the supplied conversations what chat exports hold: faces, media,
-#: mentions, private data, short questions. A message takes one by its number; every
-#: third consists of it alone.
+#: mentions, private data, short questions. A message takes one by its number; after every
+#: third one stands a message that consists of its ending alone.
 ENDINGS = (
     "", "[微笑]", "[图片: a1.png]", "[/汪汪] [[爱心]] ok", "@Sam 在干嘛", "@Alex see 4111 1111 1111 1111 or 4111 1111 1111 1112", "mail a.b+c@mail.example.org, 192.168.0.1",
     "call 13912345678", "id 11010519491231002X", "u_AbCdEfGhIjKlMnOpQrSt12-w said", "good morning", "are you awake?", "我刚到家，好累", "晚安！晚安",
@@ -47,10 +47,13 @@ def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = conversation_messages(spark, sf_dir)
     n = F.pmod(F.col("source") * 7 + F.col("seq") * 5, F.lit(len(ENDINGS))).cast("int")
     ending = F.element_at(F.array(*[F.lit(x) for x in ENDINGS]), n + 1)
-    text = F.when(n % 3 == 0, ending).otherwise(F.trim(F.concat_ws(" ", "text", ending)))
+    whole = F.struct(F.trim(F.concat_ws(" ", "text", ending)).alias("text"), F.lit(0).alias("alone"))
+    said = F.explode(F.when(n % 3 == 0, F.array(whole, F.struct(ending.alias("text"), F.lit(1).alias("alone")))).otherwise(F.array(whole)))
     kind = F.when(F.col("kind") == "system", "system").when(n == 1, "recalled").when(n == 2, "placeholder").when(n == 0, "unknown").otherwise("text")
-    return rows.select(
-        "message_id", "source", "seq", "timestamp_ms", "role", kind.alias("kind"), text.alias("text"),
+    alone = F.col("said.alone")
+    return rows.withColumn("said", said).select(
+        F.when(alone == 1, F.concat("message_id", F.lit("-end"))).otherwise(F.col("message_id")).alias("message_id"), "source", (F.col("seq") * 2 + alone).alias("seq"),
+        (F.col("timestamp_ms") + alone * 30_000).alias("timestamp_ms"), "role", kind.alias("kind"), F.col("said.text").alias("text"),
         F.when(n == 2, F.array(F.lit("[图片]"))).when(n == 0, F.array(F.lit("[语音]"))).otherwise(F.array().cast("array<string>")).alias("placeholders"),
         F.when(n == 20, "discord_default").when(n == 0, "").otherwise("type_1").alias("raw_type"), F.concat(F.lit("u-"), "role").alias("sender_uid"),
     )

@@ -2,7 +2,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from colloquy.functions.text import bigram_similarity_py
 from colloquy.operators import merges, relations, retrieval
 
 
@@ -21,7 +20,38 @@ def test_claims_of_one_group_are_merged(spark):
     frame = spark.createDataFrame(rows, "owner string, subject string, claim string, confidence double, evidence array<string>, contexts array<string>")
     got = sorted((r.subject, r.claim, r.confidence, tuple(r.evidence), tuple(r.contexts)) for r in merges.merge_claims(frame, ["owner", "subject"], {"evidence": 6, "contexts": 4}).collect())
     assert got == [("friend", "hates mornings", 0.7, (), ()), ("friend", "likes long walks in the rain", 0.9, ("a", "b"), ("m", "n")), ("self", "likes long walks in the rain", 0.4, ("c",), ())]
-    assert bigram_similarity_py("a b,c", "ABC") == 1 and bigram_similarity_py("", "a") == 0
+
+
+def test_merges_take_nulls(spark):
+    events = spark.createDataFrame([("o", "2024-01-01", None, None, None, None, None), ("o", "2024-01-01", None, "x", 2, "k", ["e", None]), ("o", None, "t", "y", 1, "k", None)], "owner string, date string, title string, summary string, importance int, kind string, evidence array<string>")
+    got = sorted((str(r.date), r.title, r.summary, r.importance, tuple(r.evidence)) for r in merges.merge_events(events).collect())
+    assert got == [("2024-01-01", "", "x", 2, ("e",)), ("None", "t", "y", 1, ())]
+    claims = spark.createDataFrame([("s", None, None, None), ("s", None, 0.5, ["a"]), ("s", "walks", 0.2, None)], "owner string, claim string, confidence double, evidence array<string>")
+    got = sorted((r.claim, r.confidence, tuple(r.evidence)) for r in merges.merge_claims(claims, ["owner"], {"evidence": 3}).collect())
+    assert got == [("", 0.0, ()), ("", 0.5, ("a",)), ("walks", 0.2, ())]
+
+
+def test_upsert_keeps_the_key_unique(spark):
+    old = spark.createDataFrame([("a", 1), ("b", 1)], "id string, v int")
+    new = spark.createDataFrame([("a", 3), ("a", 2), ("c", 5)], "id string, v int")
+    assert sorted(map(tuple, relations.upsert(old, new).collect())) == [("a", 3), ("b", 1), ("c", 5)]
+    assert sorted(map(tuple, relations.upsert(old, new, order=-F.col("v")).collect())) == [("a", 2), ("b", 1), ("c", 5)]
+
+
+def test_null_texts_are_remembered_once(spark):
+    log = spark.createDataFrame([("c", "x")], "conversation_id string, text string")
+    turns = spark.createDataFrame([("c", None), ("c", "x"), ("c", None), ("d", "x")], log.schema)
+    once = relations.remember(log, turns)
+    assert once.count() == 3 and relations.remember(once, turns).count() == 3
+
+
+def test_best_of_a_group_by_rising_text(spark):
+    rows = spark.createDataFrame([("g", "abc", 1), ("g", "ab", 1), ("g", "é", 2), ("h", "z", 0)], "g string, t string, n int")
+    got = relations.best_per_group_then_fill(rows, "g", [("n", True), ("t", False)], 3).collect()
+    assert [(r.t, r.is_best) for r in got] == [("é", True), ("z", True), ("ab", False)]
+    assert [r.t for r in relations.best_per_group_then_fill(rows, "g", [("t", False)], 2).collect()] == ["ab", "z"]
+    mixed = rows.where("n < 2")
+    assert [r.t for r in relations.best_per_group_then_fill(mixed, "g", [("n", True), ("t", False)], 2).collect()] == ["ab", "z"]
 
 
 def test_selection_and_nearest(spark):

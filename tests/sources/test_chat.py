@@ -5,7 +5,7 @@ import json
 
 import pytest
 
-from colloquy.sources import chat
+from colloquy.sources import chat, importing
 
 WHO = chat.Identities(own=["me", "whatsapp:You"], friends=["ann", "whatsapp:Ann%20B"], zone="Asia/Shanghai")
 
@@ -48,7 +48,7 @@ def by_file(rows, name):
 
 
 def test_all_formats_of_a_folder(spark, folder):
-    rows = chat.read_chats(spark, folder, WHO).collect()
+    rows = importing.read_chats(spark, folder, WHO).collect()
     assert {r.file.rsplit("/", 1)[1]: r.format for r in rows} == {"a.json": "canonical", "b.jsonl": "canonical", "c.jsonl": "canonical", "qq.json": "qq", "discord.json": "discord", "wa.txt": "whatsapp", "wa.md": "whatsapp"}
     for name in ("a.json", "b.jsonl"):
         got = {r.timestamp_ms: r for r in by_file(rows, name) if r.timestamp_ms}
@@ -65,7 +65,7 @@ def test_all_formats_of_a_folder(spark, folder):
 
 
 def test_whatsapp_lines(spark, folder):
-    rows = chat.read_chats(spark, folder, WHO, "whatsapp").collect()
+    rows = importing.read_chats(spark, folder, WHO, "whatsapp").collect()
     w = by_file(rows, "wa.txt")
     assert [(r.seq, r.role, r.kind, r.text) for r in w] == [(0, "system", "system", "Messages are encrypted"), (1, "friend", "text", "hello: there\nsecond line"), (2, "self", "placeholder", ""), (3, "self", "text", "old"), (4, "friend", "text", "hello: there\nsecond line\n\nnot a date 99/99/24, 9:00 - x")]
     # 1 February 2024, 21:05 in Shanghai; the year 99 is 1999
@@ -76,9 +76,9 @@ def test_whatsapp_lines(spark, folder):
 
 
 def test_inspection_and_named_reader(spark, folder):
-    got = {r.file.rsplit("/", 1)[1]: r for r in chat.inspect_chats(spark, folder).collect()}
+    got = {r.file.rsplit("/", 1)[1]: r for r in importing.inspect_chats(spark, folder).collect()}
     assert got["qq.json"].format == "qq" and got["qq.json"].n_messages == 6 and {p.uid for p in got["qq.json"].people} == {"me", "5", "ann"}
-    assert {n: got[n].error for n in ("bad.jsonl", "broken.jsonl", "group.json", "empty.json")} == {"bad.jsonl": "no known format", "broken.jsonl": "no known format", "group.json": "no known format", "empty.json": "empty file"}
-    assert {r.format for r in chat.read_chats(spark, folder, WHO, "qq").collect()} == {"qq"}
+    assert {n: got[n].error for n in ("bad.jsonl", "broken.jsonl", "group.json", "empty.json")} == {"bad.jsonl": "no known format", "broken.jsonl": "line 2 isn't a JSON object", "group.json": "no known format", "empty.json": "empty file"}
+    assert {r.format for r in importing.read_chats(spark, folder, WHO, "qq").collect()} == {"qq"}
     with pytest.raises(ValueError):
-        chat.read_chats(spark, folder, WHO, "fax")
+        importing.read_chats(spark, folder, WHO, "fax")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import conversation, retrieval
+from . import conversation, records, retrieval
 
-QUERIES = dict(sorted((conversation.QUERIES | retrieval.QUERIES).items()))
-SQL = dict(sorted((conversation.SQL | retrieval.SQL).items()))
+QUERIES = dict(sorted((conversation.QUERIES | retrieval.QUERIES | records.QUERIES).items()))
+SQL = dict(sorted((conversation.SQL | retrieval.SQL | records.SQL).items()))

@@ -16,8 +16,8 @@ The language of a text is the one with the most letters in its spans; the score
 is its share of the letters. Texts that are null or have no letter are ``und``
 with score 0; without training rows all are ``und``. Repeated rows get equal
 results; a null id belongs to the training fold; other columns are ignored; an
-empty table gives an empty result. The ``LANGUAGES`` languages with the most
-training rows are learned, which bounds the model where labels are dirty.
+empty table gives an empty result. All languages of the training rows are learned, or
+the most frequent ones if a number is given, which bounds the model where labels are dirty.
 """
 
 from __future__ import annotations
@@ -35,7 +35,6 @@ from .quality import held_out
 
 BUCKETS = 1 << 15
 PENALTY, FLOOR, SCRIPT_SHARE = 6.0, -5.0, 0.005
-LANGUAGES = 256
 _SCORES = 8 << 20  # bytes of text times languages that one slice holds the scores of
 _OTHER, _LETTER, _LATIN, _GREEK, _CYRILLIC, _ARMENIAN, _HEBREW, _ARABIC, _INDIC, _SOUTHEAST, _KANA, _HAN, _HANGUL, _GEORGIAN, _ETHIOPIC, _KHMER, _BURMESE, _MONGOLIAN, _CHEROKEE = range(19)
 _SCRIPTS = 19
@@ -119,9 +118,10 @@ def _learn(langs: list[str]):
     return run
 
 
-def fit(train: DataFrame) -> dict:
-    """Model of ``train(text, lang)``; its size goes with the number of languages, ``LANGUAGES`` at most."""
-    langs = sorted(r[0] for r in train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
+def fit(train: DataFrame, languages: int | None = None) -> dict:
+    """Model of ``train(text, lang)``; its size goes with the number of languages: all, or the ``languages`` most frequent."""
+    counts = train.groupBy("lang").count().orderBy(F.desc("count"), "lang")
+    langs = sorted(r[0] for r in (counts if languages is None else counts.limit(languages)).collect())
     both = np.zeros(len(langs) * (BUCKETS + _SCRIPTS), np.float32)
     if langs:
         for k, n in train.where(F.col("lang").isin(langs)).mapInArrow(_learn(langs), "feature long, n long").groupBy("feature").agg(F.sum("n")).toLocalIterator():
@@ -313,12 +313,12 @@ def _predict(model, penalty: float, with_spans: bool, scores: int):
     return run
 
 
-def identify(docs: DataFrame, penalty: float = PENALTY, with_spans: bool = True, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", slice_scores: int = _SCORES) -> DataFrame:
+def identify(docs: DataFrame, penalty: float = PENALTY, with_spans: bool = True, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", slice_scores: int = _SCORES, languages: int | None = None) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score, and its spans of words.
 
     Learns from the documents with a language whose id is outside fold 0 of 5.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col, 5, 0).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).alias("lang"))
-    model = docs.sparkSession.sparkContext.broadcast(fit(rows.where("not held_out and lang is not null").select("text", "lang")))
+    model = docs.sparkSession.sparkContext.broadcast(fit(rows.where("not held_out and lang is not null").select("text", "lang"), languages))
     schema = f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double" + ", spans array<struct<lang:string,first_word:long,words:long>>" * with_spans
     return rows.select("doc_id", "held_out", "text", F.col("text").rlike(r"\p{L}").alias("has_letter")).mapInArrow(_predict(model, penalty, with_spans, slice_scores), schema)

@@ -92,10 +92,13 @@ def test_spans_cross_4096_words_and_slices(spark):
 def test_many_languages(spark):
     rng = random.Random(9)
     letters = "abcdefghijklmnopqrstuvwxyz"
-    parts = {f"l{k:03}": ["".join(rng.choice(letters) for _ in range(4)) for _ in range(6)] for k in range(200)}
-    data = [(i, " ".join(rng.choice(parts[lang]) for _ in range(30)), lang) for i in range(1000) for lang in [f"l{i % 200:03}"]]
-    got = {r.doc_id: r.lang_pred for r in identify(spark.createDataFrame(data, "doc_id long, text string, lang string")).collect()}
-    assert sum(got[i] == lang for i, _, lang in data) >= 990
+    parts = {f"l{k:03}": ["".join(rng.choice(letters) for _ in range(4)) for _ in range(6)] for k in range(300)}
+    data = [(i, " ".join(rng.choice(parts[lang]) for _ in range(30)), lang) for i in range(1500) for lang in [f"l{i % 300:03}"]]
+    table = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in identify(table).collect()}
+    assert sum(got[i] == lang for i, _, lang in data) >= 1485
+    few = {r.lang_pred for r in identify(table, languages=10).collect()}
+    assert len(few) <= 10
 
 
 def test_a_word_has_the_script_of_most_letters():

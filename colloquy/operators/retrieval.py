@@ -14,7 +14,7 @@ from ..config import DEFAULT, EngineConfig
 from ..functions import cleaning as C
 from ..functions import lexicons as L
 
-#: A block of queries, broadcast at once: so many rows and bytes of vectors at most.
+#: A block of queries, held by a task: so many rows and bytes of vectors, about.
 MAX_QUERIES, BLOCK_BYTES = 100_000, 32 << 20
 _CHUNK = 256
 
@@ -48,47 +48,72 @@ def _best(query: np.ndarray, ids: np.ndarray, distance: np.ndarray, k: int) -> n
     return order[rank < k]
 
 
-def _block_topk(block, k: int, routes: int):
-    """The k nearest rows of a task on each route for each query of a broadcast block."""
+class _Cell:
+    """The k nearest of a cell's rows on each route for each of its queries, kept while the rows pass."""
+
+    def __init__(self, queries: pa.Table, k: int, routes: int):
+        held = _by_length(queries.column("id").combine_chunks(), queries.column("vector").combine_chunks())
+        self.asked = {d: (ids, q, np.sqrt(_fold(q, q))) for d, (ids, q) in held.items()}
+        self.k, self.routes, self.best = k, routes, {}
+
+    def see(self, batch: pa.RecordBatch) -> None:
+        k, nothing, member = self.k, (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), batch.column("routes").to_numpy()
+        for d, (at, x) in _by_length(pa.array(np.arange(batch.num_rows)), batch.column("vector")).items():
+            if d not in self.asked:
+                continue
+            ids, on = batch.column("id").to_numpy()[at], [np.flatnonzero(member[at] >> r & 1) for r in range(self.routes)]
+            q_ids, qs, q_norms = self.asked[d]
+            norms = np.sqrt(_fold(x, x))
+            for lo in range(0, len(qs), _CHUNK):
+                q, q_norm, q_id = qs[lo : lo + _CHUNK], q_norms[lo : lo + _CHUNK], q_ids[lo : lo + _CHUNK]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    every = (q @ x.T) / (q_norm[:, None] * norms)
+                every[~np.isfinite(every) | (q_id[:, None] == ids)] = -np.inf
+                for r, rows in enumerate(on):
+                    if not len(rows):
+                        continue
+                    near = every if len(rows) == len(x) else every[:, rows]
+                    kept = self.best.get((d, lo, r), nothing)
+                    # products of matrices differ in the last digits: all that may be among the k go on to the exact sums
+                    least = np.partition(near, len(rows) - k, axis=1)[:, len(rows) - k] if len(rows) > k else np.full(len(q), -np.inf)
+                    full = np.bincount(kept[0], minlength=len(q)) >= k
+                    worst = np.full(len(q), -np.inf)
+                    np.maximum.at(worst, kept[0], kept[2])
+                    least = np.maximum(least, np.where(full, 1 - worst, -np.inf)) - 1e-9
+                    a, b = np.nonzero((near >= least[:, None]) & (near > -np.inf))
+                    for s in range(0, len(a), 50_000):
+                        u, v = a[s : s + 50_000], rows[b[s : s + 50_000]]
+                        found = (u, ids[v], 1 - _fold(q[u], x[v]) / (q_norm[u] * norms[v]))
+                        kept = tuple(np.concatenate(y) for y in zip(kept, found))
+                        top = _best(*kept, k)
+                        kept = tuple(y[top] for y in kept)
+                    self.best[d, lo, r] = kept
+
+    def found(self):
+        for (d, lo, r), (u, ids, distance) in self.best.items():
+            yield pa.RecordBatch.from_arrays([pa.array(self.asked[d][0][lo + u]), pa.array(np.full(len(u), r, np.int32)), pa.array(ids), pa.array(distance)], names=["query_id", "route_order", "id", "distance"])
+
+
+def _cells(k: int, routes: int):
+    """Rows sorted by cell, queries before the rows that they are compared with."""
 
     def run(batches):
-        asked = {d: (ids, q, np.sqrt(_fold(q, q))) for d, (ids, q) in block.value.items()}
-        nothing = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        best: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        cell, queries, scored = None, [], None
         for batch in batches:
-            member = batch.column("routes").to_numpy()
-            for d, (at, x) in _by_length(pa.array(np.arange(batch.num_rows)), batch.column("vector")).items():
-                if d not in asked:
-                    continue
-                ids, on = batch.column("id").to_numpy()[at], [np.flatnonzero(member[at] >> r & 1) for r in range(routes)]
-                q_ids, qs, q_norms = asked[d]
-                norms = np.sqrt(_fold(x, x))
-                for lo in range(0, len(qs), _CHUNK):
-                    q, q_norm, q_id = qs[lo : lo + _CHUNK], q_norms[lo : lo + _CHUNK], q_ids[lo : lo + _CHUNK]
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        every = (q @ x.T) / (q_norm[:, None] * norms)
-                    every[~np.isfinite(every) | (q_id[:, None] == ids)] = -np.inf
-                    for r, rows in enumerate(on):
-                        if not len(rows):
-                            continue
-                        near = every if len(rows) == len(x) else every[:, rows]
-                        kept = best.get((d, lo, r), nothing)
-                        # products of matrices differ in the last digits: all that may be among the k go on to the exact sums
-                        least = np.partition(near, len(rows) - k, axis=1)[:, len(rows) - k] if len(rows) > k else np.full(len(q), -np.inf)
-                        full = np.bincount(kept[0], minlength=len(q)) >= k
-                        worst = np.full(len(q), -np.inf)
-                        np.maximum.at(worst, kept[0], kept[2])
-                        least = np.maximum(least, np.where(full, 1 - worst, -np.inf)) - 1e-9
-                        a, b = np.nonzero((near >= least[:, None]) & (near > -np.inf))
-                        for s in range(0, len(a), 50_000):
-                            u, v = a[s : s + 50_000], rows[b[s : s + 50_000]]
-                            found = (u, ids[v], 1 - _fold(q[u], x[v]) / (q_norm[u] * norms[v]))
-                            kept = tuple(np.concatenate(y) for y in zip(kept, found))
-                            top = _best(*kept, k)
-                            kept = tuple(y[top] for y in kept)
-                        best[d, lo, r] = kept
-        for (d, lo, r), (u, ids, distance) in best.items():
-            yield pa.RecordBatch.from_arrays([pa.array(asked[d][0][lo + u]), pa.array(np.full(len(u), r, np.int32)), pa.array(ids), pa.array(distance)], names=["query_id", "route_order", "id", "distance"])
+            keys, sides = batch.column("cell").to_numpy(), batch.column("is_row").to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero((np.diff(keys) != 0) | np.diff(sides)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+            for lo, hi in zip(edges, edges[1:]):
+                if keys[lo] != cell:
+                    if scored is not None:
+                        yield from scored.found()
+                    cell, queries, scored = keys[lo], [], None
+                if not sides[lo]:
+                    queries.append(batch.slice(lo, hi - lo))
+                elif queries:
+                    scored = scored or _Cell(pa.Table.from_batches(queries), k, routes)
+                    scored.see(batch.slice(lo, hi - lo))
+        if scored is not None:
+            yield from scored.found()
 
     return run
 
@@ -98,24 +123,28 @@ def vector_routes(rows: DataFrame, queries: DataFrame, k: int, routes: Sequence[
 
     A route is a name and a predicate, which applies before the distances; a row may
     be on several. Returns query_id, id, rank, distance, route and route_order.
-    Distances are exact, 1 - cosine in double precision. The query set may grow with
-    the table: it is broadcast in blocks, so rows never move before the ranking, and
-    a task keeps k rows a query and route before the shuffle. Ids are whole numbers;
-    rows with the query's id are no hits of it. Rows and queries without an id or with
-    a vector that is not ``usable`` take no part, nor do pairs of different lengths.
+    Distances are exact, 1 - cosine in double precision. Both sides are dealt to cells:
+    rows in as many parts as there are shuffle partitions, queries in blocks of bounded
+    size, whose number comes from a scalar subquery, so nothing is fetched and no job runs
+    while the plan is made. A cell holds one block of queries, its rows pass in batches, and
+    k rows a query and route leave it. All rows are compared with all queries: the work is
+    their product. Ids are whole numbers; rows with the query's id are no hits of it. Rows
+    and queries without an id or with a vector that is not ``usable`` take no part, nor do
+    pairs of different lengths.
     """
     mask = sum((F.when(F.lit(True) if where is None else where, 1 << r).otherwise(0) for r, (_, where) in enumerate(routes)), F.lit(0))
     fine = rows.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).withColumn("_routes", mask).where("_routes > 0")
     fine = fine.select(F.col(id_col).cast("long").alias("id"), F.col("_routes").cast("int").alias("routes"), F.col(vector_col).cast("array<double>").alias("vector"))
     asked = queries.where(F.col("query_id").isNotNull() & usable(F.col("query_vector"))).select(F.col("query_id").cast("long").alias("id"), F.col("query_vector").cast("array<double>").alias("vector"))
-    n, size = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("vector").cast("long") * 8), F.lit(0))).first()
-    blocks = max(1, -(-n // MAX_QUERIES), -(-size // BLOCK_BYTES))
-    scored = None
-    for i in range(blocks):
-        block = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).toArrow()
-        held = rows.sparkSession.sparkContext.broadcast(_by_length(block.column("id").combine_chunks(), block.column("vector").combine_chunks()))
-        one = fine.mapInArrow(_block_topk(held, k, len(routes)), "query_id long, route_order int, id long, distance double")
-        scored = one if scored is None else scored.union(one)
+    size = F.coalesce(F.sum(F.size("vector").cast("long") * 8), F.lit(0))
+    blocks = asked.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / MAX_QUERIES), F.ceil(size / BLOCK_BYTES)).cast("int").alias("n")).scalar()
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part, block = F.pmod(F.xxhash64("id"), F.lit(parts)), F.pmod(F.xxhash64("id"), blocks)
+    cell = lambda p, b: (p * (1 << 32) + b).alias("cell")
+    whole = fine.withColumn("b", F.explode(F.sequence(F.lit(0), blocks - 1))).select(cell(part, F.col("b")), F.lit(True).alias("is_row"), "id", "routes", "vector")
+    copies = asked.withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))).select(cell(F.col("p"), block), F.lit(False).alias("is_row"), "id", F.lit(0).alias("routes"), "vector")
+    dealt = whole.unionByName(copies).repartition("cell").sortWithinPartitions("cell", "is_row")
+    scored = dealt.mapInArrow(_cells(k, len(routes)), "query_id long, route_order int, id long, distance double")
     rank = F.row_number().over(Window.partitionBy("query_id", "route_order").orderBy("distance", id_col))
     name = F.element_at(F.array(*[F.lit(x) for x, _ in routes]), F.col("route_order") + 1)
     return scored.withColumnRenamed("id", id_col).withColumn("rank", rank).where(F.col("rank") <= k).withColumn("route", name)

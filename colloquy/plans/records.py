@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import intervals, relations
+from ..functions import cleaning as C
+from ..operators import intervals, profiles, relations, sequence, summaries
 from ..sources import conversion, importing
 from ..sources.chat import Identities
 from ..sources.tables import conversation_messages, event_messages, table
+from .conversation import GAP, GAPS, _opening_sql, _openings
 
 WHO = Identities(own=["self", "whatsapp:self", "telegram:self"], friends=["friend", "whatsapp:friend", "telegram:friend"])
 FORMATS = ("canonical", "qq", "weflow", "weflow_chatlab", "douyin", "discord", "telegram", "whatsapp")
@@ -177,8 +179,49 @@ def q85_people(spark, sf):
     return relations.with_people(rows, people, own=["u-self"]).select("message_id", "sender_name", "role")
 
 
+def q86_opening_quality(spark, sf):
+    """Quality of each user's openings: metrics, issues and verdict; every third opening begins with a picture."""
+    shown = F.when(F.col("session_no") % 3 == 0, F.concat(F.lit("[图片] "), "opening")).when(F.col("session_no") % 5 == 0, "[表情]").otherwise(F.col("opening"))
+    rows = _openings(spark, sf).withColumn("opening", shown)
+    out = profiles.opening_quality(rows.withColumn("opening_type", C.opening_type(F.col("opening"))))
+    return out.withColumn("issues", F.array_join("issues", ",")).drop("placeholder_only")
+
+
+def _event_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    return sequence.sessionize(event_messages(spark, sf), GAP)
+
+
+def q87_scheduling_profile(spark, sf):
+    """Hour weights of each user's scheduling profile, from messages."""
+    rows = profiles.profile_of_messages(_event_sessions(spark, sf))
+    return rows.select("source", "sample_size", "self_started_sessions", "total_sessions", F.posexplode("hour_weights").alias("hour", "weight")).withColumn("hour", F.col("hour").cast("long"))
+
+
+def q88_windows_profile(spark, sf):
+    """The same counts and the weights of gaps, rebuilt from stored windows that overlap."""
+    sessions = _event_sessions(spark, sf)
+    windows = sequence.window_chunks(sequence.sliding_windows(sessions, 4, 2))
+    stored = windows.select("source", F.format_string("%06d", "session_no").alias("session_id"), "start_ms", "end_ms", "text")
+    rows = profiles.profile_of_windows(stored, ["friend"], ["self"])
+    return rows.select("source", "sample_size", "self_started_sessions", "total_sessions", F.explode("idle_gap_weights").alias("gap_bucket", "weight"))
+
+
+LIMITS = summaries.SummaryLimits(trigger_messages=3, trigger_chars=400, keep_messages=2, recent_chars=600, batch_chars=500, max_chars=5000)
+
+
+def q89_summary_batches(spark, sf):
+    """What an incremental summary would be told of each conversation: its batches, messages, pieces and symbols."""
+    rows = conversation_messages(spark, sf).select(F.col("source").alias("conversation_id"), "seq", F.when(F.col("role") == "friend", "assistant").when(F.col("role") == "self", "user").otherwise("system").alias("role"), F.col("text").alias("content"))
+    none = spark.createDataFrame([], "conversation_id long, version int, covered long, prefix_digest string, summary string")
+    history = summaries.prefixes(rows)
+    heads = summaries.summary_heads(history, none, LIMITS)
+    told = summaries.summary_batches(history, heads, LIMITS)
+    one = told.groupBy("conversation_id").agg(F.count("*").alias("n_pieces"), F.count_distinct("place").alias("n_told"), F.sum(F.length("content")).alias("n_chars"))
+    return heads.join(one, "conversation_id", "left").select("conversation_id", "n", "split", F.coalesce("n_told", F.lit(0)).alias("n_told"), F.coalesce("n_pieces", F.lit(0)).alias("n_pieces"), F.coalesce("n_chars", F.lit(0)).alias("n_chars"))
+
+
 QUERIES = {f"q{68 + k}_read_{fmt}": _reader(fmt) for k, fmt in enumerate(FORMATS)} | {
-    f.__name__: f for f in (q76_any_export, q77_converted_json, q78_conversion_report, q79_interval_lookup, q80_interval_union, q81_latest_by_key, q82_remember, q83_purge, q84_append_live, q85_people)
+    f.__name__: f for f in (q76_any_export, q77_converted_json, q78_conversion_report, q79_interval_lookup, q80_interval_union, q81_latest_by_key, q82_remember, q83_purge, q84_append_live, q85_people, q86_opening_quality, q87_scheduling_profile, q88_windows_profile, q89_summary_batches)
 }
 
 # twins -------------------------------------------------------------------------------------------
@@ -219,4 +262,27 @@ SQL = {f"q{68 + k}_read_{fmt}": _TWIN[fmt] for k, fmt in enumerate(FORMATS)} | {
     "q84_append_live": f"""SELECT id, sha1(CASE WHEN m THEN 'new ' || text ELSE text END) AS text_sha1, CASE WHEN m THEN 'live' ELSE source END AS source, CASE WHEN m THEN 0.35 ELSE trust_level END::DOUBLE AS trust_level, NOT m AND deleted AS deleted, CASE WHEN m THEN {NOW_MS} ELSE created_at_ms END AS created_at_ms
       FROM (SELECT *, created_at_ms % 7 = 0 AS m FROM ({_LIVE}))""",
     "q85_people": f"""SELECT message_id, CASE role WHEN 'friend' THEN 'Ann' ELSE 'u-' || role END AS sender_name, CASE WHEN kind = 'system' THEN 'system' WHEN role IN ('friend', 'self') THEN role ELSE 'other' END AS role FROM ({_CONV})""",
+    "q86_opening_quality": f"""WITH {GAPS}, a AS (SELECT source, initiator, gap_minutes, CASE WHEN session_no % 3 = 0 THEN '[图片] ' || opening WHEN session_no % 5 = 0 THEN '[表情]' ELSE opening END AS opening FROM opens),
+      b AS (SELECT *, trim(regexp_replace(opening, '\\[(?:图片|表情|动画表情|语音|视频|文件|撤回)\\]', ' ', 'g')) AS bare, {_opening_sql("trim(opening)", False)} AS t, initiator = 'friend' AND coalesce(gap_minutes >= 120, false) AS e FROM a),
+      c AS (SELECT *, len(regexp_extract_all(bare, '[A-Za-z0-9一-鿿]')) AS symbols FROM b),
+      d AS (SELECT source, count(*) AS total_openings, count(*) FILTER (e) AS eligible, count(*) FILTER (e AND symbols > 0) AS meaningful, count(*) FILTER (e AND symbols > 0 AND (t IN ('care', 'continue_topic', 'self_share', 'question_probe') OR symbols >= 8)) AS specific,
+        count(*) FILTER (e AND opening <> bare) AS placeholder, count(*) FILTER (e AND t = 'other') AS x FROM c GROUP BY source),
+      f AS (SELECT * EXCLUDE (x), CASE WHEN eligible > 0 THEN round(meaningful / eligible, 4) ELSE 0.0 END AS meaningful_ratio, CASE WHEN eligible > 0 THEN round(specific / eligible, 4) ELSE 0.0 END AS specific_ratio, CASE WHEN eligible > 0 THEN round(placeholder / eligible, 4) ELSE 0.0 END AS placeholder_ratio,
+        CASE WHEN eligible > 0 THEN round(x / eligible, 4) ELSE 0.0 END AS other_ratio, 0.0::DOUBLE AS attribution_ratio FROM d),
+      g AS (SELECT *, concat_ws(',', CASE WHEN eligible < 12 THEN 'too_few' WHEN eligible < 30 THEN 'few' END, CASE WHEN meaningful_ratio < 0.45 THEN 'meaningless' WHEN meaningful_ratio < 0.7 THEN 'low_information' END, CASE WHEN placeholder_ratio > 0.35 THEN 'placeholders' END,
+        CASE WHEN specific_ratio < 0.3 THEN 'unspecific' END, CASE WHEN other_ratio > 0.6 THEN 'unclassified' END) AS issues FROM f)
+      SELECT *, CASE WHEN specific_ratio < 0.3 OR meaningful_ratio < 0.7 THEN 'high' WHEN placeholder_ratio > 0.2 OR other_ratio > 0.5 THEN 'medium' ELSE 'low' END AS fallback_risk, CASE WHEN eligible < 12 OR meaningful_ratio < 0.45 THEN 'not_ready' WHEN issues <> '' THEN 'limited' ELSE 'ready' END AS status FROM g""",
+    "q87_scheduling_profile": f"""WITH {GAPS}, o AS (SELECT * FROM opens WHERE gap_minutes >= 120), c AS (SELECT source, hour(make_timestamp(opened_ms * 1000)) AS hour, count(*) AS n FROM o WHERE initiator = 'friend' GROUP BY ALL),
+      p AS (SELECT source, max(n) AS peak, sum(n)::BIGINT AS sample_size FROM c GROUP BY source), s AS (SELECT source, count(*) AS total_sessions FROM opens GROUP BY source), w AS (SELECT source, count(*) FILTER (initiator = 'self') AS own FROM o GROUP BY source)
+      SELECT s.source, coalesce(sample_size, 0) AS sample_size, coalesce(own, 0) AS self_started_sessions, total_sessions, h.hour, CASE WHEN peak IS NULL THEN 0.0 ELSE round((coalesce(n, 0) + 1) / (peak + 1), 3) END AS weight
+      FROM s CROSS JOIN (SELECT unnest(range(24)) AS hour) h LEFT JOIN p USING (source) LEFT JOIN w USING (source) LEFT JOIN c ON c.source = s.source AND c.hour = h.hour""",
+    "q88_windows_profile": f"""WITH {GAPS}, o AS (SELECT * FROM opens WHERE gap_minutes >= 120), c AS (SELECT source, gap_bucket, count(*) AS n FROM o WHERE initiator = 'friend' GROUP BY ALL),
+      p AS (SELECT source, max(n) AS peak, sum(n)::BIGINT AS sample_size FROM c GROUP BY source), s AS (SELECT source, count(*) AS total_sessions FROM opens GROUP BY source), w AS (SELECT source, count(*) FILTER (initiator = 'self') AS own FROM o GROUP BY source)
+      SELECT s.source, coalesce(sample_size, 0) AS sample_size, coalesce(own, 0) AS self_started_sessions, total_sessions, b.gap_bucket, CASE WHEN peak IS NULL THEN 0.0 ELSE round((coalesce(n, 0) + 1) / (peak + 1), 3) END AS weight
+      FROM s CROSS JOIN (SELECT unnest({list(profiles.BUCKETS)}) AS gap_bucket) b LEFT JOIN p USING (source) LEFT JOIN w USING (source) LEFT JOIN c ON c.source = s.source AND c.gap_bucket = b.gap_bucket""",
+    "q89_summary_batches": f"""WITH h AS (SELECT source, role, length(text) AS chars, row_number() OVER (PARTITION BY source ORDER BY seq) AS place, row_number() OVER (PARTITION BY source ORDER BY seq DESC) AS back, sum(length(text)) OVER (PARTITION BY source ORDER BY seq DESC ROWS UNBOUNDED PRECEDING) AS upto
+        FROM ({_CONV}) WHERE role IN ('self', 'friend')),
+      k AS (SELECT source, count(*) AS n, sum(chars) AS total, min(CASE WHEN back <= 2 AND upto <= 600 AND role = 'self' THEN place END) AS first FROM h GROUP BY source),
+      t AS (SELECT source, n, CASE WHEN n <= 3 AND total <= 400 THEN 0 ELSE coalesce(first - 1, n) END AS split FROM k)
+      SELECT t.source AS conversation_id, n, split, count(place) AS n_told, coalesce(sum(CASE WHEN place IS NOT NULL THEN greatest(1, ceil(chars / 500.0)) END), 0)::BIGINT AS n_pieces, coalesce(sum(chars), 0)::BIGINT AS n_chars FROM t LEFT JOIN h ON h.source = t.source AND h.place <= t.split GROUP BY ALL""",
 }

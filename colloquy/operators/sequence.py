@@ -78,12 +78,13 @@ def context_frames(sessions: DataFrame, before: int, after: int, keys: Sequence[
     return rows.withColumn("context_before", join(-before, -1)).withColumn("context_after", join(1, after)).drop("_l")
 
 
-def response_pairs(sessions: DataFrame, reply_cap: int, keys: Sequence[str] = ("source", "session_no")) -> DataFrame:
+def response_pairs(sessions: DataFrame, reply_cap: int, keys: Sequence[str] = ("source", "session_no"), identity: Column | None = None) -> DataFrame:
     """Runs of self messages with the friend replies before the next self message.
 
     Only messages with text of their own count (``chunkable``); one of the user's that
     has none ends the run and what may answer it. A run without replies gives no
-    row; at most ``reply_cap`` replies count.
+    row; at most ``reply_cap`` replies count. With an ``identity`` of messages each pair
+    has an id of those it consists of.
     """
     w = in_order(*keys)
     up_to = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -97,7 +98,14 @@ def response_pairs(sessions: DataFrame, reply_cap: int, keys: Sequence[str] = ("
     kept = rows.where(F.col("_s") | (F.col("_k") <= reply_cap))
     item = F.struct("timestamp_ms", "seq", F.trim("text").alias("t"))
     texts = lambda cond: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, item))), lambda x: x["t"]), "\n\n")
+    ids = []
+    if identity is not None:
+        part = F.struct(F.when(F.col("_s"), 0).otherwise(1).alias("side"), "timestamp_ms", "seq", F.concat(F.when(F.col("_s"), "u:").otherwise("f:"), identity).alias("t"))
+        name = F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"]), "|")
+        listed = lambda cond: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("timestamp_ms", "seq", "message_id")))), lambda x: x["message_id"])
+        ids = [F.concat(F.lit("pair-"), F.substring(F.sha1(name), 1, 16)).alias("pair_id"), listed(F.col("_s")).alias("user_message_ids"), listed(~F.col("_s")).alias("friend_message_ids"), F.min("seq").alias("start_seq"), F.max("seq").alias("end_seq")]
     out = kept.groupBy(*keys, "_run").agg(
+        *ids,
         texts(F.col("_s")).alias("user_text"), texts(~F.col("_s")).alias("friend_reply"),
         F.count_if(F.col("_s")).alias("n_user"), F.count_if(~F.col("_s")).alias("n_reply"),
         F.min("timestamp_ms").alias("start_time_ms"), F.max(F.when(~F.col("_s"), F.col("timestamp_ms"))).alias("end_time_ms"),

@@ -91,6 +91,21 @@ def q76_any_export(spark, sf):
     return rows.select(F.regexp_extract("file", "^[0-9]+", 0).cast("long").alias("source"), "format", "timestamp_ms", "role", "kind", F.sha1("text").alias("text_sha1"))
 
 
+def q90_distinct_messages(spark, sf):
+    """Two exports of the same chats, one of which ends early, as one relation."""
+    messages = conversation_messages(spark, sf)
+    early = exported(messages.where("seq < 3"), "canonical")
+    files = exported(messages, "canonical").unionByName(early.withColumn("file", F.concat(F.lit("early-"), "file")))
+    rows = importing.distinct_messages(importing.messages_of(files, WHO, "canonical"))
+    return rows.groupBy("role", "kind").agg(F.count("*").alias("n"), F.sum("timestamp_ms").alias("sum_ms"), F.count_distinct("message_id").alias("n_ids"))
+
+
+def q91_import_pairs(spark, sf):
+    """Pairs that an import of all conversations stores."""
+    done = importing.import_chats(exported(conversation_messages(spark, sf), "canonical"), WHO, name="canonical")
+    return done["response_pairs"].select("id", F.size("user_message_ids").alias("n_user"), F.size("friend_message_ids").alias("n_friend"), "start_time_ms", "end_time_ms", "source")
+
+
 SPEC = {"messages_path": "/log/messages", "sender_id": "by.id", "text": "/says", "timestamp": "at", "kind": "as"}
 
 
@@ -221,7 +236,7 @@ def q89_summary_batches(spark, sf):
 
 
 QUERIES = {f"q{68 + k}_read_{fmt}": _reader(fmt) for k, fmt in enumerate(FORMATS)} | {
-    f.__name__: f for f in (q76_any_export, q77_converted_json, q78_conversion_report, q79_interval_lookup, q80_interval_union, q81_latest_by_key, q82_remember, q83_purge, q84_append_live, q85_people, q86_opening_quality, q87_scheduling_profile, q88_windows_profile, q89_summary_batches)
+    f.__name__: f for f in (q76_any_export, q77_converted_json, q78_conversion_report, q79_interval_lookup, q80_interval_union, q81_latest_by_key, q82_remember, q83_purge, q84_append_live, q85_people, q86_opening_quality, q87_scheduling_profile, q88_windows_profile, q89_summary_batches, q90_distinct_messages, q91_import_pairs)
 }
 
 # twins -------------------------------------------------------------------------------------------
@@ -285,4 +300,11 @@ SQL = {f"q{68 + k}_read_{fmt}": _TWIN[fmt] for k, fmt in enumerate(FORMATS)} | {
       k AS (SELECT source, count(*) AS n, sum(chars) AS total, min(CASE WHEN back <= 2 AND upto <= 600 AND role = 'self' THEN place END) AS first FROM h GROUP BY source),
       t AS (SELECT source, n, CASE WHEN n <= 3 AND total <= 400 THEN 0 ELSE coalesce(first - 1, n) END AS split FROM k)
       SELECT t.source AS conversation_id, n, split, count(place) AS n_told, coalesce(sum(CASE WHEN place IS NOT NULL THEN greatest(1, ceil(chars / 500.0)) END), 0)::BIGINT AS n_pieces, coalesce(sum(chars), 0)::BIGINT AS n_chars FROM t LEFT JOIN h ON h.source = t.source AND h.place <= t.split GROUP BY ALL""",
+    "q90_distinct_messages": f"SELECT role, kind, count(*) AS n, sum(timestamp_ms)::BIGINT AS sum_ms, count(DISTINCT message_id) AS n_ids FROM ({_CONV}) GROUP BY ALL",
+    "q91_import_pairs": f"""WITH m AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY timestamp_ms, seq) - 1 AS place FROM ({_CONV})),
+      r AS (SELECT *, sum(b) OVER (PARTITION BY source ORDER BY place ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN role = 'self' AND lag(role) OVER (PARTITION BY source ORDER BY place) IS DISTINCT FROM 'self' THEN 1 ELSE 0 END AS b FROM m)),
+      k AS (SELECT *, CASE WHEN role = 'friend' THEN row_number() OVER (PARTITION BY source, run, role ORDER BY place) END AS k FROM r WHERE run > 0 AND role IN ('self', 'friend')),
+      p AS (SELECT *, message_id || '|' || place || '|' || timestamp_ms || '|' || role AS identity FROM k WHERE role = 'self' OR k <= 4)
+      SELECT 'pair-' || substr(sha1(string_agg(CASE role WHEN 'self' THEN 'u:' ELSE 'f:' END || identity, '|' ORDER BY role = 'friend', place)), 1, 16) AS id, count(*) FILTER (role = 'self') AS n_user, count(*) FILTER (role = 'friend') AS n_friend,
+        min(timestamp_ms) AS start_time_ms, max(timestamp_ms) FILTER (role = 'friend') AS end_time_ms, 'human_original' AS source FROM p GROUP BY p.source, run HAVING count(*) FILTER (role = 'friend') > 0 AND count(*) FILTER (role = 'self') > 0""",
 }

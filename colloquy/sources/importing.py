@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.cleaning import strip
+from ..functions.cleaning import chunkable, clean_message, strip, warmth
 from ..functions.scalars import parse_int
-from ..operators.relations import refs_with_files, refs_with_messages, reuse_descriptions
-from ..operators.sequence import context_frames, sessionize
+from ..operators.relations import import_totals, refs_with_files, refs_with_messages, reuse_descriptions
+from ..operators.sequence import context_frames, message_identity, message_tags, response_pairs, session_summary, sessionize, sliding_windows, window_chunks
 from . import chat, exports
 from .chat import Identities, _get, _items, json_lines, read_payloads
 
@@ -81,6 +81,60 @@ def inspect_chats(spark: SparkSession, path: str, most: int = 20) -> DataFrame:
     return files.join(counts, "file", "left").join(listed, "file", "left").select("file", "format", F.coalesce("n_messages", F.lit(0)).alias("n_messages"), "people", F.when(F.col("format").isNull(), F.col("_why")).alias("error"))
 
 
+# the chain ---------------------------------------------------------------------------------------
+
+#: Ids that a reader made up because an export has none: by place, or by file and line.
+_OWN_IDS = r"^local-[0-9]+$|-[0-9a-f]{12}-[0-9]+$"
+#: Trust in what people wrote themselves, and platforms whose ids stay the same in every export.
+ORIGINAL, TRUST = "human_original", 1.0
+_STABLE = "^(?:discord_|telegram_|whatsapp_)"
+
+
+def distinct_messages(messages: DataFrame) -> DataFrame:
+    """Messages of overlapping exports once: the first of each identity.
+
+    An identity is format, sender, platform's id where there is one, time, type, text,
+    placeholders and what is replied to. The first is an aggregate, so copies don't meet sorted.
+    """
+    own = F.when(F.col("message_id").rlike(_OWN_IDS), "").otherwise(F.col("message_id"))
+    identity = [F.col("format"), F.col("sender_uid"), own.alias("_id"), F.col("timestamp_ms"), F.col("raw_type"), F.col("text"), F.col("placeholders"), F.col("reply_to_id")]
+    first = messages.groupBy(*identity).agg(F.min_by(F.struct(*messages.columns), F.struct("file", "seq", "message_id")).alias("_m"))
+    return first.select("_m.*")
+
+
+def import_chats(payloads: DataFrame, who: Identities = Identities(), own_names: tuple[str, ...] = (), other_names: tuple[str, ...] = (), name: str | None = None, gap_minutes: int = 30, window: int = 12, overlap: int = 3, before: int = 6, after: int = 2, replies: int = 4) -> dict[str, DataFrame]:
+    """Everything that an import makes of files: messages, friend_messages, dialogue_windows, response_pairs and totals.
+
+    Overlapping files are read once. Rows have the columns and the provenance of the stored
+    tables, but for vectors; ids derive from contents, so importing again changes nothing.
+    """
+    messages = distinct_messages(messages_of(payloads, who, name))
+    clean = clean_message(F.col("text"), F.col("kind"), F.col("raw_type"), F.col("placeholders"), own_names, other_names, who.own, who.friends)
+    sessions = sessionize(messages.withColumns({"source": F.col("file"), "text": clean}), gap_minutes)
+    named = session_summary(sessions).select("source", "session_no", "session_id")
+    framed = context_frames(sessions, before, after).join(named, ["source", "session_no"])
+    identity = message_identity(F.col("raw_type").rlike(_STABLE))
+    stored = lambda rows: rows.withColumns({"source": F.lit(ORIGINAL), "trust_level": F.lit(TRUST), "deleted": F.lit(False)})
+    snippet = F.concat_ws("\n", F.nullif("context_before", F.lit("")), F.concat(F.lit("friend: "), "text"), F.nullif("context_after", F.lit("")))
+    friend = framed.where((F.col("role") == "friend") & chunkable(F.col("kind"), F.col("text"))).select(
+        F.concat(F.lit("friend-"), F.substring(F.sha1(identity), 1, 16)).alias("id"), "text", snippet.alias("dialogue_snippet"), "context_before", "context_after", "message_id", "session_id", "seq", "timestamp_ms", warmth(F.col("text")).alias("warmth"),
+        message_tags(F.col("has_media"), F.col("reply_to_id"), F.col("kind")).alias("tags"), "file",
+    )
+    windows = sliding_windows(sessions, window, overlap)
+    media = windows.groupBy("source", "session_no", "window_no").agg(F.max("has_media").alias("has_media"))
+    chunks = window_chunks(windows).join(media, ["source", "session_no", "window_no"]).join(named, ["source", "session_no"])
+    chunks = chunks.select(F.col("chunk_id").alias("id"), "text", F.lit("").alias("summary"), "session_id", "start_seq", "end_seq", F.col("start_ms").alias("start_time_ms"), F.col("end_ms").alias("end_time_ms"), "message_count", "has_media", F.col("source").alias("file"))
+    pairs = response_pairs(sessions, replies, identity=identity).join(named, ["source", "session_no"])
+    said = F.concat(F.lit("self: "), "user_text", F.lit("\nfriend: "), "friend_reply")
+    pairs = pairs.select(F.col("pair_id").alias("id"), F.col("user_text").alias("text"), "friend_reply", said.alias("dialogue_snippet"), "user_message_ids", "friend_message_ids", "session_id", "start_seq", "end_seq", "start_time_ms", "end_time_ms", warmth(F.col("friend_reply")).alias("warmth"), F.col("source").alias("file"))
+    # an id that two files give is one row
+    one = lambda rows: stored(rows.groupBy("id").agg(F.min_by(F.struct(*[c for c in rows.columns if c not in ("id", "file")]), "file").alias("_r")).select("id", "_r.*"))
+    per = sessions.groupBy("file").agg(F.count("*").alias("messages"))
+    made = friend.select("file", "id").union(chunks.select("file", "id")).union(pairs.select("file", "id")).groupBy("file").agg(F.count_distinct("id").alias("chunks"))
+    files = payloads.select("file").join(per, "file", "left").join(made, "file", "left").withColumn("error", F.when(F.col("messages").isNull(), "no messages"))
+    return {"messages": sessions, "friend_messages": one(friend), "dialogue_windows": one(chunks), "response_pairs": one(pairs), "totals": import_totals(files)}
+
+
 # images ------------------------------------------------------------------------------------------
 
 

@@ -274,6 +274,27 @@ SOURCE_LABELS = {
 }
 
 
+# fixed values: which provenance counts for what
+PERSONA_SOURCES = ("human_original", "history")
+CONTINUITY_SOURCES = ("user_new", "ai_generated", "live")
+
+
+def persona_eligible(source: Column) -> Column:
+    """Whether a row is evidence of how a person writes: only what people wrote themselves is."""
+    return F.coalesce(source.isin(*PERSONA_SOURCES), F.lit(False))
+
+
+def continuity_eligible(source: Column) -> Column:
+    """Whether a row may be found again as part of a running conversation."""
+    return F.coalesce(source.isin(*CONTINUITY_SOURCES), F.lit(False))
+
+
+def cache_key(*parts: Column) -> Column:
+    """Key of what was computed from some values: a digest of their JSON, nulls included."""
+    named = [p.alias(f"p{i}") for i, p in enumerate(parts)]
+    return F.sha2(F.to_json(F.struct(*named), {"ignoreNullFields": "false"}), 256)
+
+
 def source_label(source: Column) -> Column:
     """Shown name of a provenance."""
     known = F.create_map(*[F.lit(x) for kv in SOURCE_LABELS.items() for x in kv])

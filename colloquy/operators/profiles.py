@@ -159,6 +159,18 @@ def earliest_schedule_ms(now_ms: Column, idle_minutes: Column, quiet_end: Column
     return F.greatest(now_ms + F.greatest(base, F.coalesce(rest, base)) * 1000, F.coalesce(quiet_end, now_ms))
 
 
+def next_profile_ms(earliest_ms: Column, hour_weights: Column, weekday_weights: Column, zone: str = "UTC") -> Column:
+    """The first time, in steps of a quarter of an hour within 36 hours, at which a person usually writes; the earliest where there is none.
+
+    That is an hour with a weight of 0.45 and three quarters of the largest, on a weekday with any.
+    """
+    peak = F.array_max(hour_weights)
+    steps = F.transform(F.sequence(F.lit(0), F.lit(36 * 4 - 1)), lambda k: earliest_ms + k.cast("long") * 900_000)
+    local = lambda ms: F.from_utc_timestamp(F.timestamp_millis(ms), zone)
+    fits = lambda ms: (F.get(hour_weights, F.hour(local(ms))) >= F.greatest(F.lit(0.45), peak * 0.75)) & (F.get(weekday_weights, F.weekday(local(ms))) > 0)
+    return F.when(peak > 0, F.coalesce(F.get(F.filter(steps, fits), F.lit(0)), earliest_ms)).otherwise(earliest_ms)
+
+
 # quality -----------------------------------------------------------------------------------------
 
 

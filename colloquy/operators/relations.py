@@ -138,6 +138,17 @@ def slowest(records: DataFrame, n: int, keys: list[str], duration: str) -> DataF
     return records.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
 
 
+def listed_windows(windows: DataFrame, most: int = 10_000) -> DataFrame:
+    """Windows by their bounds, the first ``most`` of all: the cut comes after the order."""
+    return windows.orderBy("start_time_ms", "end_time_ms", "id").limit(most)
+
+
+def offered_stickers(stickers: DataFrame, most: int = 30) -> DataFrame:
+    """Stickers that the assistant may use: its own and shared ones, those with most tags first, then the oldest."""
+    tags = F.size(F.coalesce("tags", F.array().cast("array<string>")))
+    return stickers.where(F.col("owner").isin("ai", "shared")).orderBy(F.desc(tags), "created_at_ms", "id").limit(most)
+
+
 def import_totals(files: DataFrame) -> DataFrame:
     """Totals over imported files: files, failures, messages, chunks."""
     return files.agg(F.count("*").alias("n_files"), F.count_if(F.col("error").isNotNull()).alias("n_failed"), F.coalesce(F.sum("messages"), F.lit(0)).alias("messages"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks"))

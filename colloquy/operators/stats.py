@@ -141,6 +141,25 @@ def reply_profile(pairs: DataFrame, key: str, reply: str = "reply") -> DataFrame
     )
 
 
+def burst_profile(pairs: DataFrame, key: str, reply: str = "reply") -> DataFrame:
+    """How the playful, chaotic replies of each key look: count, confidence, mean length and shares; keys without any have no row."""
+    some = pairs.where(C.is_burst(F.col(reply)))
+    return reply_profile(some, key, reply).select(key, "n", "confidence", "mean_chars", "question", "emoji", "image")
+
+
+def selected_scenes(queries: DataFrame, scenes: DataFrame, key: str, query: str = "query", most: int = 2) -> DataFrame:
+    """Which scene profiles of its owner a query is answered with, at most ``most``: its own scene and casual, else those with most evidence.
+
+    ``queries`` has query_id, key and the query's text; ``scenes`` key, scene and n.
+    """
+    asked = queries.select("query_id", key, C.scene(F.col(query)).alias("_own")).join(scenes, key)
+    order = F.when(F.col("scene") == F.col("_own"), 0).when(F.col("scene") == "casual", 1).otherwise(2)
+    w = Window.partitionBy("query_id")
+    rows = asked.withColumn("_o", order).withColumn("_best", F.min("_o").over(w)).where((F.col("_o") < 2) | (F.col("_best") == 2))
+    place = F.row_number().over(w.orderBy("_o", F.desc("n"), "scene"))
+    return rows.withColumn("place", place).where(F.col("place") <= most).select("query_id", key, "scene", "place")
+
+
 def circadian(messages: DataFrame, hour: Column, weekday: Column, key: str, least: int = 30) -> DataFrame:
     """Histograms of the hours of all days, weekdays and weekends, each relative to its peak, and the share at night.
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
+from ..functions import scalars as S
 from ..operators import intervals, profiles, relations, sequence, summaries
 from ..sources import conversion, importing
 from ..sources.chat import Identities
@@ -221,6 +222,21 @@ def q88_windows_profile(spark, sf):
     return rows.select("source", "sample_size", "self_started_sessions", "total_sessions", F.explode("idle_gap_weights").alias("gap_bucket", "weight"))
 
 
+def q92_next_schedule(spark, sf):
+    """When each user is looked at next: an interval after the last event, out of quiet hours, in an hour of the profile."""
+    rows = profiles.profile_of_messages(_event_sessions(spark, sf))
+    last = event_messages(spark, sf).groupBy("source").agg(F.max("timestamp_ms").alias("now_ms"))
+    earliest = profiles.earliest_schedule_ms(F.col("now_ms"), F.col("source") % 240, S.quiet_end_ms(F.col("now_ms"), 1380, 480))
+    both = rows.join(last, "source").withColumn("earliest_ms", earliest)
+    return both.select("source", "earliest_ms", profiles.next_profile_ms(F.col("earliest_ms"), F.col("hour_weights"), F.col("weekday_weights")).alias("next_ms"))
+
+
+def q93_provenance(spark, sf):
+    """What of the stored rows counts as evidence of style, and what for a running conversation."""
+    rows = _live(spark, sf).withColumn("source", F.when(F.col("deleted"), "human_original").otherwise(F.col("source")))
+    return rows.groupBy("source").agg(F.count("*").alias("n"), F.count_if(S.persona_eligible(F.col("source"))).alias("n_persona"), F.count_if(S.continuity_eligible(F.col("source"))).alias("n_continuity"))
+
+
 LIMITS = summaries.SummaryLimits(trigger_messages=3, trigger_chars=400, keep_messages=2, recent_chars=600, batch_chars=500, max_chars=5000)
 
 
@@ -236,7 +252,7 @@ def q89_summary_batches(spark, sf):
 
 
 QUERIES = {f"q{68 + k}_read_{fmt}": _reader(fmt) for k, fmt in enumerate(FORMATS)} | {
-    f.__name__: f for f in (q76_any_export, q77_converted_json, q78_conversion_report, q79_interval_lookup, q80_interval_union, q81_latest_by_key, q82_remember, q83_purge, q84_append_live, q85_people, q86_opening_quality, q87_scheduling_profile, q88_windows_profile, q89_summary_batches, q90_distinct_messages, q91_import_pairs)
+    f.__name__: f for f in (q76_any_export, q77_converted_json, q78_conversion_report, q79_interval_lookup, q80_interval_union, q81_latest_by_key, q82_remember, q83_purge, q84_append_live, q85_people, q86_opening_quality, q87_scheduling_profile, q88_windows_profile, q89_summary_batches, q90_distinct_messages, q91_import_pairs, q92_next_schedule, q93_provenance)
 }
 
 # twins -------------------------------------------------------------------------------------------
@@ -307,4 +323,15 @@ SQL = {f"q{68 + k}_read_{fmt}": _TWIN[fmt] for k, fmt in enumerate(FORMATS)} | {
       p AS (SELECT *, message_id || '|' || place || '|' || timestamp_ms || '|' || role AS identity FROM k WHERE role = 'self' OR k <= 4)
       SELECT 'pair-' || substr(sha1(string_agg(CASE role WHEN 'self' THEN 'u:' ELSE 'f:' END || identity, '|' ORDER BY role = 'friend', place)), 1, 16) AS id, count(*) FILTER (role = 'self') AS n_user, count(*) FILTER (role = 'friend') AS n_friend,
         min(timestamp_ms) AS start_time_ms, max(timestamp_ms) FILTER (role = 'friend') AS end_time_ms, 'human_original' AS source FROM p GROUP BY p.source, run HAVING count(*) FILTER (role = 'friend') > 0 AND count(*) FILTER (role = 'self') > 0""",
+    "q92_next_schedule": f"""WITH {GAPS}, o AS (SELECT source, hour(make_timestamp(opened_ms * 1000)) AS h, isodow(make_timestamp(opened_ms * 1000)) - 1 AS d FROM opens WHERE gap_minutes >= 120 AND initiator = 'friend'),
+      hc AS (SELECT source, h, count(*) AS n FROM o GROUP BY ALL), hp AS (SELECT source, max(n) AS peak FROM hc GROUP BY source), dp AS (SELECT source, d FROM o GROUP BY ALL),
+      hw AS (SELECT hp.source, x.h, round((coalesce(n, 0) + 1) / (peak + 1), 3) AS w FROM hp CROSS JOIN (SELECT unnest(range(24)) AS h) x LEFT JOIN hc ON hc.source = hp.source AND hc.h = x.h),
+      l AS (SELECT source, max(timestamp_ms) AS now_ms FROM ev GROUP BY source),
+      q AS (SELECT source, now_ms, (now_ms // 60000) % 1440 AS m, (now_ms // 86400000) * 86400000 + 480 * 60000 AS c FROM l),
+      e AS (SELECT source, greatest(now_ms + greatest(600, CASE WHEN source % 240 < 120 THEN (120 - source % 240) * 60 ELSE 600 END) * 1000, CASE WHEN m >= 1380 OR m < 480 THEN CASE WHEN c <= now_ms THEN c + 86400000 ELSE c END ELSE now_ms END)::BIGINT AS earliest_ms FROM q),
+      t AS (SELECT e.source, e.earliest_ms, unnest(range(144)) AS k FROM e),
+      f AS (SELECT t.source, min(t.earliest_ms + k * 900000) AS next_ms FROM t JOIN (SELECT source, h, w, max(w) OVER (PARTITION BY source) AS top FROM hw) y ON y.source = t.source AND y.h = hour(make_timestamp((t.earliest_ms + k * 900000) * 1000)) WHERE y.w >= greatest(0.45, 0.75 * y.top) GROUP BY t.source)
+      SELECT e.source, e.earliest_ms, coalesce(f.next_ms, e.earliest_ms) AS next_ms FROM e LEFT JOIN f USING (source)""",
+    "q93_provenance": f"""SELECT source, count(*) AS n, count(*) FILTER (source IN ('human_original', 'history')) AS n_persona, count(*) FILTER (source IN ('user_new', 'ai_generated', 'live')) AS n_continuity
+      FROM (SELECT CASE WHEN deleted THEN 'human_original' ELSE source END AS source FROM ({_LIVE})) GROUP BY source""",
 }

@@ -112,3 +112,16 @@ def test_quality_metrics_and_issues(spark):
     assert long.issues == [] and long.specific == 30
     told = quality(spark, [(*r, "care" if k < 20 else None) for k, r in enumerate(fine)], True)
     assert (told.issues, told.attribution_ratio, told.status) == (["unattributed"], 0.6667, "limited")
+
+
+def test_next_time_of_a_profile(spark):
+    def weights(**by):
+        return [by.get(f"h{k}", 0.1) for k in range(24)]
+
+    monday = [0.0] * 7
+    rows = spark.createDataFrame([
+        (0, START + 60_000, weights(h5=1.0, h3=0.7), [1.0] * 7), (1, START + 60_000, weights(h5=1.0, h3=0.8), [1.0] * 7), (2, START, [0.0] * 24, [1.0] * 7), (3, START, weights(h5=1.0), monday), (4, START, weights(h1=0.3), [1.0] * 7), (5, START + 6 * HOUR, weights(h5=1.0), [0.5, 0.0] + [1.0] * 5),
+    ], "n int, at long, hours array<double>, days array<double>")
+    got = {r.n: r.t - START for r in rows.select("n", P.next_profile_ms(F.col("at"), F.col("hours"), F.col("days")).alias("t")).collect()}
+    # 0.7 is below three quarters of the peak; 0.3 is below 0.45; on Tuesday nobody writes, and Wednesday is too far
+    assert got == {0: 5 * HOUR + 60_000, 1: 3 * HOUR + 60_000, 2: 0, 3: 0, 4: 0, 5: 6 * HOUR}

@@ -141,11 +141,12 @@ def tail_budget(messages: DataFrame, max_messages: int, max_chars: int, key: str
     return within.withColumn("_f", first).where(F.col("_n") <= F.col("_f")).drop("_n", "_c", "_f")
 
 
-def opening_messages(sessions: DataFrame) -> DataFrame:
-    """First human message of every session."""
-    human = sessions.where(F.col("role").isin("self", "friend"))
-    row = F.min_by(F.struct("role", "timestamp_ms", "seq", "text", "kind"), F.struct(*ORDER))
-    return human.groupBy("source", "session_no").agg(row.alias("o")).select("source", "session_no", F.col("o.role").alias("initiator"), F.col("o.timestamp_ms").alias("opened_ms"), F.col("o.text").alias("opening"))
+def session_openings(sessions: DataFrame) -> DataFrame:
+    """First human message of every session, with the pause before it: one aggregate gives both bounds and message."""
+    human = F.col("role").isin("self", "friend")
+    first = F.min_by(F.when(human, F.struct("role", "timestamp_ms", "text")), F.when(human, F.struct(*ORDER)))
+    one = sessions.groupBy("source", "session_no").agg(F.min("timestamp_ms").alias("start_ms"), F.max("timestamp_ms").alias("end_ms"), first.alias("o"))
+    return idle_gaps(one).where("o is not null").select("source", "session_no", F.col("o.role").alias("initiator"), F.col("o.timestamp_ms").alias("opened_ms"), F.col("o.text").alias("opening"), "gap_minutes", "gap_bucket")
 
 
 def budget_context(sessions: DataFrame, budget: int, keys: Sequence[str] = ("source", "session_no")) -> DataFrame:
@@ -227,10 +228,16 @@ def even_sample(rows: DataFrame, n: int, keys: Sequence[str], order: Sequence[st
     return kept.drop("_i", "_n")
 
 
+#: Ranges of equal width that a bucket's order is counted in.
+_RANGES = 1024
+
+
 def length_quota_sample(rows: DataFrame, n: int, length: Column, key: str, order: Sequence[str], shares: Sequence[int] = (3, 4, 3), bounds: Sequence[int] = (8, 30)) -> DataFrame:
     """Up to ``n`` rows of each key, spread evenly over short, middle and long ones by ``shares``.
 
-    What a bucket cannot fill goes to the others, the middle one first.
+    What a bucket cannot fill goes to the others, the middle one first. The first column
+    of ``order`` is a number; its range is counted in ``_RANGES`` parts, so that no bucket is
+    sorted as a whole.
     """
     bucket = F.when(length < bounds[0], 0).when(length <= bounds[1], 1).otherwise(2)
     rows = rows.withColumn("_b", bucket)
@@ -243,11 +250,17 @@ def length_quota_sample(rows: DataFrame, n: int, length: Column, key: str, order
         more = F.least(F.col(f"_h{b}") - got[b], spare)
         take[b], spare = got[b] + more, spare - more
     plan = have.select(key, F.posexplode(F.array(*[take[b].cast("long") for b in range(3)])).alias("_b", "_take"))
-    w = Window.partitionBy(key, "_b").orderBy(*order)
-    at = rows.join(plan, [key, "_b"]).withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(key, "_b")))
-    j = F.ceil(F.col("_i") * F.col("_take") / F.col("_n"))
-    kept = at.where((F.col("_take") > 0) & (j < F.col("_take")) & (F.floor(j * F.col("_n") / F.col("_take")) == F.col("_i")))
-    return kept.drop("_b", "_take", "_i", "_n")
+    # the wanted places of a bucket lie in few ranges of its order: only those are numbered
+    first = F.col(order[0]).cast("double")
+    spans = rows.groupBy(key, "_b").agg(F.min(first).alias("_lo"), F.max(first).alias("_hi"), F.count("*").alias("_n"))
+    at = rows.join(spans, [key, "_b"]).withColumn("_r", F.floor((first - F.col("_lo")) * _RANGES / (F.col("_hi") - F.col("_lo") + 1)))
+    counts = at.groupBy(key, "_b", "_r").agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy(key, "_b").orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")
+    places = plan.where("_take > 0").join(spans.select(key, "_b", "_n"), [key, "_b"])
+    places = places.withColumn("_at", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("_take") - 1), lambda j: F.floor(j * F.col("_n") / F.col("_take"))))).select(key, "_b", "_at")
+    wanted = places.join(counts.withColumn("_before", before), [key, "_b"]).where("_at >= _before and _at < _before + _c").select(key, "_b", "_r", (F.col("_at") - F.col("_before")).alias("_i"))
+    some = at.join(wanted.select(key, "_b", "_r").distinct(), [key, "_b", "_r"], "left_semi").withColumn("_i", F.row_number().over(Window.partitionBy(key, "_b", "_r").orderBy(*order)) - 1)
+    return some.join(wanted, [key, "_b", "_r", "_i"], "left_semi").drop("_b", "_i", "_n", "_lo", "_hi", "_r")
 
 
 def occurrence(rows: DataFrame, digest: Sequence[str], order: Sequence[str]) -> DataFrame:

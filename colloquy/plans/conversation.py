@@ -130,9 +130,7 @@ def q16_idle_gaps(spark, sf):
 
 
 def _openings(spark, sf):
-    s = _sessions(spark, sf)
-    gaps = sequence.idle_gaps(sequence.session_summary(s)).select("source", "session_no", "gap_minutes", "gap_bucket")
-    return sequence.opening_messages(s).join(gaps, ["source", "session_no"])
+    return sequence.session_openings(_sessions(spark, sf))
 
 
 def q17_opening_stats(spark, sf):

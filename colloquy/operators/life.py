@@ -16,7 +16,7 @@ from .intervals import first_interval
 AVAILABILITIES = ("available", "busy", "sleeping", "away")
 INTERRUPTS = ("在干嘛", "在干什么", "干嘛呢", "忙吗", "吃了吗", "吃饭", "睡了吗", "睡了没", "醒了吗", "起了吗", "起床", "怎么还没睡", "你呢", "what are you doing", "are you busy", "have you eaten", "are you awake", "are you asleep")
 SLEEPLESS = ("睡不着", "没睡", "还没睡", "熬夜", "睡不下", "失眠", "can't sleep", "cannot sleep", "still awake", "insomnia", "staying up")
-WOKEN = ("half-awake", "half awake", "woken", "just woke", "drowsy", "checking phone", "叫醒", "半醒", "迷糊", "看手机", "睁眼", "翻身", "翻了个身", "迷迷糊糊")
+WOKEN = ("half-awake", "half awake", "woken", "just woke", "drowsy", "checking phone", "叫醒", "半醒", "迷糊", "看手机", "睁眼", "翻身", "翻了个身", "迷迷糊糊", "刚醒", "醒着")
 PLAN_FIELDS = ("id", "from", "to", "activity", "availability", "topic")
 FIELD_SYMBOLS, PLAN_ITEMS, TIMELINE = 80, 12, 80
 WOKEN_MS, SHORTEST_MS, LONGEST_MS = 25 * 60_000, 10 * 60_000, 10 * 3_600_000
@@ -147,8 +147,11 @@ def timeline(states: DataFrame, key: str, at: str, most: int = TIMELINE) -> Data
 def habit_candidates(items: DataFrame, owner: str = "owner", least: float = 0.5, most: int = 6) -> DataFrame:
     """The surest habits of an owner's friend that aren't sensitive, for a day's plan.
 
-    ``items`` has owner, subject, claim, confidence and sensitive.
+    ``items`` has owner, subject, claim, confidence, sensitive and, if they are told,
+    target_fields (an array): habits that bear on none of a state's fields are left out.
     """
     fine = (F.col("subject") == "friend") & (F.col("confidence") >= least) & ~F.coalesce("sensitive", F.lit(False)) & (strip(F.coalesce("claim", F.lit(""))) != "")
+    if "target_fields" in items.columns:
+        fine = fine & (F.size(F.coalesce("target_fields", F.array().cast("array<string>"))) > 0)
     place = F.row_number().over(Window.partitionBy(owner).orderBy(F.desc("confidence"), "claim"))
     return items.where(fine).withColumn("place", place).where(F.col("place") <= most)

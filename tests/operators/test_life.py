@@ -94,3 +94,5 @@ def test_timelines_and_habits(spark):
     assert sorted((r["key"], r.at, r.place) for r in got) == [("a", k, k - 19) for k in range(20, 100)] + [("b", 5, 1)]
     items = spark.createDataFrame([("o", "friend", f"c{k}", 0.4 + k / 20, k == 3) for k in range(10)] + [("o", "self", "x", 0.9, False), ("o", "friend", " ", 0.9, False), ("o", "friend", "n", 0.95, None)], "owner string, subject string, claim string, confidence double, sensitive boolean")
     assert [r.claim for r in life.habit_candidates(items).orderBy("place").collect()] == ["n", "c9", "c8", "c7", "c6", "c5"]
+    told = items.withColumn("target_fields", F.when(F.col("claim") == "c9", F.array(F.lit("recent_meal"))))
+    assert [r.claim for r in life.habit_candidates(told).collect()] == ["c9"]

@@ -140,10 +140,11 @@ def vector_routes(rows: DataFrame, queries: DataFrame, k: int, routes: Sequence[
     blocks = asked.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / MAX_QUERIES), F.ceil(size / BLOCK_BYTES)).cast("int").alias("n")).scalar()
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part, block = F.pmod(F.xxhash64("id"), F.lit(parts)), F.pmod(F.xxhash64("id"), blocks)
-    cell = lambda p, b: (p * (1 << 32) + b).alias("cell")
-    whole = fine.withColumn("b", F.explode(F.sequence(F.lit(0), blocks - 1))).select(cell(part, F.col("b")), F.lit(True).alias("is_row"), "id", "routes", "vector")
-    copies = asked.withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))).select(cell(F.col("p"), block), F.lit(False).alias("is_row"), "id", F.lit(0).alias("routes"), "vector")
-    dealt = whole.unionByName(copies).repartition("cell").sortWithinPartitions("cell", "is_row")
+    # the cells of one block are dealt to as many tasks, one each
+    cell = lambda p, b: [(p * (1 << 32) + b).alias("cell"), (p + b).cast("int").alias("at")]
+    whole = fine.withColumn("b", F.explode(F.sequence(F.lit(0), blocks - 1))).select(*cell(part, F.col("b")), F.lit(True).alias("is_row"), "id", "routes", "vector")
+    copies = asked.withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))).select(*cell(F.col("p"), block), F.lit(False).alias("is_row"), "id", F.lit(0).alias("routes"), "vector")
+    dealt = whole.unionByName(copies).repartitionById(parts, "at").drop("at").sortWithinPartitions("cell", "is_row")
     scored = dealt.mapInArrow(_cells(k, len(routes)), "query_id long, route_order int, id long, distance double")
     rank = F.row_number().over(Window.partitionBy("query_id", "route_order").orderBy("distance", id_col))
     name = F.element_at(F.array(*[F.lit(x) for x, _ in routes]), F.col("route_order") + 1)

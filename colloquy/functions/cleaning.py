@@ -28,11 +28,20 @@ def _tokens(names: Sequence[str]) -> str:
     return r"\[(?:" + "|".join(names) + r")\]"
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once, however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def replace_where(text: Column, pattern: str, valid: Callable[[Column], Column], replacement: str) -> Column:
     """Each match of ``pattern`` that is ``valid`` replaced; the others stay."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
-    whole = F.zip_with(gaps, found, lambda g, m: F.concat(g, F.coalesce(F.when(valid(m), F.lit(replacement)).otherwise(m), F.lit(""))))
-    return F.when(text.rlike(pattern), F.array_join(whole, "")).otherwise(text)
+
+    def replaced(t: Column) -> Column:
+        found, gaps = F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), F.split(t, pattern)
+        whole = F.zip_with(gaps, found, lambda g, m: F.concat(g, F.coalesce(F.when(valid(m), F.lit(replacement)).otherwise(m), F.lit(""))))
+        return F.when(t.rlike(pattern), F.array_join(whole, "")).otherwise(t)
+
+    return once(text, replaced)
 
 
 def normalize_brackets(text: Column, keep_faces: bool = False) -> Column:
@@ -110,13 +119,21 @@ PRIVATE = (
 _NEEDS = {"email": "@"}
 
 
+def _where_needed(text: Column, needed: str, pattern: str, replacement: str) -> Column:
+    return once(text, lambda t: F.when(F.contains(t, F.lit(needed)), F.regexp_replace(t, pattern, replacement)).otherwise(t))
+
+
 def redact_private(text: Column, rules: Sequence[tuple[str, str]] = ()) -> Column:
     """Own ``rules`` (pattern, replacement) first, then ``PRIVATE`` in order."""
     for pattern, replacement in rules:
         text = F.regexp_replace(text, pattern, replacement)
     for name, pattern, replacement, valid in PRIVATE:
-        out = F.regexp_replace(text, pattern, replacement) if valid is None else replace_where(text, pattern, valid, replacement)
-        text = F.when(F.contains(text, F.lit(_NEEDS[name])), out).otherwise(text) if name in _NEEDS else out
+        if valid is not None:
+            text = replace_where(text, pattern, valid, replacement)
+        elif name in _NEEDS:
+            text = _where_needed(text, _NEEDS[name], pattern, replacement)
+        else:
+            text = F.regexp_replace(text, pattern, replacement)
     return text
 
 
@@ -131,15 +148,15 @@ def clean_message(text: Column, kind: Column, raw_type: Column, placeholders: Co
     raw = F.coalesce(text, F.lit(""))
     kind_of, given = F.coalesce(raw_type, F.lit("")), F.coalesce(placeholders, F.array().cast("array<string>"))
     out = F.regexp_replace(raw, CONTROL, "")
-    out = F.when(kind_of.rlike("^(?:discord_|telegram_|whatsapp_)"), out).otherwise(normalize_brackets(out, keep_faces))
+    out = once(out, lambda t: F.when(kind_of.rlike("^(?:discord_|telegram_|whatsapp_)"), t).otherwise(normalize_brackets(t, keep_faces)))
     out = rewrite_uids(rewrite_mentions(out, own_names, other_names), own_uids, other_uids)
     out = F.aggregate(given, out, lambda acc, p: F.when(F.contains(acc, p), acc).when(acc == "", p).otherwise(strip(F.concat(acc, F.lit(" "), p))))
     out = redact_private(out, rules) if private else out
-    blank = strip(out) == ""
-    out = F.when(blank & (kind == "placeholder") & (F.size(given) > 0), F.get(given, F.lit(0))).otherwise(out)
-    out = F.when(blank & (kind == "unknown"), F.concat(F.lit("["), F.coalesce(F.nullif(kind_of, F.lit("")), F.lit("未知消息")), F.lit("]"))).otherwise(out)
+    unknown = F.concat(F.lit("["), F.coalesce(F.nullif(kind_of, F.lit("")), F.lit("未知消息")), F.lit("]"))
+    instead = F.when((kind == "placeholder") & (F.size(given) > 0), F.get(given, F.lit(0))).when(kind == "unknown", unknown).otherwise("")
+    out = once(strip(out), lambda t: F.when(t == "", strip(instead)).otherwise(t))
     system = F.coalesce(F.nullif(strip(raw), F.lit("")), F.lit("[系统消息]"))
-    return F.when(kind == "recalled", "[撤回]").when(kind == "system", system).otherwise(strip(out))
+    return F.when(kind == "recalled", "[撤回]").when(kind == "system", system).otherwise(out)
 
 
 # predicates -------------------------------------------------------------------------------------

@@ -24,12 +24,12 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 import zlib
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,18 +40,52 @@ CAPACITY, SMALL, END_ID = 2048, 32, 1
 _PIECE = "rid long, doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, class int"
 
 
-#: Ids of a chunk depend on the chunk alone where the text is cut before a blank
-#: that a character follows which is white space by no definition.
-_CHUNK = re.compile("(?= [!-~\u00c0-\u02ff\u0370-\u167f\u3041-\ud7ff])")
 _CACHE, _CACHED_CHARS = 1 << 19, 40
 
+#: ASCII letters, digits and other visible characters, as the tokenizer's pattern tells them apart; 0: all other bytes.
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[0x21:0x7F] = 3
+_CLASS[[*range(65, 91), *range(97, 123)]] = 1
+_CLASS[48:58] = 2
+#: First bytes of characters that are white space by no definition.
+_VISIBLE = np.zeros(256, bool)
+_VISIBLE[[*range(0x21, 0x7F), *range(0xC3, 0xCC), *range(0xCE, 0xE1), *range(0xE4, 0xEE)]] = True
+
+
+def chunk_starts(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where chunks begin: at starts of texts (given, all within raw), and where ids on both sides don't depend on each other.
+
+    That is before a blank that a visible character follows, around a line feed between
+    visible ASCII characters, and between ASCII letters, digits and other characters
+    (Latin-1 letters before them included) but after an apostrophe, which may begin a contraction.
+    """
+    n = len(raw)
+    raw = np.concatenate([raw, np.zeros(2, np.uint8)])
+    kind = _CLASS[raw]
+    latin = np.flatnonzero(raw == 0xC3) + 1
+    kind[latin] = (raw[latin] != 0x97) & (raw[latin] != 0xB7)
+    at = np.zeros(n + 2, bool)
+    at[1:] = (kind[:-1] != kind[1:]) & (kind[:-1] != 0) & (kind[1:] != 0) & (raw[:-1] != 0x27)
+    feed = np.flatnonzero(raw == 0x0A)
+    feed = feed[(feed > 0) & (kind[feed - 1] != 0)]
+    at[feed] = True
+    at[feed[kind[feed + 1] != 0] + 1] = True
+    blank = np.flatnonzero(raw == 0x20)
+    first, second = raw[blank + 1], raw[blank + 2]
+    visible = _VISIBLE[first] | (first == 0xE1) & (second < 0x9A) | (first == 0xE3) & (second > 0x80)
+    ends = np.zeros(n + 2, bool)
+    ends[starts] = True
+    at[blank[visible & ~ends[blank + 1]]] = True
+    at |= ends
+    return np.flatnonzero(at[:n])
+
 
 class Ids:
     """Token ids of texts as little-endian bytes, by the tokenizer of a file.
 
-    Texts are cut in chunks, and what isn't remembered of them is encoded in one go;
-    the number of short chunks that are remembered is bounded. Texts with an added
-    token, such as ``<|endoftext|>``, are encoded whole.
+    Texts are cut in chunks; the distinct ones of a slice that aren't remembered are
+    encoded in one go. The number of short chunks that are remembered is bounded.
+    Texts with an added token, such as ``<|endoftext|>``, are one chunk.
     """
 
     def __init__(self, path: str | None):
@@ -60,8 +94,7 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(added) or "(?!)")
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: Tokens that begin with a blank.
         self.lead = np.array([(self.tokenizer.id_to_token(k) or "").startswith("\u0120") for k in range(self.tokenizer.get_vocab_size())])
         self.known: dict[str, bytes] = {}
@@ -69,12 +102,23 @@ class Ids:
     def _encode(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
+    def _spelled(self, raw: bytes) -> list[int]:
+        """Where added tokens begin."""
+        out = []
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                out.append(at)
+                at = raw.find(token, at + 1)
+        return out
+
     def _chunks(self, parts: list[str]) -> dict[str, bytes]:
         """Ids of distinct chunks. Those with a blank at their beginning only make one text, whose tokens with a blank begin them."""
-        plain = [p for p in parts if p and p[0] == " " and p.count(" ") == 1]
+        plain = [p for p in parts if p[0] == " " and p.count(" ") == 1]
+        text = "".join(plain)
         out = {}
-        if plain:
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+        if plain and not self._spelled(text.encode()):
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             at = [*(np.flatnonzero(self.lead[ids]) * 4).tolist(), 4 * len(ids)]
             if len(at) == len(plain) + 1:
                 raw = ids.tobytes()
@@ -82,18 +126,26 @@ class Ids:
         rest = [p for p in parts if p not in out]
         return out | dict(zip(rest, self._encode(rest)))
 
-    def of(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        split = [None if self.added.search(t) else _CHUNK.split(t) for t in texts]
-        now = self._chunks(list({p: None for parts in split for p in parts or () if p not in known}))
+    def of(self, texts: pa.Array | list[str]) -> list[memoryview]:
+        raw, offsets = utf8_buffers(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
+        raw, offsets = raw[offsets[0] : offsets[-1]], offsets - offsets[0]
+        at = chunk_starts(raw, offsets)
+        for i in np.unique(np.searchsorted(offsets, self._spelled(raw.tobytes()), "right") - 1).tolist():
+            at = at[(at <= offsets[i]) | (at >= offsets[i + 1])]
+        bounds = pa.py_buffer(np.append(at, len(raw)).astype(np.int64))
+        chunks = pa.LargeStringArray.from_buffers(len(at), bounds, pa.py_buffer(raw)).dictionary_encode()
+        parts, known = chunks.dictionary.to_numpy(zero_copy_only=False).tolist(), self.known
+        now = self._chunks([p for p in parts if p not in known])
         known.update(now)
-        out = [self._encode([t])[0] if parts is None else b"".join(map(known.__getitem__, parts)) for t, parts in zip(texts, split)]
+        ids = pa.array(map(known.__getitem__, parts), pa.large_binary()).take(chunks.indices)
         for p in [p for p in now if len(p) > _CACHED_CHARS]:
             del known[p]
         if len(known) > _CACHE:  # the older half goes; what is frequent soon comes back
             for p in list(islice(known, len(known) - _CACHE // 2)):
                 del known[p]
-        return out
+        tokens = memoryview(ids.buffers()[2] or b"")
+        ends = np.append(0, np.cumsum(pc.binary_length(ids).to_numpy()))[np.searchsorted(at, offsets)].tolist()
+        return [tokens[i:j] for i, j in zip(ends, ends[1:])]
 
 
 @functools.cache
@@ -127,8 +179,8 @@ def _pieces(path: str | None, capacity: int, small: int):
         for batch in (b.slice(i, j - i) for b in batches for i, j in slices(utf8_buffers(b.column("text"))[1])):
             rid, ids = batch.column("rid"), batch.column("doc_id")
             rows: list[tuple] = []
-            for i, raw in enumerate(encode(batch.column("text").to_pylist())):
-                tokens = memoryview(raw + end)
+            for i, raw in enumerate(encode(batch.column("text"))):
+                tokens = memoryview(b"".join((raw, end)))
                 n, at = len(tokens) // 4, 0
                 for size in [capacity] * (n // capacity) + cuts(n % capacity):
                     rows.append((i, at, size, zlib.crc32(tokens[4 * at : 4 * (at + size)]), n))

@@ -37,6 +37,36 @@ def test_chunks_give_the_ids_of_the_whole_text():
             assert np.frombuffer(got, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_cuts_within_words_give_the_ids_of_the_whole_text():
+    tokenizers = pytest.importorskip("tokenizers")
+    import public_tokenizers
+
+    tok = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng, ids = random.Random(7), Ids(None)
+    symbols = [*" \n\r\t", "the", "The", "'", "''", "s", "ll", "re", "é", "É", "ß", "×", "÷", "ÿ", "ĉ", "7", "42", "½", ",", ".", "(", "-", "_", "\u007f", "\u0085", "\u0301", "ა", "\u1680", "あ", "\u3000", "한", "<|", "endoftext", "|>", "<|endoftext|>"]
+    for _ in range(400):
+        texts = ["".join(rng.choice(symbols) for _ in range(rng.randint(0, 15))) for _ in range(20)]
+        for text, got in zip(texts, ids.of(texts)):
+            assert np.frombuffer(got, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_words_are_encoded_once_whatever_follows_them():
+    pytest.importorskip("tokenizers")
+    ids, read = Ids(None), []
+    rng = random.Random(3)
+    some = ["".join(rng.choice("abcdefghijklmnopé") for _ in range(8)) for _ in range(200)]
+
+    class Counting:
+        def encode_batch_fast(self, parts, **options):
+            read.extend(map(len, parts))
+            return tokenizer.encode_batch_fast(parts, **options)
+
+    tokenizer, ids.tokenizer = ids.tokenizer, Counting()
+    texts = ["".join(f" {w}{end}" for w in some) for end in ["", ",", ".", ";", "!!", ")", ":", ".\n7", "?", "***"]]
+    assert len(ids.of(texts)) == len(texts)
+    assert sum(read) <= sum(len(w) + 1 for w in some) + 100
+
+
 @pytest.mark.parametrize("workers", [1, 7])
 def test_round_trip(spark, workers):
     tokenizers = pytest.importorskip("tokenizers")

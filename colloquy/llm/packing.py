@@ -40,7 +40,7 @@ CAPACITY, SMALL, END_ID = 2048, 32, 1
 _PIECE = "rid long, doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, class int"
 
 
-_CACHE, _CACHED_CHARS = 1 << 19, 40
+_CACHE, _CACHED_CHARS = 1 << 18, 40
 
 #: ASCII letters, digits and other visible characters, as the tokenizer's pattern tells them apart; 0: all other bytes.
 _CLASS = np.zeros(256, np.uint8)
@@ -190,6 +190,7 @@ def _pieces(path: str | None, capacity: int, small: int):
             kind = (len(lengths) - 1 - np.searchsorted(lengths[::-1], cols[2])).astype(np.int32)
             yield pa.RecordBatch.from_arrays([rid.take(take), ids.take(take), *map(pa.array, cols[1:]), pa.array(kind)], names=["rid", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "class"])
         ids_of.known.clear()  # the worker process goes on to other tasks
+        pa.default_memory_pool().release_unused()
 
     return run
 

@@ -42,6 +42,8 @@ TERMS, DIMENSIONS, NEIGHBOURS = 2048, 64, 15
 SAMPLE_A_CLASS = 2000
 THRESHOLD = 0.7
 _SHARE = 12.0
+#: Bounds of a slice: a row has ``TERMS`` counts however short its text is, and these are copied several times.
+_BYTES, _ROWS = 1 << 18, 256
 _MARKS = 64  # first columns: marks and shapes, the rest are trigrams
 
 #: Byte classes for word shapes: lower, upper, digit, separator-like, other ASCII, non-ASCII.
@@ -82,16 +84,20 @@ def term_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = np.log1p(counts) * idf
-    norm = np.linalg.norm(x, axis=1, keepdims=True)
-    return x / np.where(norm > 0, norm, 1)
+    """Unit vectors of counts, in their place."""
+    np.log1p(counts, out=counts)
+    counts *= idf
+    for i in range(0, len(counts), _ROWS):
+        norm = np.linalg.norm(counts[i : i + _ROWS], axis=1, keepdims=True)
+        counts[i : i + _ROWS] /= np.where(norm > 0, norm, 1)
+    return counts
 
 
 def _document_frequency(batches):
     total = np.zeros(TERMS + 1, np.int64)
     for batch in batches:
         raw, off = utf8_buffers(batch.column("text"))
-        for i, j in slices(off):
+        for i, j in slices(off, _BYTES, _ROWS):
             total[:-1] += (term_counts(raw[off[i] : off[j]], off[i : j + 1] - off[i]) > 0).sum(axis=0)
             total[-1] += j - i
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(TERMS + 1)), pa.array(total)], names=["term", "n"])
@@ -120,7 +126,7 @@ def _fit(idf: np.ndarray, totals: dict[int, int]):
         for batch in batches:
             raw, off = utf8_buffers(batch.column("text"))
             quality, times = batch.column("quality").to_pylist(), batch.column("times").to_pylist()
-            for i, j in slices(off):
+            for i, j in slices(off, _BYTES, _ROWS):
                 x = term_counts(raw[off[i] : off[j]], off[i : j + 1] - off[i])
                 seen += [(zlib.crc32(r), r, q, t) for r, q, t in zip((r.tobytes() for r in x), quality[i:j], times[i:j])]
         if not seen:
@@ -130,10 +136,7 @@ def _fit(idf: np.ndarray, totals: dict[int, int]):
         x = np.empty((len(seen), TERMS), np.float32)
         for i in range(len(seen) - 1, -1, -1):
             x[i] = np.frombuffer(seen.pop()[1], np.float32)
-        np.log1p(x, out=x)
-        x *= idf
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        x /= np.where(norm > 0, norm, 1)
+        x = _weighted(x, idf)
         axes = _latent_axes(x, DIMENSIONS)
         v = x @ axes
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
@@ -175,25 +178,29 @@ def fit(docs: DataFrame, labels: DataFrame, sample_a_class: int = SAMPLE_A_CLASS
     }
 
 
-def _vote(model, neighbours: int):
+def _vote(model, neighbours: int, text: int | None = None):
+    """Scores of rows; ``text``: which field of the kept ones is the text, if it has no column of its own."""
+
     def run(batches):
         m = model.value
         for batch in batches:
-            raw, off = utf8_buffers(batch.column("text"))
-            score = np.full(len(off) - 1, m["prior"])
-            for i, j in slices(off, 1 << 19) if m["axes"] is not None else ():
-                x = term_counts(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                v = _weighted(x, m["idf"]).astype(np.float32) @ m["axes"]
-                norm = np.linalg.norm(v, axis=1)
-                some = np.flatnonzero(norm > 1e-9)
-                for lo in range(0, len(some), 256):
-                    at = some[lo : lo + 256]
+            raw, off = utf8_buffers(batch.column("text") if text is None else batch.column("kept").field(text))
+            rest = [c for c in batch.schema.names[2:] if c == "kept"]
+            # each slice goes out at once: the batch may hold all texts of a partition
+            for i, j in slices(off, _BYTES, _ROWS):
+                score = np.full(j - i, m["prior"])
+                if m["axes"] is not None:
+                    v = _weighted(term_counts(raw[off[i] : off[j]], off[i : j + 1] - off[i]), m["idf"]) @ m["axes"]
+                    norm = np.linalg.norm(v, axis=1)
+                    at = np.flatnonzero(norm > 1e-9)
                     cos = (v[at] / norm[at, None]) @ m["vectors"].T
                     k = min(neighbours, cos.shape[1])
                     near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
                     weight = np.maximum(np.take_along_axis(cos, near, axis=1), 1e-6).astype(float) ** 4 * m["weights"][near]
-                    score[i + at] = (weight * m["labels"][near]).sum(axis=1) / weight.sum(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(np.clip(score, 0, 1)), *(batch.column(c) for c in batch.schema.names[3:])], names=["doc_id", "held_out", "score", *batch.schema.names[3:]])
+                    score[at] = (weight * m["labels"][near]).sum(axis=1) / weight.sum(axis=1)
+                own = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("held_out"), pa.array(np.clip(score, 0, 1)), *map(own.column, rest)], names=["doc_id", "held_out", "score", *rest])
+        pa.default_memory_pool().release_unused()  # the worker process goes on to other tasks
 
     return run
 
@@ -203,8 +210,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(fit(docs, labels, sample_a_class, id_col, text_col))
     kept = [F.struct(*quoted(keep)).alias("kept")] if keep else []
-    rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *kept)
+    # a text that is kept goes to the workers once
+    at = keep.index(text_col) if text_col in keep and "." not in text_col and dict(docs.dtypes)[text_col] == "string" else None
+    texts = [F.coalesce(F.col(text_col), F.lit("")).alias("text")] if at is None else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), *texts, *kept)
     # as a type, since names of kept columns may not be written in a schema string
     schema = StructType([rows.schema["doc_id"], rows.schema["held_out"], StructField("score", DoubleType()), *(rows.schema[c] for c in ["kept"] * bool(keep))])
-    scored = rows.mapInArrow(_vote(model, neighbours), schema)
+    scored = rows.mapInArrow(_vote(model, neighbours, at), schema)
     return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), *(["kept"] if keep else []))

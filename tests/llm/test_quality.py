@@ -107,3 +107,77 @@ def test_votes_count_for_the_class_they_stand_for(spark):
     frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 10 != 0)) for i, _ in docs], "doc_id long, quality int")
     got = [r.score for r in score_quality(*frames, sample_a_class=20).where("held_out").collect()]
     assert sum(got) / len(got) > 0.75
+
+
+class Model:
+    """As a broadcast."""
+
+    def __init__(self, n=50):
+        from colloquy.llm.quality import DIMENSIONS, TERMS
+
+        g = np.random.default_rng(3)
+        self.value = {
+            "idf": np.ones(TERMS, np.float32), "axes": g.standard_normal((TERMS, DIMENSIONS)).astype(np.float32), "vectors": g.standard_normal((n, DIMENSIONS)).astype(np.float32),
+            "labels": (np.arange(n) % 2).astype(np.float32), "weights": np.ones(n), "prior": 0.25,
+        }
+
+
+def test_memory_of_many_short_texts():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from colloquy.llm.quality import _document_frequency, _vote
+
+    n = 6000
+    texts = pa.array([None if i % 7 == 0 else "" if i % 7 == 1 else f"word {i}" for i in range(n)])
+    ids, flags = pa.array(range(n)), pa.array([False] * n)
+    for run in (_document_frequency, _vote(Model(), 15)):
+        tracemalloc.start()
+        got = list(run(iter([pa.RecordBatch.from_arrays([ids, flags, texts], names=["doc_id", "held_out", "text"])])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 60e6, (run, peak)
+    out = pa.Table.from_batches(got)
+    assert out.column("doc_id").to_pylist() == list(range(n))
+    assert [x == 0.25 for x in out.column("score").to_pylist()] == [i % 7 < 2 for i in range(n)]
+
+
+def test_kept_texts_go_out_by_slices():
+    import pyarrow as pa
+
+    from colloquy.llm.quality import _vote
+
+    texts = [None if i % 50 == 0 else f"line {i} of a text, and so on. " * (i % 90) for i in range(600)]
+    ids, flags = pa.array(range(600)), pa.array([i % 3 == 0 for i in range(600)])
+    kept = pa.StructArray.from_arrays([ids, pa.array(texts)], names=["doc_id", "text"])
+    with_text = pa.RecordBatch.from_arrays([ids, flags, pa.array([x or "" for x in texts])], names=["doc_id", "held_out", "text"])
+    once = pa.RecordBatch.from_arrays([ids, flags, kept], names=["doc_id", "held_out", "kept"])
+    # a slice of a batch too, whose arrays begin elsewhere
+    for lo, size in ((0, 600), (123, 400)):
+        a = pa.Table.from_batches(_vote(Model(), 15)(iter([with_text.slice(lo, size)])))
+        parts = list(_vote(Model(), 15, 1)(iter([once.slice(lo, size)])))
+        b = pa.Table.from_batches(parts)
+        assert a.column("score").equals(b.column("score")) and b.column("held_out").to_pylist() == flags.to_pylist()[lo : lo + size]
+        assert b.column("kept").to_pylist() == kept.to_pylist()[lo : lo + size]
+        assert len(parts) > 1 and max(len(p) for p in parts) <= 256
+        assert max(sum(len(r["text"] or "") for r in p.column("kept").to_pylist()) for p in parts) <= 1 << 18
+
+
+def test_a_kept_text_goes_to_the_workers_once(spark):
+    r = random.Random(12)
+    docs = [(i, [None, "", words(r, 30), words(r, 3)][i % 4], "en", "web", 0) for i in range(120)]
+    labels = spark.createDataFrame([(i, i % 8 // 4) for i in range(120)], "doc_id long, quality int")
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    plain = score_quality(df, labels)
+    whole = score_quality(df, labels, keep=tuple(df.columns))
+    sent = whole._jdf.queryExecution().analyzed().toString().split("MapInArrow", 1)[1].splitlines()[1]
+    assert sent.lstrip(" +:-").startswith("Project [") and " AS text#" not in sent, sent
+    want = {x["doc_id"]: x["score"] for x in plain.collect()}
+    got = whole.collect()
+    assert [tuple(x["kept"]) for x in sorted(got, key=lambda x: x["doc_id"])] == docs
+    assert all(abs(want[x["doc_id"]] - x["score"]) < 1e-6 for x in got)
+    # a name that is no column of its own, and one that is kept under another case
+    for keep in (("doc_id",), ("TEXT", "doc_id")):
+        part = score_quality(df, labels, keep=keep).collect()
+        assert all(abs(want[x["doc_id"]] - x["score"]) < 1e-6 for x in part) and len(part) == 120
